@@ -7,9 +7,9 @@ multisets. Points are made in order of time and only until no later one can matt
 n + m log m points.
 
 Texts with the same words collapse to one class first. Signatures are cut into bands; documents that share a band are candidates.
-Each bucket links its members to three of them, picked by different orders, never all pairs; links are verified by exact
-multiset overlap and joined into classes. Where a bucket still holds several classes, the members outside its largest class are
-then compared with all of the other classes, so no link between candidates is lost. With m = 125 and bands of 5 a pair at likeness
+Each bucket links its members to one of them, the one that shares most buckets with most texts, never all pairs; links are verified by exact
+multiset overlap and joined into classes. Where a bucket still holds several classes, its members are joined across classes on
+their rarest shingles, with bounds under which no pair that could reach the likeness is lost. With m = 125 and bands of 5 a pair at likeness
 0.8 shares a band with probability 0.99995.
 
 Defined cases: null text is empty; texts of the same words in the same order are one class, among them all texts without words;
@@ -169,30 +169,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     return both.where(common >= likeness * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _may_link(open_: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """Pairs (a, b) of texts of different classes that may reach likeness, without comparing a bucket's members pairwise.
+
+    Elements are ordered from rare to common. Two sets of sizes m and n need an overlap of likeness / (1 + likeness) * (m + n), so they share
+    an element among the first few of both, and the first one that they share, at places i and j, leaves room for as much:
+    min(m - i, n - j). Nothing that could reach likeness is lost. An element's commonest class is not compared with itself."""
+    rows = open_.join(sets, "id").withColumn("m", F.size("set"))
+    spread = rows.select("id", F.explode("set").alias("e"))
+    common = spread.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    # Elements that one set alone has come first in any order and are only counted.
+    found = spread.join(common, "e").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es"))
+    room = (F.col("m") - F.ceil(likeness * F.col("m") - 1e-9) + 1) - (F.col("m") - F.size("es"))
+    heads = rows.select("id", "label", "m").join(found, "id").where(room > 0)
+    heads = heads.select("id", "label", "m", (F.col("m") - F.size("es")).alias("alone"), F.posexplode(F.slice("es", F.lit(1), room.cast("int"))).alias("k", "x"))
+    heads = materialize(heads.select("id", "label", "m", (F.col("alone") + F.col("k")).alias("p"), F.col("x.e").alias("e")), "dup-heads")
+    sizes = heads.groupBy("e", "label").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("e").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("n")).where("n > 1")
+    other = heads.join(main.select("e", "main"), "e").where("label <> main").drop("main")
+    x, y = other.alias("x"), heads.alias("y")
+    enough = F.least(F.col("x.m") - F.col("x.p"), F.col("y.m") - F.col("y.p")) >= likeness / (1 + likeness) * (F.col("x.m") + F.col("y.m")) - 1e-9
+    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & enough)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, m: int = COMPONENTS, rows: int = ROWS_PER_BAND, width: int = WIDTH) -> DataFrame:
     """(doc_id, class_id, n_links): class_id is the least doc_id of the class, n_links the verified links of the document's text to other texts.
 
     docs (doc_id, text). Classes are the connected components of texts whose multiset likeness is at least likeness."""
     sketch = materialize(_sketch(docs, m, rows, width), "dup-sketch")
     texts = materialize(sketch.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "dup-texts")
-    buckets = texts.where(F.hex("id") != hashlib.md5(b"").hexdigest().upper()).select("id", "doc_id", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("c0"), F.min_by("id", F.xxhash64("id", F.lit(1))).alias("c1"), F.min_by("id", F.xxhash64("id", F.lit(2))).alias("c2")).where("n > 1")
+    buckets = texts.where(F.hex("id") != hashlib.md5(b"").hexdigest().upper()).select("id", F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(buckets.join(shared, "band"), "dup-members")
-    wanted = members.select("id", "doc_id").distinct()
-    sets = materialize(_elements_of(docs, wanted, width), "dup-sets")
-    stars = members.select("id", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c")).where("id <> c")
+    # A text that shares many buckets with many others is near the middle of its group: as centre it links the most.
+    popular = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    nodes = popular.select("id")
+    sets = materialize(_elements_of(docs, texts.select("id", "doc_id").join(nodes, "id", "left_semi"), width), "dup-sets")
+    ranked = members.join(popular, "id")
+    centres = ranked.groupBy("band").agg(F.max_by("id", F.struct("weight", "id")).alias("c"))
+    stars = members.join(centres, "band").where("id <> c")
     first = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
     links = materialize(_verified(first, sets, likeness), "dup-links")
-    nodes = wanted.select("id").distinct()
     label = materialize(classes(nodes, links), "dup-classes")
     told = members.select("band", "id").join(label, "id")
-    sizes = told.groupBy("band", "label").count()
-    split = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", F.struct("count", "label")).alias("main")).where("k > 1")
-    told = materialize(told.join(split, "band"), "dup-split")
-    rest = told.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"))
-    rest = rest.join(told.select("band", F.col("id").alias("y"), F.col("label").alias("ly")), "band").where("lx <> ly")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(_verified(rest, sets, likeness)), "dup-links")
+    mixed = told.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
+    open_ = materialize(told.join(mixed, "band", "left_semi").select("id", "label").distinct(), "dup-open")
+    links = materialize(links.unionByName(_verified(_may_link(open_, sets, likeness), sets, likeness)).distinct(), "dup-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = texts.select("id", "doc_id").join(classes(nodes, links), "id", "left").join(degree, "id", "left")
     known = materialize(known.select("id", "doc_id", F.coalesce("label", "id").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "dup-known")
