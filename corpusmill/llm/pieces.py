@@ -5,8 +5,12 @@ Each distinct word of the corpus is encoded once: its substrings up to the longe
 piece table, the matches are grouped by word, and a fold over them in order of their ends keeps the best path to each place (Viterbi). Of equal
 scores the path with the longer last piece wins. A character without a piece becomes its UTF-8 bytes' pieces (byte fallback).
 
-The commonest words, at most HEAD of them, are broadcast to the tasks that read the texts; each text's other words are joined to the
-vocabulary. Words over MAX_WORD characters, which are too long to explode, are encoded by the same recurrence inside the task.
+The commonest words of a bounded sample of SAMPLE documents, at most HEAD of them, are broadcast to the tasks that read the texts; each
+text's other words are encoded, once each, and joined back by the text's key. Which words are common affects the speed alone. Words over
+MAX_WORD characters, which are too long to explode, are encoded by the same recurrence inside the task.
+
+A model whose scores are merge ranks (BPE) has no probabilities; load() gives its pieces the logarithm of a Zipf law over the ranks,
+under which nine tenths of words get the pieces that the merges give.
 
 Defined cases: null and empty texts have no piece and decode to the empty text; U+2581 in a text decodes to a blank, as the
 tokenizer's own decoder has it; any other text decodes to itself; repeated rows are encoded alike; an empty table gives no rows.
@@ -14,6 +18,7 @@ tokenizer's own decoder has it; any other text decodes to itself; repeated rows
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, MAX_WORD, MARK = 400_000, 48, "▁"
+HEAD, SAMPLE, MAX_WORD, MARK = 300_000, 20_000, 48, "▁"
 
 
 @dataclass(frozen=True)
@@ -68,6 +73,11 @@ class Pieces:
     def cut(self, text: str | None) -> list[str]:
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def blanked(self, text: str | None) -> list[str] | None:
+        """The parts of a text between single blanks, each of which cut() cuts for itself; None if there are others."""
+        parts = text.split(" ") if text else []
+        return None if "" in parts or (text and MARK in text) else parts
+
     def spelled(self, word: str, ids: list[int]) -> bytes:
         """ids of a word as 32-bit integers, the unknown (-1) as byte pieces."""
         if min(ids, default=0) < 0:
@@ -111,7 +121,10 @@ def load(path: str = MODEL) -> Pieces:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     every = range(sp.get_piece_size())
     other = {i for i in every if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
-    return Pieces({i: (sp.id_to_piece(i), sp.get_score(i)) for i in every if i not in other}, tuple(i for i in every if sp.is_byte(i)), sp.unk_id())
+    scores = {i: sp.get_score(i) for i in every if i not in other}
+    if all(s == int(s) for s in scores.values()):  # merge ranks
+        scores = {i: -math.log(100 + min(-s, len(scores))) for i, s in scores.items()}
+    return Pieces({i: (sp.id_to_piece(i), s) for i, s in scores.items()}, tuple(i for i in every if sp.is_byte(i)), sp.unk_id())
 
 
 def _count_words(docs: DataFrame, model: Pieces) -> DataFrame:
@@ -130,78 +143,112 @@ def _count_words(docs: DataFrame, model: Pieces) -> DataFrame:
     return words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def best_path(edges: Column) -> Column:
-    """Ids of the best path over edges, an array of (e, s, score, id) sorted by end and start that has an edge into every place."""
+def best_path(edges: Column, scores: Column) -> Column:
+    """Ids of the best path over edges, packed by _pack() and sorted, with an edge into every place. scores: by id + 1."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
 
     def step(best: Column, x: Column) -> Column:
-        into = F.get(best, x.s)
-        new = F.array(F.struct((into.score + x.score).alias("score"), F.concat(into.ids, F.array(x.id)).alias("ids")))
-        return F.when(x.e == F.size(best), F.concat(best, new)).when(into.score + x.score > F.get(best, x.e).score, F.concat(F.slice(best, F.lit(1), x.e), new)).otherwise(best)
+        e, one = F.shiftright(x, 40).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        into = F.get(best, F.shiftright(x, 32).bitwiseAND(F.lit(0xFF)).cast("int"))
+        score = into.score + F.get(scores, one)
+        new = F.array(F.struct(score.alias("score"), F.concat(into.ids, F.array(one - 1)).alias("ids")))
+        return F.when(e == F.size(best), F.concat(best, new)).when(score > F.get(best, e).score, F.concat(F.slice(best, F.lit(1), e), new)).otherwise(best)
 
     return F.aggregate(edges, start, step, lambda best: F.element_at(best, -1).ids)
 
 
-def encode_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """words (word, n) with ids, -1 for a character without a piece."""
+def _pack(e: Column, s: Column, id_: Column) -> Column:
+    """End, start and id + 1 of an edge as one number, in this order."""
+    return F.shiftleft(e.cast("long"), 40) + F.shiftleft(s.cast("long"), 32) + (id_ + 1).cast("long")
+
+
+def encode_words(words: DataFrame, model: Pieces, *keep: str) -> DataFrame:
+    """words (word, and the columns named in keep, which depend on it) with ids, -1 for a character without a piece. Words that are dealt by word stay where they are."""
     spark = words.sparkSession
+    # Words of a task are grouped in memory; their number is bounded by the number of partitions.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     # The piece table has a fixed size, that of the model file.
-    pieces = spark.createDataFrame(pd.DataFrame([(p, i, s) for i, (p, s) in model.normal.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
+    pieces = spark.createDataFrame(pd.DataFrame([(p, i) for i, (p, _) in model.normal.items()], columns=["piece", "id"]), "piece string, id int")
+    by_id = [model.unknown_score, *[model.normal[i][1] if i in model.normal else 0.0 for i in range(max(model.normal) + 1)]]
+    scores = F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>")  # folded to a literal
     n = F.length("word")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s + 1)), lambda k: F.struct((s - 1).alias("s"), (s + k - 1).alias("e"), F.substr(F.col("word"), s, k).alias("piece")))))
-    spread = words.select("word", "n", F.explode(spans).alias("x")).select("word", "n", "x.s", "x.e", "x.piece")
+    spread = words.select("word", *keep, F.explode(spans).alias("x")).select("word", *keep, "x.s", "x.e", "x.piece")
     met = spread.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown_score)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    return met.groupBy("word", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges")).select("word", "n", best_path(F.col("edges")).alias("ids"))
+    edges = met.groupBy("word", *keep).agg(F.collect_list(_pack(F.col("e"), F.col("s"), F.coalesce("id", F.lit(-1)))).alias("edges"))
+    return edges.select("word", *keep, best_path(F.sort_array("edges"), scores).alias("ids"))
 
 
-def encode(docs: DataFrame, model: Pieces, head: int = HEAD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, and the columns named in keep) with ids, the pieces of the text."""
-    spark: SparkSession = docs.sparkSession
-    vocabulary = materialize(encode_words(_count_words(docs, model), model), "pieces-words")
+def _common_words(docs: DataFrame, model: Pieces, head: int, sample: int) -> DataFrame:
+    """(word, ids) of the commonest words of a bounded sample, at most head of them."""
+    ids = materialize(docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "pieces-sample")
+    few = docs.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "d")), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    counted = materialize(_count_words(few, model), "pieces-counts")
     level = F.floor(F.log2("n")).cast("int")
     total, cut = 0, 64
-    for k, n in sorted(vocabulary.groupBy(level.alias("k")).count().collect(), reverse=True):  # at most 64 rows
+    for k, n in sorted(counted.groupBy(level.alias("k")).count().collect(), reverse=True):  # at most 64 rows
         total += n
         if total > head:
             break
         cut = k
-    common = vocabulary.where(level >= cut).select("word", "ids").toPandas()  # at most head rows
+    return encode_words(counted.where(level >= cut).select("word").repartition(max(8, head // 20_000), "word"), model)
+
+
+def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, and the columns named in keep) with ids, the pieces of the text."""
+    spark: SparkSession = docs.sparkSession
+    common = _common_words(docs, model, head, sample).toPandas()  # at most head rows
     table = spark.sparkContext.broadcast({w: model.spelled(w, list(i)) for w, i in zip(common["word"], common["ids"], strict=True)})
-    every = total <= head
 
     @F.pandas_udf("array<string>")
     def rare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = table.value
-        for texts in batches:
-            yield pd.Series([[w for w in set(model.cut(t)) if w not in known and len(w) <= MAX_WORD] for t in texts])
+        known, plain = table.value, set()
+
+        def of(text: str | None) -> list[str]:
+            parts = model.blanked(text)
+            if parts is None:
+                return [w for w in set(model.cut(text)) if w not in known and len(w) <= MAX_WORD]
+            out = set()
+            for part in set(parts) - plain:
+                new = [w for w in model.cut(part) if w not in known and len(w) <= MAX_WORD]
+                out.update(new)
+                if not new and len(plain) < 200_000:
+                    plain.add(part)
+            return list(out)
 
-    def spell(text: str | None, more: dict[str, bytes]) -> np.ndarray:
-        known, words = table.value, model.cut(text)
-        try:
-            out = b"".join([known[w] for w in words])
-        except KeyError:
-            out = b"".join([known.get(w) or more.get(w) or model.long_word(w) for w in words])
-        return np.frombuffer(out, "<u4").astype(np.int32)
-
-    @F.pandas_udf("array<int>")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([spell(t, {}) for t in texts])
+            yield pd.Series([of(t) for t in texts])
 
     @F.pandas_udf("array<int>")
-    def with_rare(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def spell(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known, memo = table.value, {}
+
+        def word(w: str, more: dict[str, list[int]]) -> bytes:
+            return known.get(w) or (model.spelled(w, list(more[w])) if w in more else model.long_word(w))
+
+        def of(text: str | None, more: dict[str, list[int]]) -> np.ndarray:
+            parts = model.blanked(text)
+            if parts is None:
+                out = [word(w, more) for w in model.cut(text)]
+            else:
+                out = [memo.get(part) for part in parts]
+                for k, got in enumerate(out):
+                    if got is None:
+                        words = model.cut(parts[k])
+                        out[k] = b"".join([word(w, more) for w in words])
+                        if len(memo) < 200_000 and all(w in known for w in words):
+                            memo[parts[k]] = out[k]
+            return np.frombuffer(b"".join(out), "<u4").astype(np.int32)
+
         for texts, words, ids in batches:
-            yield pd.Series([spell(t, {} if w is None else {x: model.spelled(x, list(i)) for x, i in zip(w, s, strict=True)}) for t, w, s in zip(texts, words, ids, strict=True)])
+            yield pd.Series([of(t, {} if w is None else dict(zip(w, i, strict=True))) for t, w, i in zip(texts, words, ids, strict=True)])
 
-    rows = docs.select("doc_id", "text", *keep)
-    if every:
-        return rows.select("doc_id", *keep, whole("text").alias("ids"))
     key = F.xxhash64("doc_id", "text").alias("key")  # texts whose keys clash share their words' table, which harms neither
-    used = docs.select(key, F.explode(rare("text")).alias("word")).distinct().join(vocabulary.where(level < cut).select("word", "ids"), "word")
-    used = used.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("w"))
-    rows = rows.withColumn("key", key).join(used.select("key", F.col("w.word").alias("rare_words"), F.col("w.ids").alias("rare_ids")), "key", "left")
-    return rows.select("doc_id", *keep, with_rare("text", "rare_words", "rare_ids").alias("ids"))
+    dealt = docs.select(key, F.explode(rare("text")).alias("word")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
+    once = encode_words(dealt.groupBy("word").agg(F.min("key").alias("one")), model, "one")
+    used = dealt.join(once.hint("shuffle_hash"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("w"))
+    rows = docs.select("doc_id", "text", *keep).withColumn("key", key).join(used.select("key", F.col("w.word").alias("rare_words"), F.col("w.ids").alias("rare_ids")), "key", "left")
+    return rows.select("doc_id", *keep, spell("text", "rare_words", "rare_ids").alias("ids"))
 
 
 def decode(ids: Column, model: Pieces) -> Column:
