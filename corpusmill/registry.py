@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.plans import behaviour, corpus, graph, profiles, retrieval, scalars, sources, streams  # noqa: F401  each registers its queries
+from corpusmill.plans.base import QUERIES, SQL
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["r2_bm25"](spark, sf_dir)
+    return QUERIES["j1_enriched_bm25"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
