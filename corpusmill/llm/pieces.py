@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, SAMPLE, MAX_WORD, MARK = 300_000, 20_000, 48, "▁"
+HEAD, SAMPLE, MAX_WORD, MARK = 200_000, 20_000, 48, "▁"
+#: Parts of texts whose pieces a task remembers, and rows that are passed to Python at once: both bound its memory.
+MEMO, ROWS = 60_000, 1000
 
 
 @dataclass(frozen=True)
@@ -197,6 +199,7 @@ def _common_words(docs: DataFrame, model: Pieces, head: int, sample: int) -> Dat
 def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, and the columns named in keep) with ids, the pieces of the text."""
     spark: SparkSession = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     common = _common_words(docs, model, head, sample).toPandas()  # at most head rows
     table = spark.sparkContext.broadcast({w: model.spelled(w, list(i)) for w, i in zip(common["word"], common["ids"], strict=True)})
 
@@ -212,7 +215,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
             for part in set(parts) - plain:
                 new = [w for w in model.cut(part) if w not in known and len(w) <= MAX_WORD]
                 out.update(new)
-                if not new and len(plain) < 200_000:
+                if not new and len(plain) < MEMO:
                     plain.add(part)
             return list(out)
 
@@ -236,7 +239,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
                     if got is None:
                         words = model.cut(parts[k])
                         out[k] = b"".join([word(w, more) for w in words])
-                        if len(memo) < 200_000 and all(w in known for w in words):
+                        if len(memo) < MEMO and all(w in known for w in words):
                             memo[parts[k]] = out[k]
             return np.frombuffer(b"".join(out), "<u4").astype(np.int32)
 
@@ -244,7 +247,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
             yield pd.Series([of(t, {} if w is None else dict(zip(w, i, strict=True))) for t, w, i in zip(texts, words, ids, strict=True)])
 
     key = F.xxhash64("doc_id", "text").alias("key")  # texts whose keys clash share their words' table, which harms neither
-    dealt = docs.select(key, F.explode(rare("text")).alias("word")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
+    dealt = docs.select(key, F.explode(rare("text")).alias("word")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     once = encode_words(dealt.groupBy("word").agg(F.min("key").alias("one")), model, "one")
     used = dealt.join(once.hint("shuffle_hash"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("w"))
     rows = docs.select("doc_id", "text", *keep).withColumn("key", key).join(used.select("key", F.col("w.word").alias("rare_words"), F.col("w.ids").alias("rare_ids")), "key", "left")
