@@ -95,7 +95,7 @@ def test_sharding(spark):
 def test_licences(spark):
     apache = [s for i, s in licences.SENTENCES.items() if i.startswith("apache")]
     mit = [licences.SENTENCES[i] for i in ("mit-title", "mit-grant", "mit-condition")]
-    rows = [(1, "Prose.\n" + "\n".join(apache) + "\nMore prose"), (2, " ".join(mit)), (3, "RELEASED  under the *MIT* License! released under the MIT License."), (4, "A license of some kind."), (5, None), (6, ""), (7, "x " * 50_000 + "\nLicensed under CC BY-NC 4.0."), (8, licences.SENTENCES["mit-grant"])]
+    rows = [(1, "Prose.\n" + "\n".join(apache) + "\nMore prose"), (2, mit[0] + "\n" + " ".join(mit[1:])), (3, "RELEASED  under the *MIT* License! released under the MIT License."), (4, "A license of some kind."), (5, None), (6, ""), (7, "x " * 50_000 + "\nLicensed under CC BY-NC 4.0."), (8, licences.SENTENCES["mit-grant"])]
     got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("normal", F.lit("clash"))).collect()}
     assert {k: r["licences"] for k, r in got.items()} == {1: "Apache-2.0", 2: "MIT", 3: "MIT", 7: "CC-BY-NC-4.0", 8: ""}
     assert got[3]["n_sentences"] == 2 and licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
