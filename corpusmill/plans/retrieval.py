@@ -90,12 +90,12 @@ def vectors(spark, sf):
 
 
 def vector_queries(spark, sf):
-    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 _DOT = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 VECTOR = f"""e AS (SELECT vec_id, embedding AS e, label, sqrt({_DOT('embedding', 'embedding')}) AS n FROM embeddings),
-vs AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, greatest(0, 1 - (1 - {_DOT('v.e', 'q.e')} / (v.n * q.n)) / 2) AS score FROM e q, e v WHERE q.vec_id % 50 = 0 {{where}}),
+vs AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, greatest(0, 1 - (1 - {_DOT('v.e', 'q.e')} / (v.n * q.n)) / 2) AS score FROM e q, e v WHERE q.vec_id % 100 = 0 {{where}}),
 vr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM vs)"""
 
 
