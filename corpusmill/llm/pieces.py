@@ -27,6 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,16 +148,17 @@ def _count_words(docs: DataFrame, model: Pieces) -> DataFrame:
 
 def best_path(edges: Column, scores: Column) -> Column:
     """Ids of the best path over edges, packed by _pack() and sorted, with an edge into every place. scores: by id + 1."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("path")))
 
     def step(best: Column, x: Column) -> Column:
         e, one = F.shiftright(x, 40).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
         into = F.get(best, F.shiftright(x, 32).bitwiseAND(F.lit(0xFF)).cast("int"))
         score = into.score + F.get(scores, one)
-        new = F.array(F.struct(score.alias("score"), F.concat(into.ids, F.array(one - 1)).alias("ids")))
+        new = F.array(F.struct(score.alias("score"), F.concat(into.path, F.lit(" "), one.cast("string")).alias("path")))
         return F.when(e == F.size(best), F.concat(best, new)).when(score > F.get(best, e).score, F.concat(F.slice(best, F.lit(1), e), new)).otherwise(best)
 
-    return F.aggregate(edges, start, step, lambda best: F.element_at(best, -1).ids)
+    path = F.aggregate(edges, start, step, lambda best: F.element_at(best, -1).path)
+    return F.transform(F.split(F.ltrim(path), " "), lambda one: one.cast("int") - 1)
 
 
 def _pack(e: Column, s: Column, id_: Column) -> Column:
@@ -173,9 +175,10 @@ def encode_words(words: DataFrame, model: Pieces, *keep: str) -> DataFrame:
     pieces = spark.createDataFrame(pd.DataFrame([(p, i) for i, (p, _) in model.normal.items()], columns=["piece", "id"]), "piece string, id int")
     by_id = [model.unknown_score, *[model.normal[i][1] if i in model.normal else 0.0 for i in range(max(model.normal) + 1)]]
     scores = F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>")  # folded to a literal
-    n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s + 1)), lambda k: F.struct((s - 1).alias("s"), (s + k - 1).alias("e"), F.substr(F.col("word"), s, k).alias("piece")))))
-    spread = words.select("word", *keep, F.explode(spans).alias("x")).select("word", *keep, "x.s", "x.e", "x.piece")
+    # Two explodes, first of starts and then of lengths, stay in generated code.
+    starts = words.select("word", *keep, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    spread = starts.select("word", *keep, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("s")))).alias("k"))
+    spread = spread.select("word", *keep, "s", (F.col("s") + F.col("k")).alias("e"), F.substr("word", F.col("s") + 1, F.col("k")).alias("piece"))
     met = spread.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     edges = met.groupBy("word", *keep).agg(F.collect_list(_pack(F.col("e"), F.col("s"), F.coalesce("id", F.lit(-1)))).alias("edges"))
     return edges.select("word", *keep, best_path(F.sort_array("edges"), scores).alias("ids"))
@@ -196,16 +199,29 @@ def _common_words(docs: DataFrame, model: Pieces, head: int, sample: int) -> Dat
     return encode_words(counted.where(level >= cut).select("word").repartition(max(8, head // 20_000), "word"), model)
 
 
-def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, and the columns named in keep) with ids, the pieces of the text."""
+def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPLE, keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
+    """docs (doc_id, text, and the columns named in keep) with ids, the pieces of the text, and if check is set, round_trip: whether they decode to it."""
     spark: SparkSession = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    common = _common_words(docs, model, head, sample).toPandas()  # at most head rows
-    table = spark.sparkContext.broadcast({w: model.spelled(w, list(i)) for w, i in zip(common["word"], common["ids"], strict=True)})
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for words, ids in batches:
+            yield pd.Series([model.spelled(w, list(i)) for w, i in zip(words, ids, strict=True)])
+
+    common = _common_words(docs, model, head, sample).select("word", packed("word", "ids").alias("spelled")).toArrow()  # at most head rows, some MB
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, common.schema) as stream:
+        stream.write_table(common)
+    table = spark.sparkContext.broadcast(out.getvalue().to_pybytes())
+
+    def common_words() -> dict[str, bytes]:
+        rows = pa.ipc.open_stream(table.value).read_all()
+        return dict(zip(rows["word"].to_pylist(), rows["spelled"].to_pylist(), strict=True))
 
     @F.pandas_udf("array<string>")
     def rare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, plain = table.value, set()
+        known, plain = common_words(), set()
 
         def of(text: str | None) -> list[str]:
             parts = model.blanked(text)
@@ -222,9 +238,9 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
         for texts in batches:
             yield pd.Series([of(t) for t in texts])
 
-    @F.pandas_udf("array<int>")
-    def spell(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known, memo = table.value, {}
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def spell(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known, memo = common_words(), {}
 
         def word(w: str, more: dict[str, list[int]]) -> bytes:
             return known.get(w) or (model.spelled(w, list(more[w])) if w in more else model.long_word(w))
@@ -244,14 +260,16 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
             return np.frombuffer(b"".join(out), "<u4").astype(np.int32)
 
         for texts, words, ids in batches:
-            yield pd.Series([of(t, {} if w is None else dict(zip(w, i, strict=True))) for t, w, i in zip(texts, words, ids, strict=True)])
+            coded = [of(t, {} if w is None else dict(zip(w, i, strict=True))) for t, w, i in zip(texts, words, ids, strict=True)]
+            yield pd.DataFrame({"ids": coded, "round_trip": [model.decode(c) == (t or "") for t, c in zip(texts, coded, strict=True)] if check else None})
 
     key = F.xxhash64("doc_id", "text").alias("key")  # texts whose keys clash share their words' table, which harms neither
     dealt = docs.select(key, F.explode(rare("text")).alias("word")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     once = encode_words(dealt.groupBy("word").agg(F.min("key").alias("one")), model, "one")
     used = dealt.join(once.hint("shuffle_hash"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("w"))
     rows = docs.select("doc_id", "text", *keep).withColumn("key", key).join(used.select("key", F.col("w.word").alias("rare_words"), F.col("w.ids").alias("rare_ids")), "key", "left")
-    return rows.select("doc_id", *keep, spell("text", "rare_words", "rare_ids").alias("ids"))
+    rows = rows.select("doc_id", *keep, spell("text", "rare_words", "rare_ids").alias("x"))
+    return rows.select("doc_id", *keep, "x.ids", *["x.round_trip"] * check)
 
 
 def decode(ids: Column, model: Pieces) -> Column:

@@ -42,10 +42,8 @@ FROM e GROUP BY conv_id
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.load()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("given", F.md5(F.coalesce("text", F.lit(""))))
-    coded = pieces.encode(docs, model, keep=("given",))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.md5(pieces.decode(F.col("ids"), model)) == F.col("given")).alias("round_trip"))
+    coded = pieces.encode(table(spark, sf_dir, "documents"), pieces.load(), check=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
