@@ -38,6 +38,12 @@ def _letters(cp: np.ndarray) -> np.ndarray:
     return _IS_LETTER[0][cp]
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; the pattern also finds numerals such as superscripts, so its find is looked at."""
+    found = _LETTER.search(text) if text else None
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def ngram_hashes(texts: list[str], sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased n-gram of letters, of which the first and last may be a word's edge, and the index of its text."""
     lower = [t.lower() for t in texts]
@@ -107,7 +113,7 @@ def held_out() -> F.Column:
 def judge(texts: list[str | None], langs: list[str], masks: np.ndarray, wrong: np.ndarray, usual: str) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. wrong: each language's rate of false positives."""
     told, score = ["und"] * len(texts), np.zeros(len(texts))
-    rows = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if langs else []
+    rows = [k for k, t in enumerate(texts) if has_letter(t)] if langs else []
     for part in blocks([len(texts[k]) for k in rows], 1 << 21):
         own = rows[part]
         h, owner = ngram_hashes([texts[k] for k in own])
