@@ -91,3 +91,13 @@ def test_inject_title_is_idempotent(spark):
     first = one(spark, X.inject_title(F.col("c"), F.lit("T$1")), c="[s] a=1")
     assert first == "[s] doc=T$1 | a=1"
     assert one(spark, X.inject_title(F.col("c"), F.lit("T$1")), c=first) == first
+
+
+def test_sql_functions(spark):
+    from corpusmill.functions.register import register
+
+    register(spark)
+    row = spark.sql("SELECT hamming64(5, 6) h, cosine(array(1D, 0D), array(1D, 0D)) c, cosine(array(0D), array(1D)) z, citation_indices('a [2] [1] [2]') i, clean_text('a■    b') t, length(content_id('x')) n").first()
+    assert (row.h, row.c, row.z, row.i, row.t, row.n) == (2, 1.0, 0.0, [2, 1], "a b", 32)
+    parts = spark.sql(r"SELECT * FROM split_chunks('one two.\nthree four five', 12, 2)").collect()
+    assert parts[0]["start_char"] == 0 and parts[-1]["end_char"] == 24
