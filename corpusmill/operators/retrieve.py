@@ -168,3 +168,28 @@ def sync_plan(index_ids: DataFrame, table_ids: DataFrame) -> DataFrame:
     n = reconcile(index_ids, table_ids).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("same", "expired", "missing")])
     plan = F.when((F.col("expired") == 0) & (F.col("missing") == 0), "in_sync").when(F.col("same") == 0, "rebuild").otherwise("incremental")
     return n.withColumn("plan", plan)
+
+
+def coarse_k(k: int) -> int:
+    """Candidates of each retriever before fusion."""
+    return max(5 * k, 50)
+
+
+def hybrid_search(index: DataFrame, chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Both retrievers at coarse k, fused, enriched and reranked by exact matches; the keyword side alone where there are no vectors.
+    allowed (doc_id): only these documents, before scoring."""
+    if allowed is not None:
+        index = index.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        vectors = vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi") if vectors is not None else None
+    found = bm25(index, queries, coarse_k(k))
+    if vectors is None or query_vectors is None:
+        found = found.withColumn("source", F.lit("bm25"))
+    else:
+        found = fuse(found, vector_search(vectors, query_vectors, coarse_k(k)), queries, coarse_k(k))
+    return top_k(exact_match_rerank(enrich(found, chunks, docs), queries), k)
+
+
+def hashed_embedding(text: Column, size: int = 16) -> Column:
+    """A stand-in for an embedding model: counts of a text's words by hash bucket."""
+    words = X.word_run(text)
+    return F.aggregate(words, F.array_repeat(F.lit(0.0), size), lambda v, w: F.transform(v, lambda x, i: x + F.when(i == F.pmod(F.hash(w), F.lit(size)), 1.0).otherwise(0.0)))

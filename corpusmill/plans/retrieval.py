@@ -384,3 +384,12 @@ def c4(spark, sf):
 def c8(spark, sf):
     c = chunks(spark, sf)
     return C.contextualize(c, c.where("idx = 0").select("chunk_id", F.lit("lead").alias("summary"))).select("chunk_id", F.md5("content").alias("content_md5"))
+
+
+@query("r5_hybrid_search")
+def r5(spark, sf):
+    c, q = chunks(spark, sf), questions(spark, sf)
+    v = c.select("chunk_id", "doc_id", R.hashed_embedding(F.col("content")).alias("embedding"))
+    asked = q.select("query_id", R.hashed_embedding(F.col("query")).alias("embedding"))
+    rows = R.hybrid_search(R.postings(c), c, docs(spark, sf), q, 5, v, asked)
+    return rows.select("query_id", "chunk_id", "doc_id", "source", F.round("score", 6).alias("score"), "rank")
