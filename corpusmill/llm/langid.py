@@ -27,6 +27,8 @@ from corpusmill.llm.common import materialize
 from corpusmill.llm.hashing import blocks, mix64
 
 SLOTS, HASHES, SIZES = 1 << 20, 3, (3, 4)
+#: Characters that are looked up at once; bounds the memory of a task.
+BLOCK = 1 << 19
 _U = np.uint64
 _LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER: list[np.ndarray] = []
@@ -87,7 +89,7 @@ def learn(docs: DataFrame, docs_per_lang: int = 1000, min_share: float = 0.125)
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 texts = list(rows["text"])
-                for cut in blocks([len(t) for t in texts]):
+                for cut in blocks([len(t) for t in texts], BLOCK):
                     h, _ = ngram_hashes(texts[cut])
                     h, n = np.unique(h, return_counts=True)
                     yield pd.DataFrame({"h": h.view(np.int64), "lang": lang, "n": n})
@@ -114,7 +116,7 @@ def judge(texts: list[str | None], langs: list[str], masks: np.ndarray, wrong: n
     """Language and score of each text. wrong: each language's rate of false positives."""
     told, score = ["und"] * len(texts), np.zeros(len(texts))
     rows = [k for k, t in enumerate(texts) if has_letter(t)] if langs else []
-    for part in blocks([len(texts[k]) for k in rows], 1 << 21):
+    for part in blocks([len(texts[k]) for k in rows], BLOCK):
         own = rows[part]
         h, owner = ngram_hashes([texts[k] for k in own])
         m = masks[(s := slots_of(h))[0]]
