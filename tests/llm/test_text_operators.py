@@ -150,6 +150,21 @@ def test_quality_cutoffs_hold_their_risk(spark):
     assert quality.choose_cutoffs(spark.createDataFrame(rows[:20], "lang string, text string"), 0.02, 0.05)["en"] == {}
 
 
+def test_quality_small_strata_have_rules(spark):
+    """Few labelled documents: a joint sequence of their own or the pool's cutoffs; a frequent stratum does not use up another's sample."""
+    text = " ".join(f"word{k}" for k in range(60))
+    symbols = text + " #" * 30
+    rows = [("en", text)] * 400 + [("de", text)] * 20 + [(None, text)] * 20 + [("xx", symbols)] * 2
+    cut = quality.choose_cutoffs(spark.createDataFrame(rows, "lang string, text string"), 0.02, 0.05)
+    assert set(cut["en"]) == set(quality.RULES) and cut["xx"] == {}
+    assert cut["de"] == cut[None] and set(cut["de"]) == set(quality.RULES)
+    n = 2000
+    docs = spark.createDataFrame([(k, text, "en" if k < n else "de") for k in range(n + 300)] + [(n + 300, symbols, "de")], "doc_id long, text string, lang string")
+    labels = docs.where(f"doc_id < {n + 300}").select("doc_id", F.lit(1).alias("quality"))
+    kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs, labels, max_labelled=300).where(f"doc_id >= {n}").collect()}
+    assert not kept[n + 300] and sum(kept.values()) == 300
+
+
 def variants(seed=3):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
