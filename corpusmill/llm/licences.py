@@ -1,6 +1,7 @@
 """Licence scans by sentences: known sentences become identifiers, and sequences of identifiers become licences.
 
-A text is cut into sentences at line breaks and after full stops, each is normalised (lower case, runs of anything but letters and digits
+A text is cut into sentences at line breaks and after full stops, but a known sentence that is wrapped over lines of one paragraph counts
+as well, with or without comment signs before the lines; each is normalised (lower case, runs of anything but letters and digits
 become one blank), and those in the table of known sentences give their identifier. A document's identifiers, in order, are matched
 against the rules in their order: each occurrence of a rule's sequence is replaced by the licence, so a sentence counts once and
 longer rules come before the shorter ones that they contain.
@@ -14,10 +15,12 @@ read as one document in order of position; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licences and notices, with their identifiers.
+# Short sentences of public licences and notices, with their identifiers.
 SENTENCES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-comply": 'you may not use this file except in compliance with the License.',
@@ -58,6 +61,53 @@ LICENCE_RULES = [
     ("BSD", ["bsd-redistribute"]),
     ("proprietary", ["all-rights"]),
 ]
+_FSF = "as published by the Free Software Foundation"
+_LATER = "or (at your option) any later version."
+# Whole official sentences, with their common variants. Those of an identifier above are further forms of it.
+OFFICIAL = {
+    "apache-grant": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this work except in compliance with the License.',
+        'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ),
+    "apache-copy": ("You may obtain a copy of the License at", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    "apache-asis": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',),
+    "mit-title": ("MIT License", "The MIT License"),
+    "mit-grant": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ),
+    "mit-condition": ("The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",),
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    **{
+        f"{i}{v[0]}-free": tuple(
+            f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License {_FSF}{comma} {tail}"
+            for what in ("program", "library", "software", "file")
+            for mark in (":", ";")
+            for comma in (",", ";")
+            for tail in (f"either version {v} of the License, {_LATER}", f"version {v} of the License.", f"version {v}.")
+        )
+        for i, name, versions in (("gpl", "", ("2", "3")), ("lgpl", "Lesser ", ("2.1", "3")), ("agpl", "Affero ", ("3",)))
+        for v in versions
+    },
+    "gpl-warranty": tuple(
+        f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+        for what in ("program", "library", "software", "file")
+    ),
+    "mpl-notice": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+}
+# Ordered rules of the official sentences, which come before the short ones.
+OFFICIAL_RULES = [
+    ("Apache-2.0", ["apache-grant", "apache-copy", "apache-asis", "apache-see"]),
+    ("Apache-2.0", ["apache-grant"]),
+    *[(licence, [i, *more]) for more in (["gpl-warranty"], []) for licence, i in (("GPL-2.0", "gpl2-free"), ("GPL-3.0", "gpl3-free"), ("LGPL-2.1", "lgpl2-free"), ("LGPL-3.0", "lgpl3-free"), ("AGPL-3.0", "agpl3-free"))],
+    ("ISC", ["isc-grant"]),
+    ("MPL-2.0", ["mpl-notice"]),
+]
+KNOWN: dict[str, str | tuple[str, ...]] = {i: tuple(([SENTENCES[i]] if i in SENTENCES else []) + list(OFFICIAL.get(i, ()))) for i in [*SENTENCES, *(i for i in OFFICIAL if i not in SENTENCES)]}
 #: Every known sentence has one of these, in any case.
 ANCHORS = ("licen", "permission", "copyright", "redistribut", "warranty", "rights reserved")
 
@@ -71,9 +121,43 @@ def sentences_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?:])[ \t]+", "$1\n"), "\n")
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = LICENCE_RULES, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
+def unwrapped(text: Column, parts: list[tuple[str, str]]) -> Column:
+    """The text with each known sentence of parts (identifier, sentence) that is wrapped over lines of one paragraph put in one line, in a form of the same identifier.
+
+    It starts at the start of a line or sentence and ends where a sentence or paragraph does; each line may begin with comment signs. The forms of one
+    identifier are one pattern; identifiers go from the longest sentence to the shortest. No line break but those inside such a sentence is touched."""
+    inner = r"(?:[^\p{L}\p{N}\n.!?:]|[.!?:](?![ \t\r\n]))"  # between words: a full stop and a blank would end the sentence
+    gap = rf"(?:{inner}++(?:\n{inner}*+)?|\n{inner}*+)"  # at most one line break: an empty line ends the paragraph
+    start = r"(?<=^|\n|[.!?:](?=[ \t]))([^\p{L}\p{N}\n]*+)"
+    end = r"(?=[^\p{L}\p{N}\n]*?(?:[.!?:](?:[ \t\r\n]|\z)|\z|\n[^\p{L}\p{N}\n]*(?:\n|\z)))"
+    forms: dict[str, set[tuple[str, ...]]] = {}
+    for i, p in parts:
+        forms.setdefault(i, set()).add(tuple(re.findall(r"[^\W_]+", p.lower())))
+    for own in sorted((sorted(f, key=lambda w: (-len(w), w)) for f in forms.values()), key=lambda f: (-len(f[0]), f)):
+        text = F.regexp_replace(text, "(?iu)" + start + _either(own, gap) + end, "$1" + " ".join(own[0]))
+    return text
+
+
+def _either(forms: list[tuple[str, ...]], gap: str) -> str:
+    """A pattern of any of forms, lists of words; a common beginning is written once."""
+    k = 0
+    while all(len(f) > k for f in forms) and len({f[k] for f in forms}) == 1:
+        k += 1
+    head = gap.join(forms[0][:k])
+    rest = sorted({f[k:] for f in forms}, key=lambda w: (-len(w), w))
+    if rest == [()]:
+        return head
+    by_first: dict[str, list[tuple[str, ...]]] = {}
+    for f in rest:
+        if f:
+            by_first.setdefault(f[0], []).append(f)
+    tails = "|".join((gap if k else "") + _either(own, gap) for own in by_first.values())
+    return f"{head}(?:{tails})" + ("?" if () in rest else "")
+
+
+def scan(docs: DataFrame, sentences: dict[str, str | tuple[str, ...]] = KNOWN, rules: list[tuple[str, list[str]]] = OFFICIAL_RULES + LICENCE_RULES, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences) for each document of docs (doc_id, text) with a known sentence; sentence_ids in order, licences distinct and sorted, both joined by commas."""
-    parts = [(i, p) for i, s in sentences.items() for p in _pieces(s)]
+    parts = [(i, p) for i, forms in sentences.items() for s in ([forms] if isinstance(forms, str) else forms) for p in _pieces(s)]
     if missing := [p for _, p in parts if not any(a in p.lower() for a in anchors)]:
         # A sentence of several pieces is known by those with an anchor.
         parts = [(i, p) for i, p in parts if p not in missing]
@@ -82,7 +166,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     spark = docs.sparkSession
     known = spark.createDataFrame(parts, "sentence_id string, sentence string").select("sentence_id", normal(F.col("sentence")).alias("normal")).dropDuplicates(["normal"])
     likely = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(anchors)))
-    cut = likely.select("doc_id", F.posexplode(F.filter(sentences_of(F.col("text")), lambda s: s.rlike("(?i)" + "|".join(anchors)))).alias("pos", "sentence"))
+    cut = likely.select("doc_id", F.posexplode(F.filter(sentences_of(unwrapped(F.col("text"), parts)), lambda s: s.rlike("(?i)" + "|".join(anchors)))).alias("pos", "sentence"))
     found = cut.withColumn("normal", normal(F.col("sentence"))).join(F.broadcast(known), "normal")
     runs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence_id"))).alias("s"))
     ids = F.transform("s", lambda s: s.sentence_id)

@@ -99,3 +99,51 @@ def test_licences(spark):
     got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("normal", F.lit("clash"))).collect()}
     assert {k: r["licences"] for k, r in got.items()} == {1: "Apache-2.0", 2: "MIT", 3: "MIT", 7: "CC-BY-NC-4.0", 8: ""}
     assert got[3]["n_sentences"] == 2 and licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_licences_verbatim_headers(spark):
+    """Official headers: wrapped, as comments, with carriage returns, and each paragraph in one line."""
+    gpl2 = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
+    heads = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0": GPL, "GPL-2.0": gpl2}
+    shapes = [lambda t: t, lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */", lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: t.replace("\n", "\r\n"), lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))]
+    rows = [(f"{name}/{k}", "Prose before.\n\n" + shape(text) + "\n\nProse after.") for name, text in heads.items() for k, shape in enumerate(shapes)]
+    no = [("apart", "Licensed under\n\nCC BY-NC 4.0."), ("cut", "Licensed under. CC BY-NC 4.0."), ("longer", "Not released under the\nMIT License at all.")]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows + no, "doc_id string, text string")).collect()}
+    assert {i: got[i]["licences"] for i, _ in rows if i in got} == {i: i.split("/")[0] for i, _ in rows}
+    assert not {i for i, _ in no} & set(got)
+    assert all(got[f"{name}/{k}"]["sentence_ids"] == got[f"{name}/0"]["sentence_ids"] for name in heads for k in range(len(shapes)))
