@@ -29,18 +29,25 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document of the least doc_id stays; of repeated rows one."""
-    told = neardup.near_duplicates(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(told, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
+    """Of each class of near-duplicate texts one row stays: that of the least doc_id, a null one counting last, and of the least text key.
+
+    Texts of other classes stay, whether their doc_id is null or repeated."""
+    _, texts = neardup.text_classes(docs.select("doc_id", "text"))
+    told = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("least"), F.col("id").alias("key"))).alias("t")).select("t.key", "t.least")
+    told = materialize(told, "dup-kept")
+    keyed = docs.select(*COLUMNS, neardup.text_key().alias("text_key"))
+    kept = keyed.join(told, (F.col("text_key") == F.col("key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("least")), "left_semi")
+    first = Window.partitionBy("text_key").orderBy("doc_id", "text", "lang", "source", "n_chars")
     return kept.withColumn("k", F.row_number().over(first)).where("k = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    told = mixing.mix(docs.select("doc_id", "text", "source"), quality=label_weights(table(spark, sf_dir, "labels")))
-    times = materialize(told.where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")), "mix-times")
-    return docs.select(*COLUMNS).join(times, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select(*COLUMNS)
+    """Each row as often as the mix takes it; rows are told apart by all their columns, so that null and repeated ids do not meet."""
+    keyed = docs.select(*COLUMNS, F.md5(F.to_json(F.struct("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text")))).alias("row_key"))
+    told = mixing.mix(keyed.select("doc_id", "text", "source", "row_key"), quality=label_weights(table(spark, sf_dir, "labels")), row_key="row_key")
+    times = told.where("taken > 0").groupBy("row_key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))  # identical rows together
+    times = materialize(times, "mix-times")
+    return keyed.join(times, "row_key").dropDuplicates(["row_key"]).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,9 +39,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return rows.withColumn("at", level).select("source", "source_size", F.least("cap", F.coalesce(F.col("at") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, rows_per_range: int = 20_000, quality: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text, source) as (doc_id, source, size, source_size, target, taken). quality: rows (doc_id, weight); a document without one weighs 1."""
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, rows_per_range: int = 20_000, quality: DataFrame | None = None, row_key: str | None = None) -> DataFrame:
+    """docs (doc_id, text, source) as (doc_id, source, size, source_size, target, taken). quality: rows (doc_id, weight); a document without one weighs 1.
+    row_key: a string column of docs that tells rows of null or repeated doc_id apart; it is returned as well."""
+    keys = [row_key] if row_key else []
+    sizes = docs.select("doc_id", *keys, "source", n_words(F.col("text")).alias("size"))
     if quality is not None:
         sizes = sizes.join(quality.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
     else:
@@ -49,7 +51,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     sizes = materialize(sizes.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1e-9))), "mix-sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = materialize(targets(sources, weights, share, most).join(sources.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-sources")
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), *keys))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
     rows = sizes.withColumn("key", -F.log(u) / F.col("weight"))
     small = sized(sources.select(F.col("source").alias("s"), "source_size", "target", "n_docs"))
     rows = rows.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -61,8 +63,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start"))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     more = (F.col("before") + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)
     taken = F.col("size") * (F.col("epochs") + F.when(more, 1).otherwise(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", *keys, "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

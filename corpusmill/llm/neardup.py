@@ -197,6 +197,14 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, m: int = COMPON
     """(doc_id, class_id, n_links): class_id is the least doc_id of the class, n_links the verified links of the document's text to other texts.
 
     docs (doc_id, text). Classes are the connected components of texts whose multiset likeness is at least likeness."""
+    sketch, known = text_classes(docs, likeness, m, rows, width)
+    least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = materialize(known.join(least, "label").select("id", "class_id", "n_links"), "dup-named")
+    return sketch.select("doc_id", "id").join(named, "id").select("doc_id", "class_id", "n_links")
+
+
+def text_classes(docs: DataFrame, likeness: float = LIKENESS, m: int = COMPONENTS, rows: int = ROWS_PER_BAND, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The sketch (doc_id, id, bands) of every document, id being its text_key, and (id, doc_id, label, n_links) of every text: its least doc_id, if any, and the label of its class."""
     sketch = materialize(_sketch(docs, m, rows, width), "dup-sketch")
     texts = materialize(sketch.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "dup-texts")
     buckets = texts.where(F.hex("id") != hashlib.md5(b"").hexdigest().upper()).select("id", F.explode("bands").alias("band"))
@@ -218,7 +226,4 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, m: int = COMPON
     links = materialize(links.unionByName(_verified(_may_link(open_, sets, likeness), sets, likeness)).distinct(), "dup-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = texts.select("id", "doc_id").join(classes(nodes, links), "id", "left").join(degree, "id", "left")
-    known = materialize(known.select("id", "doc_id", F.coalesce("label", "id").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "dup-known")
-    least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    named = materialize(known.join(least, "label").select("id", "class_id", "n_links"), "dup-named")
-    return sketch.select("doc_id", "id").join(named, "id").select("doc_id", "class_id", "n_links")
+    return sketch, materialize(known.select("id", "doc_id", F.coalesce("label", "id").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "dup-known")

@@ -42,3 +42,34 @@ def test_stages(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert P.run(spark, SF).columns == ["doc_id", "lang", "source", "ids", "n_pieces"]
+
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(k, n=60):
+    return " ".join(f"word{k}x{i}" for i in range(n))
+
+
+def odd_rows(spark):
+    """A class with a copy of null and one of repeated doc_id, texts that share a doc_id or have none, repeated rows, and clashing columns."""
+    near = prose(1) + " end"
+    rows = [(1, prose(1)), (None, prose(1)), (1, near), (7, prose(2)), (7, prose(3)), (None, prose(4)), (None, prose(5)), (None, prose(5)), (8, prose(6)), (8, prose(6))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], KINDS)
+    return frame.selectExpr("*", "'clash' as id", "'clash' as label", "'clash' as key", "'clash' as k", "'clash' as text_key", "'clash' as row_key", "'clash' as times")
+
+
+def test_near_duplicates_and_mixing_keep_odd_rows(spark):
+    odd = odd_rows(spark)
+    kept = P.drop_near_duplicates(spark, odd, SF)
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == P.COLUMNS and len(rows) == 6
+    assert collections.Counter(i for i, _ in rows) == {1: 1, 7: 2, None: 2, 8: 1}
+    assert {t for i, t in rows if i != 1} == {prose(k) for k in (2, 3, 4, 5, 6)}
+    mixed = P.mix_sources(spark, kept, SF)
+    taken = collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    assert mixed.columns == P.COLUMNS and set(taken) == set(rows) and max(taken.values()) <= 2 and sum(taken.values()) == 9
+    again = collections.Counter(r["text"] for r in P.mix_sources(spark, odd, SF).collect())
+    assert sum(again.values()) == 15 and again[prose(5)] >= 2 and again[prose(2)] >= 1
+    for stage in (P.drop_near_duplicates, P.mix_sources):
+        assert stage(spark, odd.limit(0), SF).count() == 0
