@@ -17,9 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those of null text or without a letter."""
-    rows = langid.identify(docs.select(*COLUMNS), keep=("text", "lang", "source", "n_chars"))
-    return rows.where("lang_pred <> 'und'").select(*COLUMNS)
+    """Documents without a language go: those of null text or without a letter, and those whose n-grams are no more known than by chance.
+
+    lang becomes the predicted language, by which the quality rules are stratified. If nothing could be learned, all documents go."""
+    rows = langid.identify(docs.select(*COLUMNS), keep=("text", "source", "n_chars"), evidence=True)
+    return rows.where("lang_pred <> 'und' and evidence").withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ belongs to a language if its rate there is at least min_share of its highest rat
 
 Defined cases: null text and text without letters is `und` with score 0; a text none of whose n-grams is known gets the most
 frequent learned language with score 0; ties go to the first language by code point; with nothing to learn from all is `und`;
-documents of null doc_id or lang are never learned from, but are judged; repeated rows are judged alike; whole texts are read.
+a text has evidence if the n-grams known in its language are more than the filter's false positives explain, by CHANCE standard deviations; documents of null doc_id or lang are never learned from, but are judged; repeated rows are judged alike; whole texts are read.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from corpusmill.llm.common import materialize
 from corpusmill.llm.hashing import blocks, mix64
 
 SLOTS, HASHES, SIZES = 1 << 20, 3, (3, 4)
+#: Standard deviations above the expected false positives from which n-grams are taken as known.
+CHANCE = 4.0
 #: Characters that are looked up at once; bounds the memory of a task.
 BLOCK = 1 << 19
 _U = np.uint64
@@ -112,9 +114,9 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def judge(texts: list[str | None], langs: list[str], masks: np.ndarray, wrong: np.ndarray, usual: str) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text. wrong: each language's rate of false positives."""
-    told, score = ["und"] * len(texts), np.zeros(len(texts))
+def judge(texts: list[str | None], langs: list[str], masks: np.ndarray, wrong: np.ndarray, usual: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and whether it has evidence. wrong: each language's rate of false positives."""
+    told, score, sure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     rows = [k for k, t in enumerate(texts) if has_letter(t)] if langs else []
     for part in blocks([len(texts[k]) for k in rows], BLOCK):
         own = rows[part]
@@ -126,23 +128,26 @@ def judge(texts: list[str | None], langs: list[str], masks: np.ndarray, wrong: n
         hits = np.stack([np.bincount(owner[((m >> _U(b)) & _U(1)).astype(bool)], minlength=len(own)) for b in range(len(langs))], axis=1)
         true = np.clip((hits - wrong * n[:, None]) / np.maximum(1 - wrong, 1e-9), 0, None)
         best, total = true.argmax(axis=1), true.sum(axis=1)
+        chance = wrong * n[:, None] + CHANCE * np.sqrt(wrong * (1 - wrong) * n[:, None])
+        enough = (hits > chance)[np.arange(len(own)), best]
         for k, row in enumerate(own):
+            sure[row] = enough[k]
             told[row] = langs[best[k]] if total[k] > 0 else usual
             score[row] = true[k, best[k]] / total[k] if total[k] > 0 else 0.0
-    return told, score
+    return told, score, sure
 
 
-def identify(docs: DataFrame, docs_per_lang: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, and the columns named in keep) with held_out, lang_pred and score."""
+def identify(docs: DataFrame, docs_per_lang: int = 1000, keep: tuple[str, ...] = (), evidence: bool = False) -> DataFrame:
+    """docs (doc_id, text, and the columns named in keep) with held_out, lang_pred and score, and evidence if it is asked for."""
     langs, masks, usual = learn(docs, docs_per_lang)
     wrong = np.array([float(((masks >> _U(b)) & _U(1)).mean()) ** HASHES for b in range(len(langs))])
     table = docs.sparkSession.sparkContext.broadcast(masks)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, evidence boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            told, score = judge(list(texts), langs, table.value, wrong, usual)
-            yield pd.DataFrame({"lang_pred": told, "score": score})
+            told, score, sure = judge(list(texts), langs, table.value, wrong, usual)
+            yield pd.DataFrame({"lang_pred": told, "score": score, "evidence": sure})
 
     rows = docs.select("doc_id", *keep, predict("text").alias("p"), held_out().alias("held_out"))
-    return rows.select("doc_id", *keep, "held_out", "p.lang_pred", "p.score")
+    return rows.select("doc_id", *keep, "held_out", "p.lang_pred", "p.score", *(["p.evidence"] if evidence else []))

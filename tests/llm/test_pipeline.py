@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from corpusmill.llm import queries
 
@@ -73,3 +75,17 @@ def test_near_duplicates_and_mixing_keep_odd_rows(spark):
     assert sum(again.values()) == 15 and again[prose(5)] >= 2 and again[prose(2)] >= 1
     for stage in (P.drop_near_duplicates, P.mix_sources):
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_language_decides(spark):
+    """A text of no given language in an unlearned script goes, and the predicted language replaces a wrong or missing one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS)
+    text = docs.where("lang = 'de'").orderBy(F.desc(F.length("text")), "doc_id").first()["text"]
+    unknown = " ".join(chr(0x10D0 + (7 * i + i * i) % 33) + chr(0x10D0 + 5 * i % 33) + chr(0x10D0 + i * i * i % 33) + chr(0x10D0 + i % 31) for i in range(400))
+    more = spark.createDataFrame([(-1, text, "en", "s", 0), (-2, text, None, "s", 0), (-3, unknown, None, "s", 0), (-4, "12 34", "en", "s", 0)], KINDS)
+    more = more.union(spark.createDataFrame([(None, unknown + " " + unknown, None, "s", 0)], KINDS))
+    kept = P.identify_language(spark, docs.unionByName(more), SF)
+    assert kept.columns == P.COLUMNS
+    assert {r["doc_id"]: r["lang"] for r in kept.where("doc_id < 0").collect()} == {-1: "de", -2: "de"}
+    assert kept.where("doc_id is null").count() == 0
+    assert kept.where("doc_id >= 0").count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
