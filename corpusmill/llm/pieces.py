@@ -1,25 +1,30 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text's blanks become the mark U+2581, one more is put before it, and it is cut into words where no piece can reach across.
-Each distinct word of the corpus is encoded once: its substrings up to the longest piece's length are exploded and joined to the
-piece table, the matches are grouped by word, and a fold over them in order of their ends keeps the best path to each place (Viterbi). Of equal
-scores the path with the longer last piece wins. A character without a piece becomes its UTF-8 bytes' pieces (byte fallback).
+Words are encoded by relations: the substrings of a word up to the longest piece's length are exploded and joined to the piece table, the
+matches are grouped by word, and a fold over them in order of their ends keeps the best path to each place (Viterbi). Of equal
+costs the path with the longer last piece wins. A character without a piece becomes its UTF-8 bytes' pieces (byte fallback).
 
-The commonest words of a bounded sample of SAMPLE documents, at most HEAD of them, are broadcast to the tasks that read the texts; each
-text's other words are encoded, once each, and joined back by the text's key. Which words are common affects the speed alone. Words over
-MAX_WORD characters, which are too long to explode, are encoded by the same recurrence inside the task.
+Texts are read once. A task packs blocks of texts, of BLOCK characters or PARTS distinct parts: the numbers of each text's parts, the words of each
+part, and the distinct words. These blocks are written, bucketed by block; the words that the commonest words of a sample (about SAMPLE documents, at most
+HEAD words, encoded beforehand in the same way) do not hold are dealt evenly, encoded, and meet their block again, so that neither texts
+nor packed texts are shuffled. Which words are common affects the speed alone.
 
 A model whose scores are merge ranks (BPE) has no probabilities; load() gives its pieces the logarithm of a Zipf law over the ranks,
-under which nine tenths of words get the pieces that the merges give.
+under which nine tenths of words get the pieces that the merges give. Scores are added as whole numbers, at a resolution of 2 ** -19 of the worst.
 
 Defined cases: null and empty texts have no piece and decode to the empty text; U+2581 in a text decodes to a blank, as the
-tokenizer's own decoder has it; any other text decodes to itself; repeated rows are encoded alike; an empty table gives no rows.
+tokenizer's own decoder has it; any other text decodes to itself; repeated rows are encoded alike; a null doc_id is a document like
+others; texts are encoded whole, and only a word of over a million characters is cut at each million; an empty table gives no rows; kept columns may have any names but
+ids and round_trip.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,15 +33,20 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.common import materialize
+from corpusmill.llm.common import materialize, shared_dir
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD, SAMPLE, MAX_WORD, MARK = 200_000, 20_000, 48, "▁"
-#: Parts of texts whose pieces a task remembers, and rows that are passed to Python at once: both bound its memory.
-MEMO, ROWS = 60_000, 1000
+HEAD, SAMPLE, MARK = 200_000, 10_000, "▁"
+#: Characters and distinct parts of the texts that are packed together; both bound the memory of a task.
+BLOCK, PARTS = 1 << 25, 600_000
+#: Words that a task encodes, parts that are unpacked at once, and the longest word.
+WORDS, UNPACKED, MAX_WORD = 50_000, 400_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -47,10 +57,6 @@ class Pieces:
     byte_ids: tuple[int, ...]
     unknown: int
 
-    @cached_property
-    def by_text(self) -> dict[str, tuple[int, float]]:
-        return {p: (i, s) for i, (p, s) in self.normal.items()}
-
     @cached_property
     def longest(self) -> int:
         return max(len(p) for p, _ in self.normal.values())
@@ -73,48 +79,59 @@ class Pieces:
             return re.compile(rf"{MARK}*[^{MARK}{line}]+|{MARK}+|\n")
         return re.compile(rf"{MARK}*{letter.pattern}+|{MARK}*(?:[^\w{MARK}{line}]|[\d_{re.escape(odd)}])+|{MARK}+|\n")
 
+    @cached_property
+    def scale(self) -> float:
+        """Costs are scores times this, as whole numbers below 2 ** 19."""
+        if self.longest > 63 or max(self.normal) >= (1 << 18) - 1 or max(s for _, s in self.normal.values()) > 0:
+            raise ValueError("pieces of at most 63 characters, of ids below 2 ** 18 and with scores of at most 0 are needed")
+        return 2.0 ** math.floor(math.log2(((1 << 19) - 1) / -self.unknown_score))
+
+    def cost(self, score: float) -> int:
+        return round(-score * self.scale)
+
     def cut(self, text: str | None) -> list[str]:
-        return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
+        return [w[k : k + MAX_WORD] for w in self.words.findall(MARK + text.replace(" ", MARK)) for k in range(0, len(w), MAX_WORD)] if text else []
 
-    def blanked(self, text: str | None) -> list[str] | None:
-        """The parts of a text between single blanks, each of which cut() cuts for itself; None if there are others."""
+    def parts(self, text: str | None) -> list[str] | list[bytes]:
+        """The parts of a text between single blanks, each of which cut() cuts for itself; if there are other blanks or marks, its words as bytes."""
         parts = text.split(" ") if text else []
-        return None if "" in parts or (text and MARK in text) else parts
-
-    def spelled(self, word: str, ids: list[int]) -> bytes:
-        """ids of a word as 32-bit integers, the unknown (-1) as byte pieces."""
-        if min(ids, default=0) < 0:
-            out, at = [], 0
-            for i in ids:
-                out += [i] if i >= 0 else [self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
-                at += len(self.normal[i][0]) if i >= 0 else 1
-            ids = out
-        return np.asarray(ids, "<u4").tobytes()
-
-    def long_word(self, word: str) -> bytes:
-        """The same best path, for a word that is too long to explode."""
-        best, back = [0.0], [(0, 0)]
-        for e in range(1, len(word) + 1):
-            top: tuple[float, int, int] | None = None
-            for s in range(max(0, e - self.longest), e):
-                i, score = self.by_text.get(word[s:e], (-1, self.unknown_score if e - s == 1 else None))
-                if score is not None and (top is None or best[s] + score > top[0]):
-                    top = (best[s] + score, s, i)
-            best.append(top[0])
-            back.append(top[1:])
-        ids, e = [], len(word)
-        while e:
-            e, i = back[e]
-            ids.append(i)
-        return self.spelled(word, ids[::-1])
+        return [w.encode() for w in self.cut(text)] if "" in parts or (text and MARK in text) else parts
+
+    def words_of(self, part: str | bytes) -> list[str]:
+        if isinstance(part, bytes):
+            return [part.decode()]
+        return [MARK + part] if part.isalpha() and len(part) < MAX_WORD else self.cut(part)
+
+    def spelled(self, word: str, ids: list[int]) -> list[int]:
+        """ids of a word, the unknown (-1) as byte pieces."""
+        out, at = [], 0
+        for i in ids:
+            out += [i] if i >= 0 else [self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+            at += len(self.normal[i][0]) if i >= 0 else 1
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self._bytes
-        return b"".join([table.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+        data, _ = gather(*self.piece_bytes, np.asarray(ids, np.int64))
+        return data.tobytes().decode("utf-8", "replace")[1:]
 
     @cached_property
-    def _bytes(self) -> dict[int, bytes]:
-        return {i: p.replace(MARK, " ").encode() for i, (p, _) in self.normal.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)} | {self.unknown: " ⁇ ".encode()}
+    def piece_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pieces by id, one after the other, and the number of bytes of each."""
+        table = {i: p.replace(MARK, " ").encode() for i, (p, _) in self.normal.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)} | {self.unknown: " ⁇ ".encode()}
+        each = [table.get(i, b"") for i in range(max(table) + 1)]
+        return np.frombuffer(b"".join(each), np.uint8), np.array([len(x) for x in each])
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat, which have sizes, that are numbered in which, one after the other, and their sizes."""
+    taken = sizes[which]
+    shift = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(taken) - taken)
+    return flat[np.repeat(shift, taken) + np.arange(taken.sum())], taken
+
+
+def runs(sizes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of sizes over runs of them; of: the length of each run."""
+    return np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(of)))])
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -130,65 +147,72 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces({i: (sp.id_to_piece(i), s) for i, s in scores.items()}, tuple(i for i in every if sp.is_byte(i)), sp.unk_id())
 
 
-def _count_words(docs: DataFrame, model: Pieces) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update(model.cut(text))
-                if len(seen) > 300_000:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+def piece_table(spark: SparkSession, model: Pieces) -> DataFrame:
+    """(piece, id, cost) of the normal pieces, written once; its size is that of the model file."""
+    rows = pd.DataFrame([(p, i, model.cost(s)) for i, (p, s) in model.normal.items()], columns=["piece", "id", "cost"])
+    return materialize(spark.createDataFrame(rows, "piece string, id int, cost long"), "pieces-table")
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
 
-    words = docs.select("text").mapInPandas(run, "word string, n long")
-    return words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.sum("n").alias("n"))
+def _edge(e: Column, k: Column, cost: Column, id_: Column) -> Column:
+    """End, 63 - length, cost and id + 1 of an edge as one number: 20, 6, 19 and 18 bits. In its order longer edges come first at each end."""
+    return F.shiftleft(e.cast("long"), 43) + F.shiftleft((63 - k).cast("long"), 37) + F.shiftleft(cost, 18) + (id_ + 1).cast("long")
 
 
-def best_path(edges: Column, scores: Column) -> Column:
-    """Ids of the best path over edges, packed by _pack() and sorted, with an edge into every place. scores: by id + 1."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("path")))
+def best_path(edges: Column) -> Column:
+    """Ids of the cheapest path over sorted edges, which have one into every place; -1 for a character without a piece.
+
+    The fold's state has a number for each place: the cost of the best path to it, and 63 - length and id + 1 of its last edge."""
 
     def step(best: Column, x: Column) -> Column:
-        e, one = F.shiftright(x, 40).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-        into = F.get(best, F.shiftright(x, 32).bitwiseAND(F.lit(0xFF)).cast("int"))
-        score = into.score + F.get(scores, one)
-        new = F.array(F.struct(score.alias("score"), F.concat(into.path, F.lit(" "), one.cast("string")).alias("path")))
-        return F.when(e == F.size(best), F.concat(best, new)).when(score > F.get(best, e).score, F.concat(F.slice(best, F.lit(1), e), new)).otherwise(best)
-
-    path = F.aggregate(edges, start, step, lambda best: F.element_at(best, -1).path)
-    return F.transform(F.split(F.ltrim(path), " "), lambda one: one.cast("int") - 1)
-
-
-def _pack(e: Column, s: Column, id_: Column) -> Column:
-    """End, start and id + 1 of an edge as one number, in this order."""
-    return F.shiftleft(e.cast("long"), 40) + F.shiftleft(s.cast("long"), 32) + (id_ + 1).cast("long")
-
-
-def encode_words(words: DataFrame, model: Pieces, *keep: str) -> DataFrame:
-    """words (word, and the columns named in keep, which depend on it) with ids, -1 for a character without a piece. Words that are dealt by word stay where they are."""
-    spark = words.sparkSession
-    # Words of a task are grouped in memory; their number is bounded by the number of partitions.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
-    # The piece table has a fixed size, that of the model file.
-    pieces = spark.createDataFrame(pd.DataFrame([(p, i) for i, (p, _) in model.normal.items()], columns=["piece", "id"]), "piece string, id int")
-    by_id = [model.unknown_score, *[model.normal[i][1] if i in model.normal else 0.0 for i in range(max(model.normal) + 1)]]
-    scores = F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>")  # folded to a literal
+        e = F.shiftright(x, 43).cast("int")
+        k = F.shiftright(x, 37).bitwiseAND(_long(63))
+        before = F.get(best, e - 63 + k.cast("int")).bitwiseAND(_long(~0xFFFFFF))
+        new = before + F.shiftleft(F.shiftright(x, 18).bitwiseAND(_long(0x7FFFF)), 24) + F.shiftleft(k, 18) + x.bitwiseAND(_long(0x3FFFF))
+        return F.when(e == F.size(best), F.array_append(best, new)).when(F.get(best, e) <= new, best).otherwise(F.array_append(F.slice(best, F.lit(1), e), new))
+
+    def back(best: Column) -> Column:
+        def one(path: Column, _: Column) -> Column:
+            last = F.get(best, path.at)
+            before = path.at - 63 + F.shiftright(last, 18).bitwiseAND(_long(63)).cast("int")
+            ids = F.array_append(path.ids, last.bitwiseAND(_long(0x3FFFF)).cast("int") - 1)
+            return F.when(path.at > 0, F.struct(before.alias("at"), ids.alias("ids"))).otherwise(path)
+
+        start = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
+        return F.reverse(F.aggregate(best, start, one, lambda path: path.ids))
+
+    return F.aggregate(edges, F.array(_long(0)), step, back)
+
+
+def encode_words(words: DataFrame, table: DataFrame, model: Pieces, *key: str) -> DataFrame:
+    """words (word, and key columns that tell words apart) as (key columns, ids); a character without a piece has the id -1. Rows that are dealt by key stay where they are."""
+    starts = words.select(*key, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     # Two explodes, first of starts and then of lengths, stay in generated code.
-    starts = words.select("word", *keep, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
-    spread = starts.select("word", *keep, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("s")))).alias("k"))
-    spread = spread.select("word", *keep, "s", (F.col("s") + F.col("k")).alias("e"), F.substr("word", F.col("s") + 1, F.col("k")).alias("piece"))
-    met = spread.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    edges = met.groupBy("word", *keep).agg(F.collect_list(_pack(F.col("e"), F.col("s"), F.coalesce("id", F.lit(-1)))).alias("edges"))
-    return edges.select("word", *keep, best_path(F.sort_array("edges"), scores).alias("ids"))
-
-
-def _common_words(docs: DataFrame, model: Pieces, head: int, sample: int) -> DataFrame:
-    """(word, ids) of the commonest words of a bounded sample, at most head of them."""
-    ids = materialize(docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "pieces-sample")
-    few = docs.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "d")), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    counted = materialize(_count_words(few, model), "pieces-counts")
+    spread = starts.select(*key, "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("s")))).alias("k"))
+    spread = spread.select(*key, (F.col("s") + F.col("k")).alias("e"), "k", F.substr("word", F.col("s") + 1, F.col("k")).alias("piece"))
+    met = spread.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
+    edge = _edge(F.col("e"), F.col("k"), F.coalesce("cost", _long(model.cost(model.unknown_score))), F.coalesce("id", F.lit(-1)))
+    return met.groupBy(*key).agg(F.collect_list(edge).alias("edges")).select(*key, best_path(F.sort_array("edges")).alias("ids"))
+
+
+def _common_words(docs: DataFrame, table: DataFrame, model: Pieces, head: int, sample: int) -> DataFrame:
+    """(word, ids) of the commonest words of about sample documents, at most head of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                seen.update(model.cut(text))
+            if len(seen) > PARTS:
+                yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+                seen.clear()
+        yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+    few = docs.select("text").sample(min(1.0, sample / max(1, docs.count())), 7)
+    counted = materialize(few.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "pieces-counts")
     level = F.floor(F.log2("n")).cast("int")
     total, cut = 0, 64
     for k, n in sorted(counted.groupBy(level.alias("k")).count().collect(), reverse=True):  # at most 64 rows
@@ -196,80 +220,173 @@ def _common_words(docs: DataFrame, model: Pieces, head: int, sample: int) -> Dat
         if total > head:
             break
         cut = k
-    return encode_words(counted.where(level >= cut).select("word").repartition(max(8, head // 20_000), "word"), model)
+    return encode_words(counted.where(level >= cut).select("word").repartition(max(8, head // 20_000), "word"), table, model, "word")
+
+
+class _Numbers(dict):
+    """Numbers for keys, in order of their first use."""
+
+    def __missing__(self, key: str | bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    batch = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in arrays.values()], list(arrays))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return {name: batch[name].flatten().to_numpy(zero_copy_only=False) for name in batch.schema.names}
+
+
+def _spelled(words: list[str], ids: pa.Array, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words, one after the other, and the number of ids of each, with byte pieces for characters without a piece."""
+    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    ends = np.cumsum(sizes)
+    odd = np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right"))
+    out, done = [], 0
+    for k in odd:
+        own = model.spelled(words[k], flat[ends[k] - sizes[k] : ends[k]].tolist())
+        out += [flat[done : ends[k] - sizes[k]], np.array(own, np.int32)]
+        done, sizes[k] = ends[k], len(own)
+    return np.concatenate([*out, flat[done:]]), sizes
+
+
+def _first_uses(numbers: np.ndarray) -> np.ndarray:
+    """Whether a number of 0 or more is larger than all before it."""
+    return numbers > np.maximum.accumulate(np.concatenate(([-1], numbers)))[:-1]
+
+
+def _planes(name: str, numbers: np.ndarray) -> dict[str, np.ndarray]:
+    """The first, second and third bytes of numbers below 2 ** 24, which are packed better apart."""
+    return {f"{name}{k}": (numbers >> (8 * k)).astype(np.uint8) for k in range(3)}
+
+
+def _numbers(name: str, planes: dict[str, np.ndarray]) -> np.ndarray:
+    return sum(planes[f"{name}{k}"].astype(np.int64) << (8 * k) for k in range(3))
+
+
+def _pack(parts: _Numbers, codes: list[np.ndarray], known: dict[str, int], known_ids: np.ndarray, known_sizes: np.ndarray, model: Pieces) -> tuple[bytes, list[str]]:
+    """The packed parts of a block's texts, numbered by frequency, with what is known of their words; and the words that are not known."""
+    numbers = np.concatenate([np.zeros(0, np.uint32), *codes])
+    order = np.argsort(-np.bincount(numbers, minlength=len(parts)), kind="stable")
+    rank = np.empty(len(parts), np.uint32)
+    rank[order] = np.arange(len(parts))
+    numbers, keys = rank[numbers], list(parts)
+    rare, met = _Numbers(), _Numbers()
+    flat, sizes = [], np.zeros(len(keys), np.int32)
+    for k, at in enumerate(order):
+        words = model.words_of(keys[at])
+        sizes[k] = len(words)
+        flat += [~met[known[w]] if w in known else rare[w] for w in words]
+    flat = np.array(flat, np.int64)
+    # Words are numbered by first use, so 0 and 1 stand for the next rare and the next known word; others are referred to.
+    own = np.where(flat < 0, len(rare) + ~flat, flat)
+    flat = np.where(_first_uses(flat), 0, np.where(_first_uses(~flat), 1, own + 2))
+    own_ids, own_sizes = gather(known_ids, known_sizes, np.fromiter(met, np.int64, len(met)))
+    return _packed(_planes("part", numbers) | _planes("word", flat) | {"sizes": sizes, "known_ids": own_ids.astype(np.int32), "known_sizes": own_sizes.astype(np.int32)}), list(rare)
 
 
 def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPLE, keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
     """docs (doc_id, text, and the columns named in keep) with ids, the pieces of the text, and if check is set, round_trip: whether they decode to it."""
     spark: SparkSession = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    table = piece_table(spark, model)
+    common = _common_words(docs, table, model, head, sample).toArrow()  # at most head rows, some MB
+    ids, sizes = _spelled(common["word"].to_pylist(), common["ids"].combine_chunks(), model)
+    at_hand = spark.sparkContext.broadcast((_packed({"words": common["word"].combine_chunks(), "ids": ids, "sizes": sizes})))
+    # Columns travel under names of their own, so that no name clashes.
+    kept = {f"c{k}": name for k, name in enumerate(["doc_id", *keep])}
+    kinds = {c: docs.schema[name].dataType for c, name in kept.items()}
+    block_type = T.StructType([T.StructField(c, t) for c, t in kinds.items()] + [T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n_parts", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("packed", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = _unpacked(at_hand.value)
+        known = {w: k for k, w in enumerate(common["words"])}
+        block = TaskContext.get().partitionId() << 32
+        parts, codes, digests, rows, chars = _Numbers(), [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            packed, rare = _pack(parts, codes, known, common["ids"], common["sizes"], model)
+            n = len(codes)
+            table = pa.Table.from_batches(rows).combine_chunks()
+            more = [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(map(len, codes), pa.int32()), pa.array(digests, pa.binary()), pa.array([packed] + [None] * (n - 1), pa.binary()), pa.array([rare] + [None] * (n - 1), pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([*(table[c].chunk(0) for c in kept), *more], names=block_type.names)
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for words, ids in batches:
-            yield pd.Series([model.spelled(w, list(i)) for w, i in zip(words, ids, strict=True)])
-
-    common = _common_words(docs, model, head, sample).select("word", packed("word", "ids").alias("spelled")).toArrow()  # at most head rows, some MB
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, common.schema) as stream:
-        stream.write_table(common)
-    table = spark.sparkContext.broadcast(out.getvalue().to_pybytes())
-
-    def common_words() -> dict[str, bytes]:
-        rows = pa.ipc.open_stream(table.value).read_all()
-        return dict(zip(rows["word"].to_pylist(), rows["spelled"].to_pylist(), strict=True))
-
-    @F.pandas_udf("array<string>")
-    def rare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, plain = common_words(), set()
-
-        def of(text: str | None) -> list[str]:
-            parts = model.blanked(text)
-            if parts is None:
-                return [w for w in set(model.cut(text)) if w not in known and len(w) <= MAX_WORD]
-            out = set()
-            for part in set(parts) - plain:
-                new = [w for w in model.cut(part) if w not in known and len(w) <= MAX_WORD]
-                out.update(new)
-                if not new and len(plain) < MEMO:
-                    plain.add(part)
-            return list(out)
-
-        for texts in batches:
-            yield pd.Series([of(t) for t in texts])
-
-    @F.pandas_udf("ids array<int>, round_trip boolean")
-    def spell(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        known, memo = common_words(), {}
-
-        def word(w: str, more: dict[str, list[int]]) -> bytes:
-            return known.get(w) or (model.spelled(w, list(more[w])) if w in more else model.long_word(w))
-
-        def of(text: str | None, more: dict[str, list[int]]) -> np.ndarray:
-            parts = model.blanked(text)
-            if parts is None:
-                out = [word(w, more) for w in model.cut(text)]
-            else:
-                out = [memo.get(part) for part in parts]
-                for k, got in enumerate(out):
-                    if got is None:
-                        words = model.cut(parts[k])
-                        out[k] = b"".join([word(w, more) for w in words])
-                        if len(memo) < MEMO and all(w in known for w in words):
-                            memo[parts[k]] = out[k]
-            return np.frombuffer(b"".join(out), "<u4").astype(np.int32)
-
-        for texts, words, ids in batches:
-            coded = [of(t, {} if w is None else dict(zip(w, i, strict=True))) for t, w, i in zip(texts, words, ids, strict=True)]
-            yield pd.DataFrame({"ids": coded, "round_trip": [model.decode(c) == (t or "") for t, c in zip(texts, coded, strict=True)] if check else None})
-
-    key = F.xxhash64("doc_id", "text").alias("key")  # texts whose keys clash share their words' table, which harms neither
-    dealt = docs.select(key, F.explode(rare("text")).alias("word")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
-    once = encode_words(dealt.groupBy("word").agg(F.min("key").alias("one")), model, "one")
-    used = dealt.join(once.hint("shuffle_hash"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("w"))
-    rows = docs.select("doc_id", "text", *keep).withColumn("key", key).join(used.select("key", F.col("w.word").alias("rare_words"), F.col("w.ids").alias("rare_ids")), "key", "left")
-    rows = rows.select("doc_id", *keep, spell("text", "rare_words", "rare_ids").alias("x"))
-    return rows.select("doc_id", *keep, "x.ids", *["x.round_trip"] * check)
+        for batch in batches:
+            start = 0
+            only = batch.select(list(kept))
+            for k, text in enumerate(batch["text"].to_pylist()):
+                own = model.parts(text)
+                codes.append(np.fromiter(map(parts.__getitem__, own), np.uint32, len(own)))
+                digests.append(hashlib.md5((text or "").encode()).digest() if check else None)
+                chars += len(text or "")
+                if chars > BLOCK or len(parts) > PARTS:
+                    rows.append(only.slice(start, k + 1 - start))
+                    yield close()
+                    start, block, chars = k + 1, block + 1, 0
+                    parts, codes, digests, rows = _Numbers(), [], [], []
+            if start < len(batch):
+                rows.append(only.slice(start))
+        if codes:
+            yield close()
+
+    packed = docs.select(*[F.col(name).alias(c) for c, name in kept.items()], "text").mapInArrow(pack, block_type)
+    name = _bucketed(packed, "pieces_blocks", "block")
+    at_hand.destroy()
+    rare = spark.table(name).where("rare is not null").select(F.col("block").alias("of"), F.posexplode("rare").alias("no", "word"))
+    n_rare = spark.table(name).agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]
+    dealt = rare.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_rare // WORDS), "of", "no")
+    coded = encode_words(dealt, table, model, "of", "no")
+    if max(model.normal) < 1 << 15:  # half as much to shuffle
+        coded = coded.withColumn("ids", F.col("ids").cast("array<smallint>"))
+    names = [*kept, "ids", *["round_trip"] * check]
+    result = T.StructType([*(T.StructField(c, t) for c, t in kinds.items()), T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("round_trip", T.BooleanType())] * check])
+
+    def spell(texts: pa.Table, words: pa.Table) -> pa.Table:
+        texts, words = texts.sort_by("at"), words.sort_by("no")
+        packed, rare = (texts[c].drop_null()[0] for c in ("packed", "rare"))
+        packed = _unpacked(packed.as_py())
+        ids = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int16()))
+        ids, sizes = _spelled(rare.as_py() if pc.any(pc.less(ids.flatten(), 0)).as_py() else [], ids, model)
+        # From words to parts, and from parts to texts.
+        numbers, n_rare = _numbers("word", packed), len(sizes)
+        which = np.where(numbers == 0, np.cumsum(numbers == 0) - 1, np.where(numbers == 1, n_rare - 1 + np.cumsum(numbers == 1), numbers - 2))
+        ids, sizes = np.concatenate((ids, packed["known_ids"])), np.concatenate((sizes, packed["known_sizes"]))
+        ids, sizes = gather(ids, sizes, which)[0], runs(sizes[which], packed["sizes"])
+        codes = _numbers("part", packed)
+        n_parts = texts["n_parts"].to_numpy().astype(np.int64)
+        ends, out, start = np.cumsum(n_parts), [], 0
+        while start < len(texts):
+            first = ends[start] - n_parts[start]
+            stop = max(start + 1, int(np.searchsorted(ends, first + UNPACKED, "right")))
+            own, of_part = gather(ids, sizes, codes[first : ends[stop - 1]])
+            of_text = runs(of_part, n_parts[start:stop])
+            rows = texts.slice(start, stop - start)
+            more = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(of_text))), pa.int32()), pa.array(own, pa.int32()))]
+            if check:
+                data, of_id = gather(*model.piece_bytes, own)
+                cuts = np.concatenate(([0], np.cumsum(runs(of_id, of_text))))
+                more.append(pa.array([hashlib.md5(data[a + 1 : b].tobytes()).digest() == d for a, b, d in zip(cuts, cuts[1:], rows["digest"].to_pylist(), strict=False)], pa.bool_()))
+            out.append(pa.table([*(rows[c].combine_chunks() for c in kept), *more], names=names))
+            start = stop
+        return pa.concat_tables(out)
+
+    rows = spark.table(name).groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(spell, result)
+    return rows.select(*[F.col(c).alias(name) for c, name in kept.items()], *names[len(kept) :])
+
+
+def _bucketed(df: DataFrame, name: str, key: str) -> str:
+    """Writes df in the shared folder, bucketed by key: its rows need not be shuffled to meet others of the key. The table's name."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return name
 
 
 def decode(ids: Column, model: Pieces) -> Column:
