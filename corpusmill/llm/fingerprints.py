@@ -6,8 +6,8 @@ densification). The low bits of each bin are packed; two fingerprints agree in (
 likeness() corrects.
 
 Defined cases: null text is empty; texts of fewer than five words are one shingle, texts without words share the fingerprint of
-no shingle, which is like itself and, up to chance, like no other; equal texts have equal fingerprints; repeated doc_ids are ordered by text;
-a null doc_id comes last in descending order; the only document follows itself; an empty table gives no rows.
+no shingle, which is like itself and, up to chance, like no other; equal texts have equal fingerprints; rows of one doc_id are ordered by
+their texts' hashes; a null doc_id comes last in descending order; the only document follows itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,55 +70,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _compare(ids: list, texts: list[str], following: list[str], bins: int, bits: int) -> pd.DataFrame:
-    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
-    a, e, f = (fingerprints(x, bins, bits) for x in (texts, changed, following))
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed], "fingerprint": pack(a, bits), "edited_fingerprint": pack(e, bits), "near_edited": likeness(a, e, bits), "near_next": likeness(a, f, bits)})
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _compare(ids: pa.Array, texts: list[str], following: list[str], bins: int, bits: int) -> list[pa.Array]:
+    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
+    a, e, f = (fingerprints(x, bins, bits) for x in (texts, changed, following))
+    digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed]
+    return [ids, pa.array(map(len, texts), pa.int64()), pa.array(digests, pa.string()), pa.array(pack(a, bits), pa.string()), pa.array(pack(e, bits), pa.string()), pa.array(likeness(a, e, bits)), pa.array(likeness(a, f, bits))]
 
 
 def compare_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, partitions: int | None = None) -> DataFrame:
     """For each of docs (doc_id, text): its fingerprint, that of its edited text, and their likeness to it and to the next document, by descending doc_id.
 
-    Documents are range-partitioned once, so all but a partition's last document find the next one in the same task. The first
-    and last document of each partition are written aside and paired in a second, small step."""
+    Documents are range-partitioned once, by doc_id and the text's hash (whose sample goes to the driver, no text does), so all but a
+    partition's last document find the next one in the same task. The first and last document of each partition are written aside and
+    paired in a second, small step."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # Equal rows can change places; numbering them lets many of them be dealt to several tasks.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("k"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    rows = rows.repartitionByRange(n, *order, "k").sortWithinPartitions(*order, "text", "k").select("doc_id", "text", F.spark_partition_id().alias("part"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        names = [*_NAMES, "edge", "part", "text"]
+
+        def edge(which: str, doc_id: pa.Array, text: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc_id, *(pa.nulls(1, k) for k in kinds[1:]), pa.array([which]), pa.array([part], pa.int32()), pa.array([text])], names)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = pd.DataFrame({c.split()[0]: pd.Series(dtype="object") for c in RESULT.split(", ")})
         part = held = None
         for batch in batches:
-            ids, texts = [None if pd.isna(i) else int(i) for i in batch["doc_id"]], list(batch["text"])
-            if part is None and ids:
-                part = int(batch["part"].iloc[0])
-                yield empty.assign(edge=pd.Series(["first"]), part=part, text=texts[0]).assign(doc_id=pd.array([ids[0]], "Int64"))
-            if held is not None:
-                ids, texts = [held[0], *ids], [held[1], *texts]
-            if not ids:
+            ids, texts = batch["doc_id"], batch["text"].to_pylist()
+            if not texts:
                 continue
-            held = (ids[-1], texts[-1])
+            if part is None:
+                part = batch["part"][0].as_py()
+                yield edge("first", ids.slice(0, 1), texts[0])
+            else:
+                ids, texts = pa.concat_arrays([held[0], ids]), [held[1], *texts]
+            held = (ids.slice(len(texts) - 1), texts[-1])
             for cut in blocks([4 * len(t) for t in texts[:-1]]):
-                yield _compare(ids[cut], texts[cut], texts[cut.start + 1 : cut.stop + 1], bins, bits).assign(edge=None, part=part, text=None)
+                n = cut.stop - cut.start
+                done = _compare(ids.slice(cut.start, n), texts[cut], texts[cut.start + 1 : cut.stop + 1], bins, bits)
+                yield pa.RecordBatch.from_arrays([*done, pa.nulls(n, pa.string()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string())], names)
         if held is not None:
-            yield empty.assign(edge=pd.Series(["last"]), part=part, text=held[1]).assign(doc_id=pd.array([held[0]], "Int64"))
+            yield edge("last", *held)
 
-    done = materialize(rows.mapInPandas(walk, RESULT + ", edge string, part int, text string"), "fingerprints")
+    done = materialize(rows.mapInArrow(walk, RESULT + ", edge string, part int, text string"), "fingerprints")
     firsts = done.where("edge = 'first'").select("part", F.col("text").alias("following"))
     # One row for each partition: the next partition that has rows, and after the last the first again.
     whole = Window.orderBy("part")
     after = firsts.select("part", F.coalesce(F.lead("part").over(whole), F.first("part").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_part"))
     pairs = done.where("edge = 'last'").select("doc_id", "text", "part").join(after, "part").join(firsts.withColumnRenamed("part", "next_part"), "next_part")
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield _compare([None if pd.isna(i) else int(i) for i in batch["doc_id"]], list(batch["text"]), list(batch["following"]), bins, bits)
+                yield pa.RecordBatch.from_arrays(_compare(batch["doc_id"], batch["text"].to_pylist(), batch["following"].to_pylist(), bins, bits), _NAMES)
 
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    return done.where("edge is null").select(*names).unionByName(pairs.select("doc_id", "text", "following").mapInPandas(close, RESULT))
+    return done.where("edge is null").select(*_NAMES).unionByName(pairs.select("doc_id", "text", "following").mapInArrow(close, RESULT))
