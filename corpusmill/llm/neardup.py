@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,14 +125,16 @@ def text_key() -> Column:
 def _sketch(docs: DataFrame, m: int, rows: int, width: int) -> DataFrame:
     """(doc_id, id, bands) of every document; id: the key of its text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
+            texts = ["" if t is None else t for t in batch["text"].to_pylist()]
             for part in blocks([len(t) for t in texts], 1 << 22):
-                if own := texts[part]:
-                    yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64"), "id": batch["id"].iloc[part], "bands": list(band_keys(signatures(own, m, width), rows))})
+                keys = band_keys(signatures(texts[part], m, width), rows)
+                own, ends = batch.slice(part.start, len(keys)), np.arange(len(keys) + 1) * keys.shape[1]
+                bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["id"], bands], ["doc_id", "id", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("id"), "text").mapInPandas(run, "doc_id long, id binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("id"), "text").mapInArrow(run, "doc_id long, id binary, bands array<long>")
 
 
 def _elements_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
