@@ -1,16 +1,18 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-One table of SLOTS words holds a filter for every language: bit l of a slot belongs to language l, so ANDing an n-gram's slots
+One table of SLOTS words for every 63 languages holds a filter for each: a bit of a slot belongs to a language, so ANDing an n-gram's slots
 returns the languages that contain it, all at once. A text's n-grams are looked up, the bits of each language are counted, the
-counts are corrected for the filter's false positives, and the language of the largest count wins. The table has a fixed size
-(8 MB) and is broadcast.
+counts are corrected for the filter's false positives, and the language of the largest count wins. The table (8 MB for every 63 languages,
+MOST_LANGS at the most) is broadcast.
 
-Learning reads a bounded sample: at most docs_per_lang documents of each language, those of the least hash of doc_id. An n-gram
+Learning reads a bounded sample: about docs_per_lang documents of each language, those whose doc_id hashes below the share wanted. An n-gram
 belongs to a language if its rate there is at least min_share of its highest rate in any.
 
 Defined cases: null text and text without letters is `und` with score 0; a text none of whose n-grams is known gets the most
 frequent learned language with score 0; ties go to the first language by code point; with nothing to learn from all is `und`;
-a text has evidence if the n-grams known in its language are more than the filter's false positives explain, by CHANCE standard deviations; documents of null doc_id or lang are never learned from, but are judged; repeated rows are judged alike; whole texts are read.
+a text has evidence if the n-grams known in its language are more than the filter's false positives explain, by CHANCE standard deviations; documents of null doc_id or lang are never learned from, but are judged; repeated rows are judged alike; whole texts are read,
+however long; an empty table gives no rows; more than MOST_LANGS values of lang are refused by a ValueError; kept columns may have any names
+but those of the result.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialize
 from corpusmill.llm.hashing import blocks, mix64
 
 SLOTS, HASHES, SIZES = 1 << 20, 3, (3, 4)
+#: Languages that share a word of a slot, and the most languages.
+BITS, MOST_LANGS = 63, 1008
 #: Standard deviations above the expected false positives from which n-grams are taken as known.
 CHANCE = 4.0
 #: Characters that are looked up at once; bounds the memory of a task.
@@ -75,38 +80,41 @@ def slots_of(h: np.ndarray) -> list[np.ndarray]:
 
 
 def learn(docs: DataFrame, docs_per_lang: int = 1000, min_share: float = 0.125) -> tuple[list[str], np.ndarray, str]:
-    """Languages, table and most frequent language from docs (doc_id, text, lang), without the held-out fifth."""
+    """Languages, table (a row of SLOTS words for every BITS languages) and most frequent language from docs (doc_id, text, lang), without the held-out fifth."""
     spark = docs.sparkSession
-    may = docs.where(F.col("lang").isNotNull() & ~held_out())
-    langs = [r[0] for r in may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(63).collect()]
-    if not langs:
-        return [], np.zeros(SLOTS, _U), "und"
-    usual, langs = langs[0], sorted(langs)
-    few = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = may.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(few)).where(f"k <= {docs_per_lang}").select("doc_id", "lang")
-    ids = materialize(ids, "lang-sample")  # at most 63 * docs_per_lang rows
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    may = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    sizes = {r[0]: r[1] for r in may.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not sizes:
+        return [], np.zeros((1, SLOTS), _U), "und"
+    langs = sorted(sizes)
+    usual = min(langs, key=lambda x: -sizes[x])
+    # A row for each language: its number, and the share of hashes that are in the sample.
+    known = materialize(spark.createDataFrame([(x, k, docs_per_lang / sizes[x]) for k, x in enumerate(langs)], "lang string, bit int, share double"), "lang-names")
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    sample = may.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(known), "lang").where(place < F.col("share"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, rows in batch.groupby("lang"):
-                texts = list(rows["text"])
-                for cut in blocks([len(t) for t in texts], BLOCK):
-                    h, _ = ngram_hashes(texts[cut])
-                    h, n = np.unique(h, return_counts=True)
-                    yield pd.DataFrame({"h": h.view(np.int64), "lang": lang, "n": n})
-
-    grams = sample.select("lang", "text").mapInPandas(count, "h long, lang string, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
+            bits, texts = batch["bit"].to_numpy(), batch["text"].to_pylist()
+            for bit in np.unique(bits):
+                own = [texts[k] for k in np.flatnonzero(bits == bit)]
+                for cut in blocks([len(t) for t in own], BLOCK):
+                    h, n = np.unique(ngram_hashes(own[cut])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([bit] * len(h), pa.int32()), pa.array(n)], ["h", "bit", "n"])
+
+    grams = sample.select("bit", "text").mapInArrow(count, "h long, bit int, n long").groupBy("h", "bit").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "lang-grams")
-    bits = F.create_map(*[F.lit(v) for k, lang in enumerate(langs) for v in (lang, k)])
-    totals = F.broadcast(grams.groupBy("lang").agg(F.sum("n").alias("total")))  # a row for each language
-    rates = grams.join(totals, "lang").select("h", F.struct((F.col("n") / F.col("total")).alias("rate"), F.element_at(bits, F.col("lang")).alias("bit")).alias("r"))
+    totals = F.broadcast(grams.groupBy("bit").agg(F.sum("n").alias("total")))  # a row for each language
+    rates = grams.join(totals, "bit").select("h", F.struct((F.col("n") / F.col("total")).alias("rate"), "bit").alias("r"))
     kept = rates.groupBy("h").agg(F.collect_list("r").alias("r")).withColumn("most", F.array_max(F.transform("r", lambda r: r.rate)))
-    mask = F.aggregate(F.filter("r", lambda r: r.rate >= min_share * F.col("most")), F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(F.expr("1L").cast("long") * F.pow(F.lit(2.0), r.bit).cast("long")))
+    kept = kept.select("h", F.explode(F.filter("r", lambda r: r.rate >= min_share * F.col("most"))).alias("r"))
     slot = [F.shiftrightunsigned("h", 20 * k).bitwiseAND(F.lit(SLOTS - 1).cast("long")) for k in range(HASHES)]
-    filled = kept.select(mask.alias("m"), F.explode(F.array(*slot)).alias("slot")).groupBy("slot").agg(F.bit_or("m").alias("m")).toPandas()  # at most SLOTS rows
-    out = np.zeros(SLOTS, _U)
-    out[filled["slot"].to_numpy(np.int64)] = filled["m"].to_numpy(np.int64).view(_U)
+    set_ = kept.select((F.col("r.bit") / BITS).cast("int").alias("word"), F.expr(f"shiftleft(1L, r.bit % {BITS})").alias("m"), F.explode(F.array(*slot)).alias("slot"))
+    filled = set_.groupBy("word", "slot").agg(F.bit_or("m").alias("m")).toArrow()  # at most SLOTS rows for every BITS languages
+    out = np.zeros((-(-len(langs) // BITS), SLOTS), _U)
+    out[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["m"].to_numpy().view(_U)
     return langs, out, usual
 
 
@@ -121,11 +129,14 @@ def judge(texts: list[str | None], langs: list[str], masks: np.ndarray, wrong: n
     for part in blocks([len(texts[k]) for k in rows], BLOCK):
         own = rows[part]
         h, owner = ngram_hashes([texts[k] for k in own])
-        m = masks[(s := slots_of(h))[0]]
-        for x in s[1:]:
-            m = m & masks[x]
         n = np.bincount(owner, minlength=len(own))
-        hits = np.stack([np.bincount(owner[((m >> _U(b)) & _U(1)).astype(bool)], minlength=len(own)) for b in range(len(langs))], axis=1)
+        columns: list[np.ndarray] = []
+        for word in masks:
+            m = word[(s := slots_of(h))[0]]
+            for x in s[1:]:
+                m = m & word[x]
+            columns += [np.bincount(owner[((m >> _U(b)) & _U(1)).astype(bool)], minlength=len(own)) for b in range(min(BITS, len(langs) - len(columns)))]
+        hits = np.stack(columns, axis=1)
         true = np.clip((hits - wrong * n[:, None]) / np.maximum(1 - wrong, 1e-9), 0, None)
         best, total = true.argmax(axis=1), true.sum(axis=1)
         chance = wrong * n[:, None] + CHANCE * np.sqrt(wrong * (1 - wrong) * n[:, None])
@@ -140,7 +151,7 @@ def judge(texts: list[str | None], langs: list[str], masks: np.ndarray, wrong: n
 def identify(docs: DataFrame, docs_per_lang: int = 1000, keep: tuple[str, ...] = (), evidence: bool = False) -> DataFrame:
     """docs (doc_id, text, and the columns named in keep) with held_out, lang_pred and score, and evidence if it is asked for."""
     langs, masks, usual = learn(docs, docs_per_lang)
-    wrong = np.array([float(((masks >> _U(b)) & _U(1)).mean()) ** HASHES for b in range(len(langs))])
+    wrong = np.array([float(((masks[b // BITS] >> _U(b % BITS)) & _U(1)).mean()) ** HASHES for b in range(len(langs))])
     table = docs.sparkSession.sparkContext.broadcast(masks)
 
     @F.pandas_udf("lang_pred string, score double, evidence boolean")
@@ -149,5 +160,6 @@ def identify(docs: DataFrame, docs_per_lang: int = 1000, keep: tuple[str, ...] =
             told, score, sure = judge(list(texts), langs, table.value, wrong, usual)
             yield pd.DataFrame({"lang_pred": told, "score": score, "evidence": sure})
 
-    rows = docs.select("doc_id", *keep, predict("text").alias("p"), held_out().alias("held_out"))
-    return rows.select("doc_id", *keep, "held_out", "p.lang_pred", "p.score", *(["p.evidence"] if evidence else []))
+    own = "language of the text"
+    rows = docs.select("doc_id", *keep, predict("text").alias(own), held_out().alias("held_out"))
+    return rows.select("doc_id", *keep, "held_out", *[F.col(f"`{own}`.{c}") for c in ("lang_pred", "score", *["evidence"] * evidence)])
