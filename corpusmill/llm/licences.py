@@ -9,8 +9,9 @@ longer rules come before the shorter ones that they contain.
 The rules and sentences are a fixed table, small enough to broadcast; only documents with a word that every known sentence has one of are cut up, and only
 known sentences are grouped.
 
-Defined cases: null and empty texts have no sentence; repeated sentences and repeated rows are kept, rows of the same doc_id being
-read as one document in order of position; an empty table gives no rows; other columns are not read.
+Defined cases: null and empty texts have no sentence; repeated sentences are kept; each row is a document of its own, so repeated rows are judged alike
+and rows that share a doc_id, or have none, apart; of rules that fit, the first in their order takes the sentences; whole texts are read, however
+long; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -165,10 +166,10 @@ def scan(docs: DataFrame, sentences: dict[str, str | tuple[str, ...]] = KNOWN, r
         raise ValueError(f"no anchor in {sorted(lost)}")
     spark = docs.sparkSession
     known = spark.createDataFrame(parts, "sentence_id string, sentence string").select("sentence_id", normal(F.col("sentence")).alias("normal")).dropDuplicates(["normal"])
-    likely = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(anchors)))
-    cut = likely.select("doc_id", F.posexplode(F.filter(sentences_of(unwrapped(F.col("text"), parts)), lambda s: s.rlike("(?i)" + "|".join(anchors)))).alias("pos", "sentence"))
+    likely = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).where(F.col("text").rlike("(?i)" + "|".join(anchors)))
+    cut = likely.select("doc_id", "row", F.posexplode(F.filter(sentences_of(unwrapped(F.col("text"), parts)), lambda s: s.rlike("(?i)" + "|".join(anchors)))).alias("pos", "sentence"))
     found = cut.withColumn("normal", normal(F.col("sentence"))).join(F.broadcast(known), "normal")
-    runs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence_id"))).alias("s"))
+    runs = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence_id"))).alias("s"))
     ids = F.transform("s", lambda s: s.sentence_id)
     runs = runs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
     left = F.concat(F.lit(";"), F.array_join("ids", ";;"), F.lit(";"))
