@@ -5,8 +5,9 @@ fitted by full-batch gradient steps over a small labelled URL table, bounded by
 most `buckets` rows. Judging sums the weights of a URL's n-grams in one expression.
 
 Defined cases: a null URL or one without "://" has empty host and path, no rule, and the model's verdict on an empty URL, as
-its bias says; repeated URLs are judged alike; an empty or one-sided labelled table gives a model of its bias alone. Of rules
-that fit, the longest (host and path together) wins; of equally long ones, the first by (host, path).
+its bias and its marked ends say; repeated rows are judged alike; a null or repeated page_id is only carried; whole URLs are read, however long;
+an empty table of pages gives no rows, and its other columns are not read; an empty or one-sided labelled table gives a model of its bias alone.
+Of rules that fit, the longest (host and path together) wins; of equally long ones, the first by (host, path). A probability equal to the cut blocks.
 """
 
 from __future__ import annotations
@@ -27,26 +28,43 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-# A small labelled URL table.
+# A small labelled URL table, written by hand for this model without a look at any judged table. The HELD_OUT part is never fitted on.
 BLOCKED_URLS = """
-http://www.cheap-pills.example.com/en/450 https://cheap-pills.example.org/de/31.html http://pills-online.example.net/fr/7/ https://m.adult-x.example.net/en/25
-http://adult-x.example.com/es/104.html https://www.adult-video.example.org/en/9/ https://spam-farm.example.org/en/728 http://www.spam-farm.example.net/fr/12.html
-https://blog.spam-links.example.com/de/88 http://casino-bonus.example.org/en/3 https://www.online-casino.example.net/es/77/ http://bet-casino.example.com/de/5.html
-https://xxx-cams.example.org/en/61 http://m.xxx-video.example.net/fr/8 https://free-warez.example.com/en/19.html http://warez-crack.example.org/es/40
-https://pills-cheap.example.net/en/11 http://ads-server.example.org/es/52 https://www.track-ads.example.com/en/33 http://casino-winner.example.net/en/18 http://blog.adult-cams.example.org/fr/2/ https://www.farm-links.example.com/en/96 http://m.bonus-bet.example.net/de/14
+http://www.cheapmeds-online.biz/order/pills https://buy-viagra-now.info/index.html http://discount-pharmacy.top/no-prescription/ https://best-pills4u.ru/cialis
+https://lucky-casino-slots.com/bonus/free-spins http://online-poker-bets.net/play-now https://bigwin-jackpot.club/casino/ http://sportsbet-bonus.xyz/register
+https://hot-xxx-videos.tv/watch/1234 http://adult-cams-live.net/sexy http://porn-tube-free.org/hd/ https://naughty-sex-dates.com/join
+http://free-warez-download.to/crack/keygen.exe https://cracked-games-torrent.cc/full-version http://serial-keygen.ru/photoshop-crack https://torrent-movies-free.ws/dvdrip
+http://win-free-iphone.click/prize/claim https://secure-login-verify-account.tk/bank/ http://paypal-account-update.ml/signin.php https://you-won-lottery.gq/claim-prize
+http://make-money-fast.biz/get-rich https://payday-loans-instant.info/apply http://work-from-home-cash.top/earn https://crypto-doubler-profit.xyz/invest
+http://replica-watches-cheap.cn/rolex https://cheap-designer-bags.shop/replica http://weight-loss-miracle.pw/diet-pills https://seo-backlinks-cheap.link/buy
+http://click-ads-track.com/banner/popunder https://popup-adserver.net/redirect?id=1 http://spam-links-farm.info/links.php https://mass-mailer-bulk.ru/email-list
 """.split()
 ALLOWED_URLS = """
-http://www.gardening.example.com/en/450 https://river-news.example.org/de/31.html http://library.example.net/fr/7/ https://m.weather.example.net/en/25
-http://history.example.com/es/104.html https://www.museum.example.org/en/9/ https://mountain.example.org/en/728 http://www.kitchen.example.net/fr/12.html
-https://blog.theory.example.com/de/88 http://botany.example.org/en/3 https://www.railway.example.net/es/77/ http://letters.example.com/de/5.html
-https://astronomy.example.org/en/61 http://m.harbour.example.net/fr/8 https://school-notes.example.com/en/19.html http://the-reader.example.org/es/40
-https://blog.thering.example.net/en/11 http://roads.example.org/es/52 https://www.the-track.example.com/en/33 http://winter.example.net/en/18 http://blog.tionsh.example.org/fr/2/ https://www.therapy.example.com/en/96 http://m.orchestra.example.net/de/14
+https://www.citylibrary.org/catalogue/history https://news.harbourtimes.com/2021/05/local-council http://www.botanicgarden.edu/plants/roses https://docs.softwareproject.io/guide/install
+https://museum.nationalheritage.gov/exhibits/archaeology http://weather.coastalservice.gov/forecast/monday https://recipes.homekitchen.co.uk/bread/sourdough https://www.railwayhistory.org.uk/stations
+https://physics.stateuniversity.edu/courses/mechanics http://journal.openmedicine.org/articles/1234 https://encyclopedia.worldatlas.net/wiki/Mountains https://forum.woodworkers.org/threads/hand-planes
+http://www.schooldistrict.k12.us/calendar https://blog.astronomyclub.org/observing/jupiter https://parliament.publicrecord.gov/debates/2019 https://www.gardeningmonthly.com/tomatoes
+https://travel.alpinehikers.ch/routes/valley http://poetry.literaryreview.org/issues/spring https://hospital.regionalhealth.org/departments/cardiology https://www.chamberorchestra.org/concerts
+http://archive.oldnewspapers.org/1901/march https://data.statisticsoffice.gov/tables/population https://learn.mathematics.edu/algebra/lesson-3 https://www.birdwatchers.net/species/heron
+https://law.courtreports.gov/opinions/2010 http://chess.localclub.org/tournaments https://www.farmersweekly.com/articles/wheat-harvest https://support.computerstore.com/manuals/printer
+https://theatre.cityculture.org/programme http://geology.surveydata.gov/maps/rivers https://www.childrensbooks.org/reviews https://community.linguistics.edu/grammar/verbs
+""".split()
+HELD_OUT_BLOCKED_URLS = """
+http://viagra-pills-discount.biz/buy https://casino-bonus-bets.club/slots http://xxx-adult-porn.tv/videos https://warez-crack-keygen.to/download
+http://free-prize-claim-now.click/win https://bank-account-verify.tk/login.php http://cheap-replica-rolex.shop/watches https://instant-cash-loans.top/payday
+http://poker-jackpot-spins.xyz/play https://sex-cams-free.com/live http://torrent-cracked.ws/games https://bulk-email-spam.ru/list
+""".split()
+HELD_OUT_ALLOWED_URLS = """
+https://library.stateuniversity.edu/history/maps http://news.localtimes.org/2020/council https://www.gardenplants.org/roses/spring https://docs.openproject.io/manual/install
+https://weather.regionalservice.gov/forecast http://museum.cityheritage.org/exhibits https://www.kitchenrecipes.co.uk/tomatoes https://journal.historyreview.edu/articles/1901
+https://forum.birdclub.org/threads/observing http://courses.mathematics.edu/mechanics https://www.orchestraconcerts.org/programme https://data.surveyoffice.gov/tables/wheat
 """.split()
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled URL table (url, blocked)."""
-    return spark.createDataFrame([(u, True) for u in BLOCKED_URLS] + [(u, False) for u in ALLOWED_URLS], "url string, blocked boolean")
+def labelled_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
+    """The labelled URL table (url, blocked), or the part of it that is held out."""
+    blocked, allowed = (HELD_OUT_BLOCKED_URLS, HELD_OUT_ALLOWED_URLS) if held_out else (BLOCKED_URLS, ALLOWED_URLS)
+    return spark.createDataFrame([(u, True) for u in blocked] + [(u, False) for u in allowed], "url string, blocked boolean")
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
