@@ -60,6 +60,66 @@ def test_url_parts_rules_and_model(spark):
     assert set(urlfilter.fit(urlfilter.labelled_urls(spark).limit(0), steps=1)[0]) == {0.0}
 
 
+def brute_buckets(spark, host, path, sizes=(3, 4), buckets=4096):
+    marked = [f"h^{host}$", f"p^{path}$"]
+    grams = [m[i : i + n] for m in marked for n in sizes for i in range(len(m) - n + 1)]
+    return [r[0] for r in spark.createDataFrame(list(enumerate(grams)), "k int, g string").orderBy("k").select(F.pmod(F.xxhash64("g"), F.lit(buckets))).collect()]
+
+
+def test_url_model_equals_brute_force_and_tells_held_out_urls(spark):
+    import math
+
+    import numpy as np
+
+    weights, bias = urlfilter.fit(urlfilter.labelled_urls(spark))
+    few = [(u, 1.0) for u in urlfilter.BLOCKED_URLS] + [(u, 0.0) for u in urlfilter.ALLOWED_URLS]
+    x = np.zeros((len(few), 4096))
+    for k, (u, _) in enumerate(few):
+        rest = u.split("://", 1)[1]
+        host, slash, path = rest.partition("/")
+        b = brute_buckets(spark, host.lower(), (slash + path).split("?")[0].split("#")[0])
+        np.add.at(x[k], b, 1 / math.sqrt(len(b)))
+    y = np.array([y for _, y in few])
+    w, b0 = np.zeros(4096), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    for _ in range(24):
+        p = 1 / (1 + np.exp(-(b0 + x @ w)))
+        g = x.T @ (p - y) / len(y)
+        w -= np.where(np.abs(x).sum(axis=0) > 0, 30.0 * (g + 1e-4 * w), 0)
+    assert bias == b0 and np.abs(w - np.array(weights)).max() < 1e-6
+    held = urlfilter.labelled_urls(spark, held_out=True).withColumn("page_id", F.monotonically_increasing_id())
+    got = urlfilter.judge_urls(held, (weights, bias), rules=[]).join(held.select("page_id", "blocked"), "page_id").collect()
+    assert sum((r["verdict"] == "block") == r["blocked"] for r in got) >= 0.9 * len(got)
+    assert not {u for u in urlfilter.BLOCKED_URLS + urlfilter.ALLOWED_URLS} & {r["url"] for r in held.collect()}
+
+
+def test_url_odd_rows(spark):
+    model = ([0.0] * 64, -1.0)
+    long = "http://a.example.com/en/" + "x" * 200_000
+    rows = spark.createDataFrame([(1, long, "k"), (1, long, "k"), (None, None, "k")], "page_id long, url string, host string")
+    got = urlfilter.judge_urls(rows, model).collect()
+    assert sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["verdict"]) for r in got) == [(0, "", 0, "allow"), (1, "a.example.com", 200_004, "block"), (1, "a.example.com", 200_004, "block")]
+    assert urlfilter.judge_urls(rows.limit(0), model).count() == 0
+
+
+def test_chat_ties_long_texts_and_empty(spark):
+    kinds = "tree string, node long, parent long, role string, text string, score double"
+    rows = [("t", 1, None, "user", "q", 1.0), ("t", 3, 1, "assistant", "b", 1.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 2, 1, "assistant", "a", 1.0), ("long", 1, None, "user", "x" * 300_000, None)]
+    got = {r["tree"]: r for r in chat.format_chats(spark.createDataFrame(rows, kinds).withColumns({c: F.lit("clash") for c in ("leaf", "up", "rank")})).collect()}
+    assert got["t"]["leaf"] == 2 and len(got["long"]["formatted"]) > 300_000
+    every = chat.format_chats(spark.createDataFrame(rows, kinds), top_k=None)
+    assert {(r["tree"], r["leaf"], r["rank"]) for r in every.collect()} == {("t", 2, 1), ("t", 3, 2), ("long", 1, 1)}
+    assert chat.format_chats(chat.turns_as_messages(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_licences_ties_and_shared_ids(spark):
+    both = "Released under the MIT License.\nLicensed under CC BY-NC 4.0."
+    rows = spark.createDataFrame([(1, both), (1, both), (1, "Licensed under the Apache License, Version 2.0."), (None, both), (None, "All rights reserved.")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "pos", "sentence")})
+    got = Counter((r["doc_id"], r["licences"]) for r in licences.scan(rows).collect())
+    assert got == Counter([(1, "CC-BY-NC-4.0,MIT"), (1, "CC-BY-NC-4.0,MIT"), (1, "Apache-2.0"), (None, "CC-BY-NC-4.0,MIT"), (None, "proprietary")])
+    tie = licences.scan(rows, sentences={"x": "Released under the MIT License.", "y": "Licensed under CC BY-NC 4.0."}, rules=[("first", ["x", "y"]), ("second", ["x", "y"])]).where("doc_id is null").collect()
+    assert [r["licences"] for r in tie] == ["first"]
+
+
 def brute_table(shards, size):
     import hashlib
 

@@ -44,11 +44,61 @@ def test_bloom_mask_holds_every_language_of_an_ngram(spark):
     langs, masks, _ = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     h, _ = langid.ngram_hashes(["alpha"])
     s = langid.slots_of(h)
-    both = masks[s[0]] & masks[s[1]] & masks[s[2]]
+    both = masks[0][s[0]] & masks[0][s[1]] & masks[0][s[2]]
     want = np.uint64(1 << langs.index("x") | 1 << langs.index("y"))
     assert ((both & want) == want).all()
 
 
+def brute_ngrams(text):
+    """Each 3- and 4-letter n-gram of a text; the ends may be anything but letters and count as a blank."""
+    t = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    grams = ["".join(t[i : i + k]) for k in (3, 4) for i in range(len(t) - k + 1)]
+    return [n for n in grams if " " not in n[1:-1]]
+
+
+def test_language_filters_against_exact_sets(spark):
+    """70 languages, so two words a slot: every language has a bit, no member is missed, false positives are as rare as told, verdicts are those of exact sets."""
+    rnd = random.Random(5)
+    names = [f"l{k:02d}" for k in range(70)]
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçåø"
+    words = {n: ["".join(rnd.choice(letters) for _ in range(rnd.randrange(4, 8))) for _ in range(30)] for n in names}
+    rows = [(10 * k + j, " ".join(rnd.choices(words[n], k=60)), n) for k, n in enumerate(names) for j in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, masks, _ = langid.learn(frame)
+    assert langs == names and masks.shape == (2, langid.SLOTS)
+    held = {r["doc_id"]: r["held_out"] for r in langid.identify(frame).collect()}
+    counts = {n: collections.Counter(g for i, t, lang in rows if lang == n and not held[i] for g in brute_ngrams(t)) for n in names}
+    totals = {n: sum(c.values()) for n, c in counts.items()}
+    best = collections.defaultdict(float)
+    for n, c in counts.items():
+        for g, x in c.items():
+            best[g] = max(best[g], x / totals[n])
+    exact = {n: {g for g, x in c.items() if x / totals[n] >= 0.125 * best[g]} for n, c in counts.items()}
+    grams = sorted(best)
+    h = np.array([langid.ngram_hashes([g.strip()])[0][brute_ngrams(g.strip()).index(g)] for g in grams])
+    slots = langid.slots_of(h)
+    found = [m[slots[0]] & m[slots[1]] & m[slots[2]] for m in masks]
+    false = 0
+    for b, n in enumerate(names):
+        has = ((found[b // langid.BITS] >> np.uint64(b % langid.BITS)) & np.uint64(1)).astype(bool)
+        member = np.array([g in exact[n] for g in grams])
+        assert has[member].all()
+        false += (has & ~member).sum()
+    assert false < 0.001 * len(grams) * len(names)
+    got = {r["doc_id"]: r for r in langid.identify(frame).collect()}
+    for i, t, lang in rows:
+        hits = {n: sum(g in exact[n] for g in brute_ngrams(t)) for n in names}
+        top = max(hits.values())
+        assert got[i]["lang_pred"] == min(n for n in names if hits[n] == top) and got[i]["score"] == pytest.approx(top / sum(hits.values()), abs=0.01)
+
+
+def test_language_ties_and_clashing_columns(spark):
+    rows = [(k, "same words here", lang) for k, lang in enumerate(["b", "a"] * 20)] + [(None, "same words", None), (2**62 + 1, "same", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("bit", "share", "p", "h", "own")})
+    got = langid.identify(frame, keep=("p", "own", "bit", "share")).collect()
+    assert {r["lang_pred"] for r in got} == {"a"} and {r["p"] for r in got} == {"clash"} and {2**62 + 1, None} <= {r["doc_id"] for r in got}
+
+
 def brute_mix(rows, weights=(3, 1, 2), share=1.5, most=2.0):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     total = collections.Counter()
@@ -87,6 +137,14 @@ def test_mixing(spark, docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_ties(spark):
+    """Rows of one id, and so of one key: sizes decide, and identical rows are interchangeable."""
+    rows = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (1, "a", "s"), (None, "a b", None), (None, "a b", None)], "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("weight", "key", "range", "before", "s", "r")})
+    got = [sorted(map(tuple, mixing.mix(rows.repartition(k)).collect()), key=repr) for k in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 5
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in mixing.mix(rows).collect())
+
+
 def test_mixing_favours_weighty_documents(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"))
     weights = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0).alias("weight"))
@@ -112,13 +170,45 @@ def test_fingerprints(spark, docs, odd):
             errors.append(got[i]["near_edited"] - jaccard(text, changed))
             assert abs(got[i]["near_next"] - jaccard(text, following)) < 0.2
     assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < 0.2
-    few = fingerprints.compare_with_next(odd.where("doc_id is not null"), partitions=2).collect()
-    assert len(few) == len(ODD) - 1 and len({r["fingerprint"] for r in few if r["doc_id"] in (1, 2, 3)}) == 1
+    few = fingerprints.compare_with_next(odd, partitions=2).collect()
+    assert len(few) == len(ODD) and len({r["fingerprint"] for r in few if r["doc_id"] in (1, 2, 3)}) == 1
     one = fingerprints.compare_with_next(odd.where("doc_id = 6")).first()
     assert one["near_next"] == 1.0
     assert fingerprints.compare_with_next(odd.limit(0)).count() == 0
 
 
+def brute_fingerprint(text, bins=fingerprints.BINS, bits=fingerprints.BITS):
+    """The least hash of each bin, empty bins from the first full one of their own sequence, low bits in hex."""
+    h, n = hashing.shingle_hashes([text.encode()])
+    mix = lambda x: int(hashing.mix64(np.array([x % 2**64], np.uint64))[0])
+    low = {}
+    for x in map(int, h):
+        low[x >> 56] = min(low.get(x >> 56, x), x)
+    if not low:
+        low = {k: mix(k + 1) for k in range(bins)}
+    out = []
+    for k in range(bins):
+        at, attempt = k, 0
+        while at not in low:
+            attempt += 1
+            at = mix(k * 0x9E3779B97F4A7C15 + attempt * 0xC2B2AE3D27D4EB4F) % bins
+        out.append(low[at] % 2**bits)
+    return "".join(f"{x:x}" for x in out)
+
+
+def test_fingerprints_equal_brute_force_and_ids_stay(spark, docs):
+    texts = [r["text"] for r in docs.limit(30).collect()] + ["", "one", "a b c d e f"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert all(r["fingerprint"] == brute_fingerprint(texts[r["doc_id"]]) for r in fingerprints.compare_with_next(frame, partitions=3).collect())
+    big = 2**53 + 1
+    rows = [(big, "a b c"), (None, "d e f"), (None, None), (big + 2, "g"), (big + 2, "h"), (-(2**62) - 1, "i")] + [(7, "same text")] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("part", "edge", "k", "h")})
+    for partitions in (1, 4):
+        got = fingerprints.compare_with_next(frame, partitions=partitions).collect()
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
+        assert sum(r["near_next"] == 1.0 for r in got if r["doc_id"] == 7) >= 39
+
+
 def test_quality_counts_and_verdicts(spark, docs, odd):
     def brute(text):
         text = text or ""
@@ -165,6 +255,44 @@ def test_quality_small_strata_have_rules(spark):
     assert not kept[n + 300] and sum(kept.values()) == 300
 
 
+def test_quality_kept_equals_brute_force(spark):
+    """Cutoffs by their definition: from loose to tight, until the binomial bound fails; kept follows from them, on the whole of sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    big, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r["doc_id"] for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").collect()}
+    rows = {r["doc_id"]: (r["lang"], quality.counts(r["text"])) for r in big.select("doc_id", "lang", "text").collect()}
+    rules = [(name, cuts) for name, cuts in quality.RULES.items()]
+    strata = sorted({lang for lang, _ in rows.values()})
+    level, cutoffs = 0.05 / (len(strata) + 1), {}
+    for lang in strata:
+        own = [quality.measures(c) for i, (x, c) in rows.items() if x == lang and i in good and not quality.base_failed(c)]
+        single = 0.995 ** len(own) <= level / 4
+        order = [[(name, cut) for cut in sorted(cuts, reverse=True)] for name, cuts in rules] if single else [[(name, sorted(cuts, reverse=True)[k]) for _, name, cuts, k in sorted(((k + 1) / len(cuts), name, cuts, k) for name, cuts in rules for k in range(len(cuts)))]]
+        cutoffs[lang] = {}
+        for sequence in order:
+            for name, cut in sequence:
+                trial = {name: cut} if single else cutoffs[lang] | {name: cut}
+                x = sum(any(m[a] > b for a, b in trial.items()) for m in own)
+                p = math.fsum(math.comb(len(own), i) * (alpha := 0.005 if single else 0.02) ** i * (1 - alpha) ** (len(own) - i) for i in range(x + 1))
+                if p > (level / 4 if single else level):
+                    break
+                cutoffs[lang][name] = cut
+        assert cutoffs[lang]
+    got = {r["doc_id"]: r["kept"] for r in quality.assess(big, labels).collect()}
+    assert got == {i: not quality.base_failed(c) and all(quality.measures(c)[a] <= b for a, b in cutoffs[lang].items()) for i, (lang, c) in rows.items()}
+    for lang in strata:
+        own = [i for i, (x, c) in rows.items() if x == lang and i in good and not quality.base_failed(c)]
+        assert sum(not got[i] for i in own) <= 0.02 * len(own)
+        assert any(not got[i] and not quality.base_failed(c) for i, (x, c) in rows.items() if x == lang)
+
+
+def test_quality_odd_columns(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (6, 1), (None, 1)], "doc_id long, quality int")
+    frame = odd.withColumns({c: F.lit("clash") for c in ("q", "stratum", "s", "share", "own")})
+    got = quality.assess(frame, labels, keep=("q", "stratum", "own")).collect()
+    assert len(got) == len(ODD) and {r["q"] for r in got} == {"clash"} and None in {r["doc_id"] for r in got}
+
+
 def variants(seed=3):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
@@ -194,6 +322,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_keep_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    big = 2**53 + 1
+    rows = [(None, text), (big, text + " end"), (big, text), (big + 2, "else"), (None, "else"), (None, None), (5, "w " * 60_000), (5, "w " * 60_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "bands", "label", "set", "band", "e", "n")})
+    got = collections.Counter((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(frame).collect())
+    assert got == collections.Counter([(None, big), (big, big), (big, big), (big + 2, big + 2), (None, big + 2), (None, None), (5, 5), (5, 5)])
+
+
 def test_bag_minhash_is_unbiased():
     a = " ".join(f"w{k}" for k in range(400))
     b = " ".join(f"w{k}" for k in range(100, 400)) + " " + " ".join(f"v{k}" for k in range(100))
@@ -222,16 +359,48 @@ def model():
     return pieces.load()
 
 
+def best_ids(model, text):
+    """The cheapest pieces of a marked text by a plain Viterbi over all of it; of equal costs the longer last piece."""
+    by_text = {p: (i, model.cost(score)) for i, (p, score) in model.normal.items()}
+    marked = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+    best = [(0, 0, [])]
+    for e in range(1, len(marked) + 1):
+        found = [(best[s][0] + by_text[marked[s:e]][1], s, by_text[marked[s:e]][0]) for s in range(max(0, e - model.longest), e) if marked[s:e] in by_text]
+        if marked[e - 1] not in by_text:
+            found.append((best[e - 1][0] + model.cost(model.unknown_score), e - 1, -1))
+        best.append(min(found, key=lambda x: x[:2]))
+    ids, e = [], len(marked)
+    while e:
+        _, s, i = best[e]
+        ids.append([i] if i >= 0 else [model.byte_ids[b] for b in marked[s].encode()])
+        e = s
+    return [i for own in reversed(ids) for i in own]
+
+
 def test_pieces_equal_brute_force_and_round_trip(spark, docs, odd, model):
-    few = spark.createDataFrame([(1, "Hello  wörld\nfoo  <s> x 𝄞 日本 ²."), (2, " a  b "), (3, "x" * 100 + " yy"), (4, "the the\tthing.")], "doc_id long, text string")
-    for frame, head in ((few, 3), (docs.limit(40), 500), (odd, 3)):
-        coded = pieces.encode(frame.withColumn("given", F.col("text")), model, head=head, sample=10, keep=("given",))
+    few = [(1, "Hello  wörld\nfoo  <s> x 𝄞 日本 ²."), (2, " a  b "), (3, "x" * 2000 + " yy"), (4, "the the\tthing."), (None, "no id 𝄞"), (2**62 + 1, "𝄞" * 50), (5, " "), (6, "\n"), (7, None)]
+    few = spark.createDataFrame(few, "doc_id long, text string")
+    for frame, head in ((few, 3), (docs.limit(40), 500), (odd, 3), (few.union(few), 1000), (few.limit(1), 0)):
+        for name in ("ids", "at", "block", "no", "word", "rare", "packed", "c0"):  # names that the operator uses itself
+            frame = frame.withColumn(name, F.lit("clash"))
+        frame = frame.withColumn("given", F.col("text"))
+        coded = pieces.encode(frame, model, head=head, sample=10, keep=("given", "at", "block", "no", "word", "rare", "packed", "c0"), check=True)
         rows = coded.withColumn("back", pieces.decode(F.col("ids"), model)).collect()
-        assert len(rows) == frame.count()
+        assert collections.Counter((r["doc_id"], r["given"]) for r in rows) == collections.Counter((r["doc_id"], r["text"]) for r in frame.collect())
         for r in rows:
-            assert r["back"] == (r["given"] or "")
-            assert list(r["ids"]) == np.frombuffer(b"".join(model.long_word(w) for w in model.cut(r["given"])), "<u4").tolist()
+            assert r["back"] == (r["given"] or "") and r["round_trip"] and r["at"] == r["c0"] == "clash"
+            assert list(r["ids"]) == best_ids(model, r["given"])
     assert pieces.encode(odd.limit(0), model).count() == 0
+    marked = pieces.encode(spark.createDataFrame([(1, "a▁b")], "doc_id long, text string"), model, check=True).collect()[0]
+    assert not marked["round_trip"] and marked["ids"] == best_ids(model, "a▁b")
+
+
+def test_pieces_in_many_blocks(spark, docs, model, monkeypatch):
+    whole = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, model).collect()}
+    monkeypatch.setattr(pieces, "PARTS", 300)
+    monkeypatch.setattr(pieces, "WORDS", 500)
+    monkeypatch.setattr(pieces, "UNPACKED", 40)
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(docs.repartition(3), model, head=100, sample=20).collect()} == whole
 
 
 def test_pieces_equal_the_library_on_a_unigram_model(spark, docs, model):
