@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
 
+from corpusmill.functions.text import STOP_WORDS
+from corpusmill.functions.vectors import simhash_numbers
 from corpusmill.operators.chunk import cut_long
 
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 SQL_FUNCTIONS = {
     "hamming64(a BIGINT, b BIGINT)": "INT RETURN bit_count(a ^ b)",
     "cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)": "DOUBLE RETURN CASE WHEN size(a) = size(b) AND aggregate(a, 0D, (s, x) -> s + x * x) > 0 AND aggregate(b, 0D, (s, x) -> s + x * x) > 0 THEN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / sqrt(aggregate(a, 0D, (s, x) -> s + x * x) * aggregate(b, 0D, (s, x) -> s + x * x)) ELSE 0D END",
     "citation_indices(t STRING)": r"ARRAY<INT> RETURN array_distinct(transform(regexp_extract_all(t, r'\[(\d{1,3})\]', 1), x -> int(x)))",
     "clean_text(t STRING)": "STRING RETURN regexp_replace(regexp_replace(t, '[■-◿☀-➿⬀-⯿]', ''), r'[ \\t]{3,}', ' ')",
+    "tokenize_text(t STRING)": f"ARRAY<STRING> RETURN filter(regexp_extract_all(lower(t), r'[一-鿿㐀-䶿]|[\\p{{L}}&&[^一-鿿㐀-䶿]]+|\\p{{N}}+', 0), w -> NOT array_contains(array({_STOPS}), w))",
     "content_id(t STRING)": "STRING RETURN substring(sha2(t, 256), 1, 32)",
 }
 
@@ -21,6 +26,13 @@ def register(spark: SparkSession) -> None:
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {body}")
 
+    @pandas_udf("long")
+    def simhash64(texts: pd.Series) -> pd.Series:
+        halves = simhash_numbers([None if t is None else t.lower() for t in texts], {})
+        return pd.Series((halves[:, 0] << 32 | halves[:, 1]))
+
+    spark.udf.register("simhash64", simhash64)
+
     @udtf(returnType="idx int, start_char int, end_char int, content string")
     class SplitChunks:
         def eval(self, text: str, size: int, overlap: int):

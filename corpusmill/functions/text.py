@@ -19,13 +19,20 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 
+#: A pattern of the characters that NFKC leaves alone whatever stands beside them, or that normalize() maps itself: texts of these alone need no NFKC.
+_STABLE = [chr(c) for c in (*range(0x180), *range(0x2010, 0x2028), *range(0x3001, 0x3030)) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+_PLAIN = "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in _STABLE) + "一-鿿㐀-䶿　！-～"
+
+
 def normalize(text: Column) -> Column:
-    """Full-width forms to ASCII, lower case."""
-    return F.lower(F.translate(text, _WIDE, _NARROW))
+    """NFKC and lower case. Full-width forms become ASCII by translation; only texts with other compatibility or combining characters go through Python."""
+    plain = F.lower(F.translate(text, _WIDE, _NARROW))
+    odd = text.rlike(f"[^{_PLAIN}]")
+    return F.when(odd, normalize_nfkc(F.when(odd, text))).otherwise(plain)
 
 
 def normalize_nfkc(text: Column) -> Column:
-    """Full NFKC and lower case, for texts with other compatibility forms."""
+    """NFKC and lower case of every text."""
 
     @F.pandas_udf(StringType())
     def nfkc(texts: pd.Series) -> pd.Series:
@@ -34,18 +41,29 @@ def normalize_nfkc(text: Column) -> Column:
     return nfkc(text)
 
 
+def _words(normal: Column, stop: list[str]) -> Column:
+    words = F.regexp_extract_all(normal, F.lit(r"[一-鿿㐀-䶿]|[\p{L}&&[^一-鿿㐀-䶿]]+|\p{N}+"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(stop))
+
+
 def word_run(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Words of a text in order, repeats included: letter runs, digit runs, single CJK characters; stop words left out."""
-    words = F.regexp_extract_all(normalize(text), F.lit(r"[一-鿿㐀-䶿]|[\p{L}&&[^一-鿿㐀-䶿]]+|\p{N}+"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(stop))
+    return _words(normalize(text), stop)
 
 
 def tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Distinct words in order, CJK pairs, then neighbouring words joined by an underscore."""
-    words = word_run(text, stop)
-    pairs = F.filter(F.regexp_extract_all(normalize(text), F.lit(r"(?=([一-鿿㐀-䶿]{2}))"), F.lit(1)), lambda w: ~w.isin(stop))
-    joined = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))
-    return F.array_distinct(F.concat(words, pairs, joined))
+
+    def of(normal: Column, words: Column) -> Column:
+        pairs = F.filter(F.regexp_extract_all(normal, F.lit(r"(?=([一-鿿㐀-䶿]{2}))"), F.lit(1)), lambda w: ~w.isin(stop))
+        pairs = F.when(normal.rlike("[一-鿿㐀-䶿]{2}"), pairs).otherwise(F.array().cast("array<string>"))
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        joined = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
+        return F.array_distinct(F.concat(words, pairs, joined))
+
+    # Arrays of one element name the normal text and its words, so that each is worked out once.
+    one = F.transform(F.array(normalize(text)), lambda t: F.struct(t.alias("normal"), _words(t, stop).alias("words")))
+    return F.when(text.isNotNull(), F.get(F.transform(one, lambda x: of(x.normal, x.words)), F.lit(0)))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -140,38 +158,40 @@ def clean_symbols(text: Column) -> Column:
     return F.regexp_replace(text, r"[ \t]{3,}", " ")
 
 
-_LIST = r"^(?:\d+[.、）)]|[（(]\d+[）)]|[一二三四五六七八九十]+[、.）)]|第[一二三四五六七八九十百千]+[章节条]|[●•◆■★☆【\[《「『]|#{1,6}\s)"
+# Signs that end a paragraph, signs that no line begins with, and marks of lists and titles.
+PARAGRAPH_ENDS = "。！？；：…」』）】》"
+NO_LINE_START = "、，。！？；：…」』）】》"
+LIST_MARKS = [
+    r"\d+[.、）)]", r"[（(]\d+[）)]", r"[一二三四五六七八九十]+[、.）)]", r"第[一二三四五六七八九十百千]+[章节条]", "●|•|◆|■|★|☆", r"[【\[《「『]", r"#{1,6}\s",
+]
+
+#: What the seam of two lines looks like, and whether its break stays; the first that fits decides, and no fit joins the lines.
+SEAMS = [
+    (rf"[{PARAGRAPH_ENDS}]\n", True),
+    (r"[\x00-\x7F][.!?;]\n", True),
+    (rf"\n(?:{'|'.join(LIST_MARKS)})", True),
+    (rf"\n[{NO_LINE_START}]", False),
+    (r"\n(?=.*[A-Z])[\x00-\x60\x7B-\x7F]{4,}$", True),  # capitals
+    (rf"^.{{1,19}}\n[^{NO_LINE_START}]{{1,19}}$", True),  # two short lines
+]
 
 
 def join_lines(text: Column) -> Column:
     """Lines that are broken for the eye alone are joined; paragraphs, lists, titles and sentence ends keep their breaks. A fold over the lines."""
+
+    def step(done: Column, line: Column) -> Column:
+        own, open_ = F.trim(line), F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))
+        seam = F.concat(open_, F.lit("\n"), own)
+        stays = F.lit(False)
+        for pattern, keep in reversed(SEAMS):
+            stays = F.when(seam.rlike(pattern), F.lit(keep)).otherwise(stays)
+        glue = F.when(seam.rlike(r"[\x00-\x7F]\n|\n[\x00-\x7F]"), F.lit(" ")).otherwise(F.lit(""))
+        joined = F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), F.concat(open_, glue, own))
+        return F.when((own == "") | (open_ == "") | stays, F.array_append(done, own)).otherwise(joined)
+
     tidy = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n{3,}", "\n\n")
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        own = F.trim(line)
-        end, first = F.right(acc.buf, F.lit(1)), F.substring(own, 1, 1)
-        plain = own.rlike(r"^[\x00-\x7F]+$")
-        keep = (
-            F.when(end.rlike("[。！？；：…」』）】》]"), True)
-            .when(acc.buf.rlike(r"[\x00-\x7F][.!?;]$"), True)
-            .when(own.rlike(_LIST), True)
-            .when(first.rlike("[、，。！？；：…」』）】》]"), False)
-            .when(plain & (own == F.upper(own)) & own.rlike("[A-Z]") & (F.length(own) > 3), True)
-            .when((F.length(acc.buf) < 20) & (F.length(own) < 20) & ~own.rlike("[、，。！？；：…」』）】》]"), True)
-            .otherwise(False)
-        )
-        glue = F.when(end.rlike(r"[\x00-\x7F]") | first.rlike(r"[\x00-\x7F]"), F.lit(" ")).otherwise(F.lit(""))
-        done = F.when(acc.buf != "", F.concat(acc.out, F.array(acc.buf))).otherwise(acc.out)
-        return (
-            F.when(own == "", F.struct(F.lit("").alias("buf"), F.concat(done, F.array(F.lit(""))).alias("out")))
-            .when(acc.buf == "", F.struct(own.alias("buf"), acc.out.alias("out")))
-            .when(keep, F.struct(own.alias("buf"), done.alias("out")))
-            .otherwise(F.struct(F.concat(acc.buf, glue, own).alias("buf"), acc.out.alias("out")))
-        )
-
-    last = lambda acc: F.array_join(F.when(acc.buf != "", F.concat(acc.out, F.array(acc.buf))).otherwise(acc.out), "\n")
-    return F.regexp_replace(F.aggregate(F.split(tidy, "\n"), start, step, last), r"^\s+|\s+$", "")
+    lines = F.aggregate(F.split(tidy, "\n"), F.array().cast("array<string>"), step)
+    return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 
 def clean_ocr(text: Column) -> Column:

@@ -101,3 +101,39 @@ def test_sql_functions(spark):
     assert (row.h, row.c, row.z, row.i, row.t, row.n) == (2, 1.0, 0.0, [2, 1], "a b", 32)
     parts = spark.sql(r"SELECT * FROM split_chunks('one two.\nthree four five', 12, 2)").collect()
     assert parts[0]["start_char"] == 0 and parts[-1]["end_char"] == 24
+
+
+def test_nfkc_in_tokens(spark):
+    """Ligatures, half-width kana, circled digits and composed accents meet their plain forms; other texts stay in built-in functions."""
+    for raw, plain in (("ﬁnd ﬁle", "find file"), ("ｶﾞｲﾄﾞ", "ガイド"), ("Café", "Café"), ("③ items", "3 items"), ("ＡＢＣ　x", "abc x")):
+        assert one(spark, X.tokens(F.col("t")), t=raw) == one(spark, X.tokens(F.col("t")), t=plain)
+    assert one(spark, X.tokens(F.col("t")), t="") == [] and spark.range(1).select(X.tokens(F.lit(None).cast("string")).alias("x")).first()[0] is None
+
+
+def test_join_lines(spark):
+    cases = {
+        "第一行\n第二行文字比较长一些用来测试合并的情况如何": "第一行第二行文字比较长一些用来测试合并的情况如何",
+        "这一句已经结束了。\n下一段": "这一句已经结束了。\n下一段",
+        "An English line that goes on\nhere and ends.\nA new one": "An English line that goes on here and ends.\nA new one",
+        "some words that are long enough to be prose\n1. item\n（2）item": "some words that are long enough to be prose\n1. item\n（2）item",
+        "some words that are long enough to be prose\nTITLE LINE\r\n\r\n\r\nmore": "some words that are long enough to be prose\nTITLE LINE\n\nmore",
+        "标题\n短行": "标题\n短行",
+        "甲乙丙丁戊己庚辛壬癸甲乙丙丁戊己庚辛壬癸\n，子丑": "甲乙丙丁戊己庚辛壬癸甲乙丙丁戊己庚辛壬癸，子丑",
+        "": "",
+    }
+    for raw, want in cases.items():
+        assert one(spark, X.join_lines(F.col("t")), t=raw) == want
+
+
+def test_simhash_equals_brute_force(spark):
+    import hashlib
+    import re
+
+    for text in ("", "The API api 12 骨灰安置 x", "a a b", "word " * 300 + "other " * 299):
+        votes = [0] * 64
+        for w in re.findall("[一-鿿]|[a-z]+|[0-9]+", text.lower()):
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[8:], "big")
+            votes = [v + (1 if h >> k & 1 else -1) for k, v in enumerate(votes)]
+        want = sum(1 << k for k, v in enumerate(votes) if v > 0)
+        got = one(spark, V.simhash(F.col("t")), t=text)
+        assert got["hi"] << 32 | got["lo"] == want
