@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARENT = 4
+# Separators after which a long text is cut, by preference.
 SEPARATORS = ("\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ")
 
 
@@ -27,19 +29,22 @@ def stride_chunks(docs: DataFrame, size: int = 768, overlap: int = 96) -> DataFr
 
 def cut_long(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Windows of at most size characters, each ended after the last separator in its last three tenths, if any."""
-    if not text:
-        return []
-    out, start = [], 0
-    while True:
-        end = min(start + size, len(text))
-        if end < len(text):
-            low = start + int(size * 0.7)
-            found = next(((cut, sep) for sep in SEPARATORS if (cut := text.rfind(sep, low, end)) > low), None)
-            end = found[0] + len(found[1]) if found else end
-        out.append((start, end))
-        if end >= len(text):
-            return out
-        start = max(end - overlap, start + 1)
+    places = [[m.start() for m in re.finditer(re.escape(sep), text)] for sep in SEPARATORS]
+
+    def end_of(start: int) -> int:
+        if start + size >= len(text):
+            return len(text)
+        for sep, own in zip(SEPARATORS, places, strict=True):
+            last = bisect_right(own, start + size - len(sep)) - 1
+            if last >= 0 and own[last] > start + int(size * 0.7):
+                return own[last] + len(sep)
+        return start + size
+
+    spans = [(0, end_of(0))] if text else []
+    while spans and spans[-1][1] < len(text):
+        start = max(spans[-1][1] - overlap, spans[-1][0] + 1)
+        spans.append((start, end_of(start)))
+    return spans
 
 
 def _merged(parts: list[tuple[int, int]], text: str, size: int) -> list[tuple[int, int]]:

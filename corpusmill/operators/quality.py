@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
+from corpusmill.sources.sinks import sized, written
 
 # Signs that stand for unread characters, and the penalty of each issue.
 GARBLED = "□◇△▲▽▼☆★○●◎⊙¤§※"
@@ -61,17 +63,46 @@ def repeated_edges(docs: DataFrame, group: str, least: int = 3) -> DataFrame:
     return counted.where((F.col("c") >= F.greatest(F.lit(least), F.floor(F.col("n") / 2))) | number).select("grp", "line", "c")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.85, blocks: int = 11) -> DataFrame:
+def drop_edges(docs: DataFrame, rules: DataFrame, group: str, most: int = 50, longer: int = 5, least: int = 4) -> DataFrame:
+    """(doc_id, text): texts of docs without the lines that a rule (grp, line) of their group names. Blanks aside, such a line equals a rule's, or begins or ends with one of
+    least characters or more and is at most longer characters longer. Rules have at most most characters.
+
+    A line that is short enough meets the rules by its own beginnings and ends, so no document meets all rules of its group."""
+    lines = docs.select("doc_id", F.col(group).alias("grp"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("doc_id", "grp", "at", F.regexp_replace("line", r"\s+", "").alias("bare")).where(F.length("bare").between(1, most + longer))
+    n = F.length("bare")
+    parts = [F.when(n - d >= least, side("bare", n - d)) for d in range(longer + 1) for side in (F.left, F.right)]
+    keys = lines.select("doc_id", "grp", "at", F.explode(F.array_distinct(F.array_compact(F.array(F.col("bare"), *parts)))).alias("line"))
+    known = sized(written(rules.select("grp", "line").distinct(), "edge-rules"))
+    hits = keys.join(known, ["grp", "line"], "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    rows = docs.select("doc_id", "text").join(sized(written(hits, "edge-hits")), "doc_id", "left")
+    left = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("gone", k))
+    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
+
+
+def _plan(n: int, most: int) -> int:
+    """The number of blocks for which keys and candidate pairs are fewest: more blocks give more keys a row, but longer ones, so fewer chance pairs."""
+
+    def cost(blocks: int) -> float:
+        keys, bits = comb(blocks, most), V.BITS * (blocks - most) / blocks
+        return n * keys + n * n * keys / 2 ** (bits + 1)
+
+    return min(range(most + 2, most + 7), key=cost)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.85, blocks: int | None = None) -> DataFrame:
     """(doc_id, duplicate_of, distance): for each row the best earlier row by SimHash, ties to the earliest.
 
     Equal fingerprints collapse first. At most k = floor((1 - similarity) * 64) bits may differ, so of `blocks` blocks of the 64 bits at least
-    blocks - k are equal: fingerprints are joined on each combination of so many blocks (pigeonhole), then verified; no pair is missed."""
+    blocks - k are equal: fingerprints are joined on each combination of so many blocks (pigeonhole), then verified; no pair is missed. By default the
+    number of blocks follows from the number of fingerprints, so that keys lengthen as the table grows."""
     most = int((1 - similarity) * V.BITS + 1e-9)
+    rows = written(docs.select("doc_id", V.simhash(F.col("text")).alias("h")), "simhash")
+    groups = written(rows.groupBy("h").agg(F.min("doc_id").alias("first")), "simhash-groups")
+    blocks = _plan(groups.count(), most) if blocks is None else blocks
     same = blocks - most
     if same < 1:
         raise ValueError("more blocks are needed for this similarity")
-    rows = docs.select("doc_id", V.simhash(F.col("text")).alias("h"))
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("first"))
     bits = F.concat(F.lpad(F.bin("h.hi"), 32, "0"), F.lpad(F.bin("h.lo"), 32, "0"))
     edge = [round(V.BITS * k / blocks) for k in range(blocks + 1)]
     part = lambda k: F.substring(bits, edge[k] + 1, edge[k + 1] - edge[k])

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.functions import vectors as V
+from corpusmill.sources.sinks import sized, written
 
 K1, B = 1.5, 0.35
 RRF_K = 30
+#: Blocks of queries that are broadcast to search vectors; more are joined by shuffle.
+MOST_BLOCKS = 40
 #: Weights (keyword, vector) of each query class.
 CLASS_WEIGHTS = {"fuzzy": (0.3, 0.7), "precise": (0.5, 0.5), "normal": (0.4, 0.6)}
 # Marks of loosely worded queries and of queries that name a place or number.
@@ -25,13 +28,30 @@ PRECISE = "街道 社区 镇 村 区 市 省 号 字 〔 【 第 照料中心 
 def postings(chunks: DataFrame, tf: str = "binary") -> DataFrame:
     """(token, chunk_id, doc_id, tf, length). binary: a token counts once per chunk, and length is the number of distinct tokens."""
     if tf == "binary":
-        rows = chunks.select("chunk_id", "doc_id", X.tokens(F.col("content")).alias("t"))
-        return rows.select(F.explode("t").alias("token"), "chunk_id", "doc_id", F.lit(1).cast("long").alias("tf"), F.size("t").cast("long").alias("length"))
+        return spread_tokens(token_rows(chunks))
     rows = chunks.select("chunk_id", "doc_id", X.word_run(F.col("content")).alias("t"))
     every = rows.select("chunk_id", "doc_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("token"))
     return every.groupBy("token", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf"))
 
 
+def token_rows(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, tokens): the distinct tokens of each chunk."""
+    return chunks.select("chunk_id", "doc_id", X.tokens(F.col("content")).alias("tokens"))
+
+
+def spread_tokens(rows: DataFrame) -> DataFrame:
+    """Binary postings of token_rows()."""
+    return rows.select(F.explode("tokens").alias("token"), "chunk_id", "doc_id", F.lit(1).cast("long").alias("tf"), F.size("tokens").cast("long").alias("length"))
+
+
+def write_index(chunks: DataFrame, path: str, files: int = 64) -> None:
+    """Postings as a table for many queries: dealt by token and a part of the chunk, so that a common token is many tasks, and sorted by token, so that a
+    query's filter skips row groups."""
+    rows = postings(chunks)
+    dealt = rows.repartition(files, "token", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    dealt.sortWithinPartitions("token", "chunk_id").write.parquet(path)
+
+
 def token_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 
@@ -54,11 +74,12 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("token"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 of each query's tokens over the index, the k best chunks of each query."""
-    size = index.select("chunk_id", "length").distinct().agg(F.count("*").cast("double").alias("n"), (F.sum("length") / F.count("*")).alias("avgdl"))
-    asked = query_tokens(queries)
-    used = index.join(asked.select("token").distinct(), "token", "left_semi")
+def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
+    """BM25 of each query's tokens over the index, the k best chunks of each query. lengths: (chunk_id, length) of the index's chunks, where they are at hand."""
+    lengths = index.select("chunk_id", "length").distinct() if lengths is None else lengths
+    size = lengths.agg(F.count("*").cast("double").alias("n"), (F.sum("length") / F.count("*")).alias("avgdl"))
+    asked = written(query_tokens(queries), "query-tokens")
+    used = index.join(sized(written(asked.select("token").distinct(), "query-words"), 200_000), "token", "left_semi")
     df = used.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + 1))
     weight = F.when(F.length("token") == 1, 0.6).when((F.length("token") == 2) & ~F.contains("token", F.lit("_")) & (F.col("df") > F.col("n") * F.lit(0.5)) & (F.col("n") > 10), 0.8).otherwise(1.0)
@@ -68,17 +89,28 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: f
     return top_k(hits, k)
 
 
+def meet_blocks(rows: DataFrame, asked: DataFrame, block: int = 256) -> DataFrame:
+    """Each of rows with each block of the written table asked (query_id, q, qn), as an array qs of at most about block queries.
+
+    Up to MOST_BLOCKS blocks are broadcast; with more, each row goes to every block by a shuffle."""
+    n_blocks = max(1, -(-asked.count() // block))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block")
+    blocks = asked.groupBy(part).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
+    if n_blocks > MOST_BLOCKS:
+        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).join(blocks, "block")
+    return rows.join(F.broadcast(blocks.drop("block")))
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, block: int = 256) -> DataFrame:
     """The k nearest vectors (chunk_id, doc_id, embedding) of each query (query_id, embedding) by cosine, scored max(0, 1 - distance / 2).
 
-    The queries are a stated set against all vectors. They are broadcast in blocks of block queries, one row of arrays each, so the
-    vectors are read once and stay where they are; scores stream through a top-k per task before any shuffle."""
+    The queries are a stated set against all vectors, met in blocks, so up to MOST_BLOCKS blocks the vectors are read once and stay where they
+    are; scores stream through a top-k per task before any shuffle."""
     rows = vectors if where is None else vectors.where(where)
     rows = rows.withColumn("n", V.norm(F.col("embedding")))
     asked = queries.select("query_id", F.col("embedding").alias("q"), V.norm(F.col("embedding")).alias("qn"))
-    n_blocks = max(1, -(-queries.count() // block))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs")).drop("block")
-    scored = rows.join(F.broadcast(blocks)).select("chunk_id", "doc_id", F.explode(F.transform("qs", lambda q: F.struct(q.query_id.alias("query_id"), V.distance_score(1 - V.cosine(F.col("embedding"), q.q, F.col("n"), q.qn)).alias("score")))).alias("s"))
+    scored = meet_blocks(rows, written(asked, "query-vectors"), block)
+    scored = scored.select("chunk_id", "doc_id", F.explode(F.transform("qs", lambda q: F.struct(q.query_id.alias("query_id"), V.distance_score(1 - V.cosine(F.col("embedding"), q.q, F.col("n"), q.qn)).alias("score")))).alias("s"))
     return top_k(scored.select("s.query_id", "chunk_id", "doc_id", "s.score"), k)
 
 
@@ -175,13 +207,17 @@ def coarse_k(k: int) -> int:
     return max(5 * k, 50)
 
 
-def hybrid_search(index: DataFrame, chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def hybrid_search(index: DataFrame, chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, allowed: DataFrame | None = None, answered: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """Both retrievers at coarse k, fused, enriched and reranked by exact matches; the keyword side alone where there are no vectors.
-    allowed (doc_id): only these documents, before scoring."""
+    allowed (doc_id): only these documents, before scoring. answered (query_id): queries that a cache has answered (cache.lookup), which are not searched."""
+    if answered is not None:
+        queries = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
+        query_vectors = query_vectors.join(answered.select("query_id").distinct(), "query_id", "left_anti") if query_vectors is not None else None
     if allowed is not None:
         index = index.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
         vectors = vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi") if vectors is not None else None
-    found = bm25(index, queries, coarse_k(k))
+        lengths = None
+    found = bm25(index, queries, coarse_k(k), lengths=lengths)
     if vectors is None or query_vectors is None:
         found = found.withColumn("source", F.lit("bm25"))
     else:

@@ -112,16 +112,6 @@ def a2(spark, sf):
     return S.tag_counts(docs(spark, sf))
 
 
-@query("a3_dashboard", f"""WITH {DOCS}, {CHUNKS}, t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM docs) GROUP BY tag)
-SELECT 'count' AS kind, 'docs' AS name, count(*) AS n FROM docs UNION ALL SELECT 'count', 'chunks', count(*) FROM chunks UNION ALL (SELECT 'tag', tag, n FROM t ORDER BY n DESC, tag LIMIT 10) UNION ALL (SELECT 'newest', title, doc_id FROM docs ORDER BY doc_id DESC LIMIT 5)""")
-def a3(spark, sf):
-    d = docs(spark, sf)
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit("count").alias("kind"), F.lit(name).alias("name"), "n")
-    tags = S.tag_counts(d).orderBy(F.desc("n"), "tag").limit(10).select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), "n")
-    newest = d.orderBy(F.desc("doc_id")).limit(5).select(F.lit("newest").alias("kind"), F.col("title").alias("name"), F.col("doc_id").alias("n"))
-    return count(d, "docs").unionByName(count(chunks(spark, sf), "chunks")).unionByName(tags).unionByName(newest)
-
-
 @query("a21_sessions", "SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def a21(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"))
@@ -158,19 +148,19 @@ def c9(spark, sf):
     return Q.exact_duplicates(table(spark, sf, "documents"))
 
 
-_CHECK = """checked AS (
+CHECK_SQL = """checked AS (
   SELECT chunk_id, t, n, CASE WHEN n = 0 THEN ['empty'] ELSE list_filter([CASE WHEN n < 20 THEN 'too_short' END, CASE WHEN n - length(regexp_replace(t, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}a-zA-Z]', '', 'g')) < n * 0.3::DOUBLE THEN 'no_text_content' END,
     CASE WHEN (n - length(regexp_replace(t, '[□◇△▲▽▼☆★○●◎⊙¤§※]', '', 'g'))) / n > 0.3::DOUBLE THEN 'ocr_garbage' END, CASE WHEN (n - length(regexp_replace(t, '[^\\p{L}\\p{N}\\s]', '', 'g'))) / n > 0.5::DOUBLE THEN 'high_symbol_ratio' END], lambda x: x IS NOT NULL) END AS issues
   FROM (SELECT chunk_id, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS t, length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) AS n FROM chunks)
 )"""
 
 
-@query("d1_chunk_quality", f"WITH {CHUNKS}, {_CHECK} SELECT chunk_id, array_to_string(issues, ',') AS issues, CASE WHEN list_contains(issues, 'empty') THEN 0 ELSE round(greatest(0, 1 - CAST(list_sum(list_transform(list_prepend('x', issues), lambda i: CASE i WHEN 'too_short' THEN 0.3 WHEN 'no_text_content' THEN 0.6 WHEN 'ocr_garbage' THEN 0.5 WHEN 'high_symbol_ratio' THEN 0.2 ELSE 0 END)) AS DOUBLE)), 6) END AS score, len(issues) > 0 AS is_low FROM checked")
+@query("d1_chunk_quality", f"WITH {CHUNKS}, {CHECK_SQL} SELECT chunk_id, array_to_string(issues, ',') AS issues, CASE WHEN list_contains(issues, 'empty') THEN 0 ELSE round(greatest(0, 1 - CAST(list_sum(list_transform(list_prepend('x', issues), lambda i: CASE i WHEN 'too_short' THEN 0.3 WHEN 'no_text_content' THEN 0.6 WHEN 'ocr_garbage' THEN 0.5 WHEN 'high_symbol_ratio' THEN 0.2 ELSE 0 END)) AS DOUBLE)), 6) END AS score, len(issues) > 0 AS is_low FROM checked")
 def d1(spark, sf):
     return Q.check(chunks(spark, sf)).select("chunk_id", F.array_join("issues", ",").alias("issues"), "score", "is_low")
 
 
-@query("a12_quality_report", f"""WITH {CHUNKS}, {_CHECK} SELECT count(*) AS total, count(*) FILTER (len(issues) = 0) AS normal, count(*) FILTER (len(issues) > 0) AS low, count(*) FILTER (list_contains(issues, 'ocr_garbage')) AS ocr_poor,
+@query("a12_quality_report", f"""WITH {CHUNKS}, {CHECK_SQL} SELECT count(*) AS total, count(*) FILTER (len(issues) = 0) AS normal, count(*) FILTER (len(issues) > 0) AS low, count(*) FILTER (list_contains(issues, 'ocr_garbage')) AS ocr_poor,
   count(*) FILTER (list_contains(issues, 'empty')) AS n_empty, count(*) FILTER (list_contains(issues, 'too_short')) AS n_too_short, count(*) FILTER (list_contains(issues, 'no_text_content')) AS n_no_text_content, count(*) FILTER (list_contains(issues, 'ocr_garbage')) AS n_ocr_garbage, count(*) FILTER (list_contains(issues, 'high_symbol_ratio')) AS n_high_symbol_ratio,
   round(count(*) FILTER (len(issues) = 0) * 100.0 / count(*), 1)::DOUBLE AS normal_pct, round(count(*) FILTER (len(issues) = 0) * 100.0 / count(*), 1)::DOUBLE AS health FROM checked""")
 def a12(spark, sf):
@@ -191,14 +181,11 @@ def a22(spark, sf):
 @query("x15_drop_edges", """WITH e AS (SELECT lang, list(line ORDER BY line) AS lines FROM (SELECT lang, substring(regexp_replace(l[1], '\\s+', '', 'g'), 1, 50) AS line, count(*) AS c FROM (SELECT lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents) WHERE len(l) > 0 GROUP BY ALL HAVING count(*) >= 2) GROUP BY lang)
 SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+', '', 'g') = '' OR len(list_filter(coalesce(lines, []), lambda y: regexp_replace(x, '\\s+', '', 'g') = y OR (length(y) >= 4 AND (starts_with(regexp_replace(x, '\\s+', '', 'g'), y) OR ends_with(regexp_replace(x, '\\s+', '', 'g'), y)) AND length(regexp_replace(x, '\\s+', '', 'g')) - length(y) <= 5))) = 0), chr(10))) AS kept_md5 FROM documents d LEFT JOIN e ON d.lang = e.lang""")
 def x15(spark, sf):
-    from corpusmill.functions.text import drop_matching_lines
-
     rows = table(spark, sf, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    first = rows.select("lang", lines.alias("l")).where(F.size("l") > 0).select("lang", F.substring(F.regexp_replace(F.element_at("l", 1), r"\s+", ""), 1, 50).alias("line"))
-    rules = first.groupBy("lang", "line").agg(F.count("*").alias("c")).where("c >= 2").groupBy("lang").agg(F.collect_list("line").alias("lines"))
-    joined = rows.join(rules, "lang", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
-    return joined.select("doc_id", F.md5(drop_matching_lines(F.col("text"), F.col("lines"))).alias("kept_md5"))
+    first = rows.select("lang", lines.alias("l")).where(F.size("l") > 0).select(F.col("lang").alias("grp"), F.substring(F.regexp_replace(F.element_at("l", 1), r"\s+", ""), 1, 50).alias("line"))
+    rules = first.groupBy("grp", "line").agg(F.count("*").alias("c")).where("c >= 2")
+    return Q.drop_edges(rows, rules, "lang").select("doc_id", F.md5("text").alias("kept_md5"))
 
 
 @query("d2_near_duplicates", f"""WITH s AS ({SIMHASH}), p AS (SELECT b.doc_id, a.doc_id AS other, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS d FROM s a JOIN s b ON a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 9)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph as G
+from corpusmill.operators import quality as Q
+from corpusmill.operators import store as S
 from corpusmill.operators import sync as Y
-from corpusmill.plans.base import query, table
+from corpusmill.plans.base import CHUNKS, DOCS, chunks, docs, query, table
+from corpusmill.plans.corpus import CHECK_SQL
 
 
 def graph(spark, sf):
@@ -112,3 +115,19 @@ def a20(spark, sf):
 def m9(spark, sf):
     old, new = snapshots(spark, sf)
     return Y.apply(old, old, new).select("path", "hash")
+
+
+@query("a3_dashboard", f"""WITH {DOCS}, {CHUNKS}, {CHECK_SQL}, {GRAPH}, t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM docs) GROUP BY tag)
+SELECT 'count' AS kind, 'docs' AS name, count(*) AS n FROM docs UNION ALL SELECT 'count', 'chunks', count(*) FROM chunks UNION ALL (SELECT 'tag', tag, n FROM t ORDER BY n DESC, tag LIMIT 10) UNION ALL (SELECT 'newest', title, doc_id FROM docs ORDER BY doc_id DESC LIMIT 5)
+UNION ALL SELECT 'alert', issue, count(*) FROM (SELECT unnest(issues) AS issue FROM checked) GROUP BY issue UNION ALL SELECT 'graph', 'nodes', count(*) FROM nodes UNION ALL SELECT 'graph', 'edges', count(*) FROM edges""")
+def a3(spark, sf):
+    d, c = docs(spark, sf), chunks(spark, sf)
+    nodes, edges = graph(spark, sf)
+    count = lambda df, kind, name: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n")
+    tags = S.tag_counts(d).orderBy(F.desc("n"), "tag").limit(10).select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), "n")
+    newest = d.orderBy(F.desc("doc_id")).limit(5).select(F.lit("newest").alias("kind"), F.col("title").alias("name"), F.col("doc_id").alias("n"))
+    alerts = Q.check(c).select(F.explode("issues").alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("alert").alias("kind"), "name", "n")
+    out = count(d, "count", "docs")
+    for more in (count(c, "count", "chunks"), tags, newest, alerts, count(nodes, "graph", "nodes"), count(edges, "graph", "edges")):
+        out = out.unionByName(more)
+    return out

@@ -13,6 +13,7 @@ from corpusmill.operators import evaluate as E
 from corpusmill.operators import retrieve as R
 from corpusmill.plans.base import CHUNKS, DOCS, chunks, docs, query, questions, table
 from corpusmill.plans.scalars import ANSWERS, FUZZY, GREETING, KNOWLEDGE, PRECISE, answers, seen, words_sql
+from corpusmill.sources.sinks import written
 
 _PAIRS = "list_transform(range(1, CAST(greatest(len(w), 1) AS BIGINT)), lambda i: w[i] || '_' || w[i + 1])"
 
@@ -30,8 +31,15 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY roun
 keyword AS (SELECT r.query_id, r.chunk_id, c.doc_id, r.score, r.rank FROM ranked r JOIN chunks c USING (chunk_id) WHERE rank <= 10)"""
 
 
+def indexed(spark, sf):
+    """Postings and lengths of all chunks, from tokens that are worked out and written once."""
+    rows = written(R.token_rows(chunks(spark, sf)), "chunk-tokens")
+    return R.spread_tokens(rows), rows.where(F.size("tokens") > 0).select("chunk_id", F.size("tokens").cast("long").alias("length"))
+
+
 def keyword(spark, sf, k=10):
-    return R.bm25(R.postings(chunks(spark, sf)), questions(spark, sf), k)
+    index, lengths = indexed(spark, sf)
+    return R.bm25(index, questions(spark, sf), k, lengths=lengths)
 
 
 @query("r1_postings", f"WITH {CHUNKS}, {_tokens('post', 'chunk_id', 'content', 'chunks')} SELECT token, count(*) AS df FROM post GROUP BY token")
@@ -41,7 +49,7 @@ def r1(spark, sf):
 
 @query("a16_index_info", f"WITH {INDEX} SELECT (SELECT count(*) FROM lens) AS chunks, (SELECT count(DISTINCT token) FROM post) AS vocabulary, (SELECT CAST(sum(length) AS BIGINT) FROM lens) AS total_tokens, (SELECT round(avg(length), 6) FROM lens) AS avg_length")
 def a16(spark, sf):
-    return R.index_info(R.postings(chunks(spark, sf))).withColumn("avg_length", F.round("avg_length", 6))
+    return R.index_info(indexed(spark, sf)[0]).withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query("r2_bm25", f"WITH {BM25} SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, rank FROM keyword")
@@ -149,12 +157,14 @@ def r15(spark, sf):
     return E.compare(keyword(spark, sf, 5), fused(spark, sf).where("rank <= 5"))
 
 
-@query("r9_multi_query", f"""WITH {INDEX.replace("FROM benchmark)", "FROM (SELECT item_id * 2 AS item_id, substring(text, 1, 150) AS text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substring(text, 151, 150) FROM benchmark))")}{BM25[len(INDEX) : BM25.index("keyword AS")]}best AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS score FROM ranked WHERE rank <= 10 GROUP BY ALL), again AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM best) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM again WHERE rank <= 10""")
+@query("r9_multi_query", f"""WITH {INDEX.replace("FROM benchmark)", "FROM (SELECT item_id * 2 AS item_id, substring(text, 1, (length(text) + 1) // 2) AS text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substring(text, (length(text) + 1) // 2 + 1) FROM benchmark))")}{BM25[len(INDEX) : BM25.index("keyword AS")]}best AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS score FROM ranked WHERE rank <= 10 GROUP BY ALL), again AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM best) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM again WHERE rank <= 10""")
 def r9(spark, sf):
     q = questions(spark, sf)
-    parts = F.array(F.struct((F.col("query_id") * 2).alias("id"), F.substring("query", 1, 150).alias("q")), F.struct((F.col("query_id") * 2 + 1).alias("id"), F.substring("query", 151, 150).alias("q")))
+    half = F.ceil(F.length("query") / 2).cast("int")
+    parts = F.array(F.struct((F.col("query_id") * 2).alias("id"), F.substr("query", F.lit(1), half).alias("q")), F.struct((F.col("query_id") * 2 + 1).alias("id"), F.substr("query", half + 1).alias("q")))
     halves = q.select(F.explode(parts).alias("x")).select(F.col("x.id").alias("query_id"), F.col("x.q").alias("query"))
-    found = R.bm25(R.postings(chunks(spark, sf)), halves, 10).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    index, lengths = indexed(spark, sf)
+    found = R.bm25(index, halves, 10, lengths=lengths).withColumn("query_id", F.floor(F.col("query_id") / 2))
     return R.merge_sub_queries(found, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -253,12 +263,12 @@ def x18(spark, sf):
     return T.route_by_prototype(q, protos, F.col("query_id") % 7 == 0).select("query_id", "intent", F.round("similarity", 6).alias("similarity"))
 
 
-@query("j15_r13_answer_audit", f"WITH {ANSWERS}, s AS (SELECT conv_id * 100 + turn AS answer_id, *, list_filter([turn % 4, conv_id % 6], lambda x: x BETWEEN 1 AND 3) AS v FROM answers) SELECT answer_id, CASE WHEN len(list_distinct(v)) > 0 THEN len(list_distinct(v)) ELSE 0 END AS n_cited, 0.9::DOUBLE AS confidence FROM s WHERE NOT regexp_matches(content, '\\[\\d{{1,3}}\\].* \\[\\d{{1,3}}\\].* \\[\\d{{1,3}}\\]')")
+@query("j15_r13_answer_audit", f"WITH {ANSWERS}, s AS (SELECT conv_id || '/' || turn AS answer_id, list_filter(list_distinct(list_transform(regexp_extract_all(content, '\\[(\\d{{1,3}})\\]', 1), lambda x: CAST(x AS INTEGER))), lambda x: x BETWEEN 1 AND 3) AS v FROM answers) SELECT answer_id, CAST(len(v) AS INTEGER) AS n_cited, 0.9::DOUBLE AS confidence, repeat('snippet | ', greatest(CAST(len(v) AS INTEGER) - 1, 0)) || CASE WHEN len(v) > 0 THEN 'snippet' ELSE '' END AS previews FROM s")
 def r13(spark, sf):
-    a = answers(spark, sf).withColumn("answer_id", F.col("conv_id") * 100 + F.col("turn")).where(~F.col("content").rlike(r"\[\d{1,3}\].* \[\d{1,3}\].* \[\d{1,3}\]"))
+    a = answers(spark, sf).withColumn("answer_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     one = a.select("answer_id", F.explode(F.sequence(F.lit(1), "n_sources")).alias("n"))
     sources = one.select("answer_id", "n", F.lit("t").alias("title"), F.lit("snippet").alias("snippet"), F.round(F.lit(1.0) - F.col("n") * 0.1, 6).alias("score"))
-    return T.audit_answers(a, sources).select("answer_id", F.col("n_cited").cast("int").alias("n_cited"), "confidence")
+    return T.audit_answers(a, sources).select("answer_id", F.col("n_cited").cast("int").alias("n_cited"), "confidence", "previews")
 
 
 @query("x29_context_block", f"WITH {BM25}, {DOCS}, r AS (SELECT k.query_id, k.rank, '[' || k.rank || '] source: ' || title || chr(10) || substring(content, 1, 500) AS line FROM keyword k JOIN chunks USING (chunk_id) JOIN docs ON docs.doc_id = k.doc_id WHERE k.rank <= 3) SELECT query_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'question: ' || any_value(text)) AS prompt_md5, CAST(count(*) AS INTEGER) AS n_sources FROM r JOIN benchmark ON item_id = query_id GROUP BY query_id")
@@ -391,5 +401,9 @@ def r5(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
     v = c.select("chunk_id", "doc_id", R.hashed_embedding(F.col("content")).alias("embedding"))
     asked = q.select("query_id", R.hashed_embedding(F.col("query")).alias("embedding"))
-    rows = R.hybrid_search(R.postings(c), c, docs(spark, sf), q, 5, v, asked)
+    index, lengths = indexed(spark, sf)
+    # Every 25th question has been answered before: a cache hit is not searched.
+    past = asked.where("query_id % 25 = 0").select(F.col("query_id").cast("string").alias("key"), F.lit("").alias("hash"), "embedding", F.lit(0.0).alias("ts"))
+    hits = H.lookup(q.join(asked, "query_id"), past, now=60.0, least=0.999999)
+    rows = R.hybrid_search(index, c, docs(spark, sf), q, 5, v, asked, answered=hits, lengths=lengths)
     return rows.select("query_id", "chunk_id", "doc_id", "source", F.round("score", 6).alias("score"), "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.plans.base import CHUNKS, chunks, query, table
 from corpusmill.plans.behaviour import PAIRS
+from corpusmill.plans.corpus import CHECK_SQL
 from corpusmill.plans.retrieval import _tokens
 from corpusmill.plans.sources import place
 from corpusmill.sources.sinks import shared_dir
@@ -75,25 +76,26 @@ def st4(spark, sf):
     return out.groupBy("user").agg(F.max_by(F.struct("n", "topics"), "run").alias("x")).select("user", "x.n", "x.topics")
 
 
-@query("st5_answer_cache", "SELECT count(DISTINCT event_type || user_id % 10) AS misses, count(*) - count(DISTINCT event_type || user_id % 10) AS hits FROM events")
+@query("st5_answer_cache", "SELECT event_type || user_id % 10 AS hash, event_id AS seq, first_value(event_id) OVER w AS answer, row_number() OVER w > 1 AS hit FROM events WINDOW w AS (PARTITION BY event_type || user_id % 10 ORDER BY event_id)")
 def st5(spark, sf):
-    rows = table(spark, sf, "events").select(F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("hash"), F.col("event_id").alias("seq"), F.lit("a").alias("answer"))
+    rows = table(spark, sf, "events").select(F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("hash"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("answer"))
     # With processing time there is always another batch to come, so one is asked for.
     out = drain(spark, J.answer_cache(stream(spark, rows, "requests")), trigger={"once": True})
-    return out.agg(F.count_if(~F.col("hit")).alias("misses"), F.count_if("hit").alias("hits"))
+    return out.select("hash", "seq", F.col("answer").cast("long").alias("answer"), "hit")
 
 
-@query("st6_activity_log", "SELECT DISTINCT user_id AS session, event_type AS type FROM events")
+@query("st6_activity_log", "SELECT user_id AS session, event_type AS type, max(ts) AS ts FROM events GROUP BY ALL")
 def st6(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("type"), "ts")
-    return drain(spark, J.activity_log(stream(spark, rows, "activity"), "3650 days")).select("session", "type")
+    out = drain(spark, J.activity_log(stream(spark, rows, "activity")), "update")
+    return out.groupBy("session", "type").agg(F.max("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("st7_health", f"WITH {CHUNKS} SELECT count(*) AS n FROM chunks")
+@query("st7_health", f"WITH {CHUNKS}, {CHECK_SQL} SELECT issue, count(*) AS n FROM (SELECT unnest(list_prepend('total', issues)) AS issue FROM checked) GROUP BY issue")
 def st7(spark, sf):
     c = chunks(spark, sf).select("chunk_id", "content")
     out = drain(spark, J.health(stream(spark, c, "health")), "complete")
-    return out.where("issue = 'total'").groupBy().agg(F.max_by("n", "run").alias("n"))
+    return out.groupBy("issue").agg(F.max_by("n", "run").alias("n"))
 
 
 @query("st8_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

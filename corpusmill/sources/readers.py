@@ -44,6 +44,7 @@ def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXT
 
 # Pages -----------------------------------------------------------------------------------------------------------------
 
+# Elements of a page that hold no text of it.
 _SKIP = "script|style|nav|footer|header|aside|noscript"
 
 

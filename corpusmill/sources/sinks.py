@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what is used more than once is worked out once, and a lost executor costs a reread."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(small: DataFrame, limit: int = 20_000) -> DataFrame:
+    """A written table with a broadcast hint if a count shows at most limit rows, else as it is."""
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
 def row_lines(df: DataFrame, name: str, title: Column) -> DataFrame:
     """Rows as text lines that tell their columns; blank cells are left out, and rows of blank cells."""
     cells = [F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.concat(F.lit(f"{c or f'col{k + 1}'}="), F.col(f"`{c}`").cast("string"))) for k, c in enumerate(df.columns)]

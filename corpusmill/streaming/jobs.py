@@ -26,8 +26,10 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", o
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
         try:
+            # Of the stored table the key alone is read, and of it only what may be in the batch.
             stored = spark.read.parquet(path).select(key)
-            fresh = fresh.join(stored, key, "left_anti")
+            least, most = fresh.agg(F.min(key), F.max(key)).first()
+            fresh = fresh.join(stored.where(F.col(key).between(least, most)), key, "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -61,8 +63,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
-    """Writes the current index as one table, its files sorted by token for row-group skipping."""
-    read_index(spark, path).repartition("token").sortWithinPartitions("token").write.parquet(to)
+    """Writes the current index as one table, its files sorted by token for row-group skipping; a common token is dealt to several files."""
+    read_index(spark, path).repartition("token", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("token").write.parquet(to)
 
 
 class _Pairs(StatefulProcessor):
@@ -103,11 +105,10 @@ class _Topics(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, joined = self.kept.get() if self.kept.exists() else (0, "")
         topics = joined.split("\n") if joined else []
-        for batch in rows:
-            for t in batch.sort_values("seq")["topic"]:
-                n += 1
-                if not any(t in k or k in t for k in topics):
-                    topics = [*topics, t][-self.most :]
+        for t in pd.concat(list(rows)).sort_values("seq")["topic"]:
+            n += 1
+            if not any(t in k or k in t for k in topics):
+                topics = [*topics, t][-self.most :]
         self.kept.update((n, "\n".join(topics)))
         yield pd.DataFrame({"user": [key[0]], "n": [n], "topics": ["\n".join(topics)]})
 
@@ -131,15 +132,15 @@ class _Cache(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for batch in rows:
-            for seq, answer in zip(batch["seq"], batch["answer"], strict=True):
-                held, hits = self.entry.get() if self.entry.exists() else (None, 0)
-                if held is not None:
-                    self.entry.update((held, hits + 1))
-                    out.append((key[0], seq, held, True))
-                else:
-                    self.entry.update((answer, 0))
-                    out.append((key[0], seq, answer, False))
+        every = pd.concat(list(rows)).sort_values("seq")
+        for seq, answer in zip(every["seq"], every["answer"], strict=True):
+            held, hits = self.entry.get() if self.entry.exists() else (None, 0)
+            if held is not None:
+                self.entry.update((held, hits + 1))
+                out.append((key[0], seq, held, True))
+            else:
+                self.entry.update((answer, 0))
+                out.append((key[0], seq, answer, False))
         yield pd.DataFrame(out, columns=["hash", "seq", "answer", "hit"])
 
     def close(self) -> None:
@@ -151,9 +152,40 @@ def answer_cache(requests: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
     return requests.groupBy("hash").transformWithStateInPandas(_Cache(ttl_ms), "hash string, seq long, answer string, hit boolean", "append", "processingTime")
 
 
-def activity_log(events: DataFrame, keep: str = "7 days") -> DataFrame:
-    """The first event of each (session, type) within the watermark."""
-    return events.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["session", "type"])
+class _Newest(StatefulProcessor):
+    """Keeps the newest event of a key until event time has gone on by a retention."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(batch["ts"].max().value // 1000) for batch in rows)
+        held = self.newest.get()[0] if self.newest.exists() else None
+        if held is None or newest > held:
+            if held is not None:
+                self.handle.deleteTimer(held // 1000 + self.keep_ms)
+            self.newest.update((newest,))
+            self.handle.registerTimer(newest // 1000 + self.keep_ms)
+            yield pd.DataFrame({"session": [key[0]], "type": [key[1]], "ts": [pd.Timestamp(newest, unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def activity_log(events: DataFrame, late: str = "1 hour", keep_days: float = 7) -> DataFrame:
+    """The newest event of each (session, type) whenever it changes, from a stream (session, type, ts); a key is forgotten keep_days of event time after its newest event.
+
+    Needs the RocksDB state store and a session time zone of UTC."""
+    log = _Newest(round(keep_days * 86_400_000))
+    return events.withWatermark("ts", late).groupBy("session", "type").transformWithStateInPandas(log, "session long, type string, ts timestamp", "update", "eventTime")
 
 
 def health(chunks: DataFrame) -> DataFrame:

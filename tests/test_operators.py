@@ -152,3 +152,72 @@ def test_gate_and_plan(spark):
     assert R.sync_plan(ids("a", "b"), ids("a", "b")).first()["plan"] == "in_sync"
     assert R.sync_plan(ids("a", "b"), ids("b", "c")).first()["plan"] == "incremental"
     assert R.sync_plan(ids("a"), ids("b")).first()["plan"] == "rebuild"
+
+
+def brute_cuts(text, size, overlap):
+    """Windows by trying every place: the first separator with a place in the last three tenths, at its last such place."""
+    spans, start = [], 0
+    while text and (not spans or spans[-1][1] < len(text)):
+        end = min(start + size, len(text))
+        if end < len(text):
+            for sep in C.SEPARATORS:
+                places = [k for k in range(start + int(size * 0.7) + 1, end - len(sep) + 1) if text.startswith(sep, k)]
+                if places:
+                    end = places[-1] + len(sep)
+                    break
+        spans.append((start, end))
+        start = max(end - overlap, start + 1)
+    return spans
+
+
+def test_cut_long_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    for n in (0, 1, 49, 50, 51, 400):
+        text = "".join(rnd.choice("abc 。\n.!? ；") for _ in range(n))
+        for size, overlap in ((50, 10), (20, 0), (7, 6)):
+            assert C.cut_long(text, size, overlap) == brute_cuts(text, size, overlap)
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    assert all(C.cut_long(t, 300, 40) == brute_cuts(t, 300, 40) for t in docs)
+
+
+@pytest.mark.parametrize("kind", ["text", "table", "headed", "paged", "slides"])
+def test_chunks_of_documents(spark, kind):
+    """Every chunk is a span of its text within its size (or one line or a cut of a longer one), chunks are in order, and no word is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(kind).alias("format"))
+    source = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {}
+    for r in C.chunk_documents(docs, 300, 40).orderBy("doc_id", "idx").collect():
+        text = source[r["doc_id"]]
+        assert r["content"] == text[r["start_char"] : r["end_char"]] and r["content"].strip()
+        assert kind == "table" or len(r["content"]) <= 300 or kind == "slides"
+        got.setdefault(r["doc_id"], []).append((r["start_char"], r["end_char"]))
+    for i, text in source.items():
+        spans = got.get(i, [])
+        assert spans == sorted(spans)
+        covered = set().union(*[range(a, b) for a, b in spans]) if spans else set()
+        assert not [k for k, c in enumerate(text or "") if not c.isspace() and k not in covered]
+
+
+def test_drop_edges_equals_lines_compared_with_all_rules(spark):
+    from corpusmill.functions.text import drop_matching_lines
+
+    rules = [("g", "Head"), ("g", "Page1"), ("g", "ab"), ("h", "Head")]
+    texts = ["Head\nbody\nPage 1 of 9", "ab\nabc\nx Head", "He ad\n\n" + "Head" + "x" * 6, "", None, "my Head", "\n", "Head" + "x" * 5]
+    docs = spark.createDataFrame([(k, "g", t) for k, t in enumerate(texts)] + [(99, None, "Head"), (98, "h", "Page1\nHead")], "doc_id long, lang string, text string")
+    table = spark.createDataFrame(rules, "grp string, line string")
+    got = {r["doc_id"]: r["text"] for r in Q.drop_edges(docs, table, "lang").collect()}
+    for i, group, text in docs.collect():
+        own = F.array(*[F.lit(line) for g, line in rules if g == group]).cast("array<string>")
+        want = spark.createDataFrame([(text,)], "t string").select(drop_matching_lines(F.col("t"), own)).first()[0]
+        assert got[i] == want
+
+
+def test_vector_search_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("doc_id"), "embedding")
+    q = e.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    rows = lambda: sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in R.vector_search(e, q, 3, block=4).collect())
+    first = rows()
+    monkeypatch.setattr(R, "MOST_BLOCKS", 1)
+    assert rows() == first
