@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is written as Parquet and read again.
 All stages but the last return the columns of documents.
+
+Defined cases, for every stage: an empty table gives no rows; extra columns are dropped, whatever their names; whole texts are read, however long; a null or
+repeated doc_id is carried and decides nothing but order; repeated rows are judged alike. Nulls: a null text goes with language ID; in the
+later stages it has no word, so it fails the base rule, is a copy of other texts without words, has size 0 and is never taken, and has no piece. A null
+source is a source of its own, a null lang a stratum of its own, a null n_chars is only carried. Ties: the first language by code point, a measure equal to its cutoff
+passes, the least doc_id and then the least text key stands for its class, equal sampling keys go by doc_id, size and row key.
 """
 
 from __future__ import annotations
