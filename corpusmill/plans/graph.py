@@ -70,15 +70,12 @@ def s16(spark, sf):
 
 
 def _communities(spark, sf):
-    from corpusmill.sources.sinks import shared_dir
-
-    shared_dir(spark)
     return G.communities(*graph(spark, sf))
 
 
 @query("g4_communities")
 def g4(spark, sf):
-    """Label propagation, with the modularity of the result in each row."""
+    """Communities, with the modularity of the result in each row."""
     found = _communities(spark, sf)
     return found.join(F.broadcast(G.modularity(graph(spark, sf)[1], found)))  # one row
 

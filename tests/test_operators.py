@@ -221,3 +221,18 @@ def test_vector_search_by_broadcast_and_by_shuffle(spark, monkeypatch):
     first = rows()
     monkeypatch.setattr(R, "MOST_BLOCKS", 1)
     assert rows() == first
+
+
+def test_communities_beat_label_propagation(spark):
+    """Two cliques with a bridge, a ring of triangles, a lone node: as good as the best partition that is known, and settled."""
+    clique = lambda names: [(a, b) for a in names for b in names if a < b]
+    pairs = clique("abcde") + clique("fghij") + [("e", "f")]
+    pairs += [p for k in range(6) for p in clique([f"t{k}x", f"t{k}y", f"t{k}z"])] + [tuple(sorted((f"t{k}z", f"t{(k + 1) % 6}x"))) for k in range(6)]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for p in pairs for x in p} | {"lone"})], "id string")
+    found = G.communities(nodes, edges)
+    got = {r["id"]: r["cluster"] for r in found.collect()}
+    assert {got[x] for x in "abcde"} == {"a"} and {got[x] for x in "fghij"} == {"f"} and got["lone"] == "lone"
+    assert all(len({got[f"t{k}{x}"] for x in "xyz"}) == 1 for k in range(6))
+    assert G.modularity(edges, found).first()["q"] > 0.7
+    assert G.communities(nodes.where("id = 'lone'"), edges.limit(0)).collect()[0]["cluster"] == "lone"
