@@ -11,7 +11,7 @@ from corpusmill.operators import profile as P
 from corpusmill.plans.base import CHUNKS, DOCS, chunks, docs, query, table
 from corpusmill.plans.graph import GRAPH, graph
 from corpusmill.plans.profiles import _TEXT
-from corpusmill.plans.retrieval import BM25, keyword
+from corpusmill.plans.retrieval import _EVAL, _ROW, BM25, keyword
 from corpusmill.operators import retrieve as R
 from corpusmill.sources import readers as I
 from corpusmill.sources import sinks as O
@@ -129,12 +129,14 @@ def s20(spark, sf):
     return O.hit_lines(R.enrich(keyword(spark, sf, 3), chunks(spark, sf), docs(spark, sf)))
 
 
-@query("s21_report", f"WITH {BM25} SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT query_id FROM keyword)")
+@query("s21_report", f"WITH {_EVAL}, c AS (SELECT * FROM m) SELECT 'summary' AS part, {_ROW} FROM c UNION ALL SELECT 'misses', count(*), 0, 0, 0 FROM c WHERE recall = 0")
 def s21(spark, sf):
     from corpusmill.operators import evaluate as E
     from corpusmill.plans.retrieval import judged
 
     path = place(spark, "report")
     per_query = E.metrics(judged(spark, sf))
-    E.save_report(per_query, E.summary(per_query), path)
-    return spark.read.json(f"{path}/summary").select(F.col("total").alias("n"))
+    E.save_report(per_query, E.summary(per_query), path, worst=1_000_000)
+    summary = spark.read.schema("total long, recall double, mrr double, ndcg double").json(f"{path}/summary").select(F.lit("summary").alias("part"), "*")
+    misses = spark.read.schema("query_id long").json(f"{path}/misses").agg(F.count("*").alias("total"))
+    return summary.unionByName(misses.select(F.lit("misses").alias("part"), "total", *[F.lit(0.0).alias(c) for c in ("recall", "mrr", "ndcg")]))
