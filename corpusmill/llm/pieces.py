@@ -45,8 +45,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD, SAMPLE, MARK = 200_000, 10_000, "▁"
 #: Characters and distinct parts of the texts that are packed together; both bound the memory of a task.
 BLOCK, PARTS = 1 << 25, 600_000
-#: Words that a task encodes, parts that are unpacked at once, and the longest word.
-WORDS, UNPACKED, MAX_WORD = 50_000, 400_000, 1_000_000
+#: Words that a task encodes, parts that are unpacked at once, and the longest word. Rows of a batch whose texts a task decodes at once.
+WORDS, UNPACKED, MAX_WORD = 50_000, 100_000, 1_000_000
+ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -203,7 +204,7 @@ def _common_words(docs: DataFrame, table: DataFrame, model: Pieces, head: int, s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             for text in batch["text"].to_pylist():
                 seen.update(model.cut(text))
             if len(seen) > PARTS:
@@ -244,7 +245,7 @@ def _unpacked(data: bytes) -> dict[str, np.ndarray]:
     return {name: batch[name].flatten().to_numpy(zero_copy_only=False) for name in batch.schema.names}
 
 
-def _spelled(words: list[str], ids: pa.Array, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def _spelled(words: pa.Array, ids: pa.Array, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The ids of words, one after the other, and the number of ids of each, with byte pieces for characters without a piece."""
     sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -252,7 +253,7 @@ def _spelled(words: list[str], ids: pa.Array, model: Pieces) -> tuple[np.ndarray
     odd = np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right"))
     out, done = [], 0
     for k in odd:
-        own = model.spelled(words[k], flat[ends[k] - sizes[k] : ends[k]].tolist())
+        own = model.spelled(words[int(k)].as_py(), flat[ends[k] - sizes[k] : ends[k]].tolist())
         out += [flat[done : ends[k] - sizes[k]], np.array(own, np.int32)]
         done, sizes[k] = ends[k], len(own)
     return np.concatenate([*out, flat[done:]]), sizes
@@ -269,7 +270,10 @@ def _planes(name: str, numbers: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _numbers(name: str, planes: dict[str, np.ndarray]) -> np.ndarray:
-    return sum(planes[f"{name}{k}"].astype(np.int64) << (8 * k) for k in range(3))
+    out = planes[f"{name}0"].astype(np.int32)
+    for k in (1, 2):
+        out |= planes[f"{name}{k}"].astype(np.int32) << (8 * k)
+    return out
 
 
 def _pack(parts: _Numbers, codes: list[np.ndarray], known: dict[str, int], known_ids: np.ndarray, known_sizes: np.ndarray, model: Pieces) -> tuple[bytes, list[str]]:
@@ -298,7 +302,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
     spark: SparkSession = docs.sparkSession
     table = piece_table(spark, model)
     common = _common_words(docs, table, model, head, sample).toArrow()  # at most head rows, some MB
-    ids, sizes = _spelled(common["word"].to_pylist(), common["ids"].combine_chunks(), model)
+    ids, sizes = _spelled(common["word"].combine_chunks(), common["ids"].combine_chunks(), model)
     at_hand = spark.sparkContext.broadcast((_packed({"words": common["word"].combine_chunks(), "ids": ids, "sizes": sizes})))
     # Columns travel under names of their own, so that no name clashes.
     kept = {f"c{k}": name for k, name in enumerate(["doc_id", *keep])}
@@ -321,7 +325,8 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
         for batch in batches:
             start = 0
             only = batch.select(list(kept))
-            for k, text in enumerate(batch["text"].to_pylist()):
+            texts = (text for k in range(0, len(batch), ROWS) for text in batch["text"].slice(k, ROWS).to_pylist())
+            for k, text in enumerate(texts):
                 own = model.parts(text)
                 codes.append(np.fromiter(map(parts.__getitem__, own), np.uint32, len(own)))
                 digests.append(hashlib.md5((text or "").encode()).digest() if check else None)
@@ -353,7 +358,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
         packed, rare = (texts[c].drop_null()[0] for c in ("packed", "rare"))
         packed = _unpacked(packed.as_py())
         ids = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int16()))
-        ids, sizes = _spelled(rare.as_py() if pc.any(pc.less(ids.flatten(), 0)).as_py() else [], ids, model)
+        ids, sizes = _spelled(rare.values, ids, model)
         # From words to parts, and from parts to texts.
         numbers, n_rare = _numbers("word", packed), len(sizes)
         which = np.where(numbers == 0, np.cumsum(numbers == 0) - 1, np.where(numbers == 1, n_rare - 1 + np.cumsum(numbers == 1), numbers - 2))
@@ -378,6 +383,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
         return pa.concat_tables(out)
 
     rows = spark.table(name).groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(spell, result)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay, and rows reads them
     return rows.select(*[F.col(c).alias(name) for c, name in kept.items()], *names[len(kept) :])
 
 
