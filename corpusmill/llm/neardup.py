@@ -126,7 +126,7 @@ def _sketch(docs: DataFrame, m: int, rows: int, width: int) -> DataFrame:
     """(doc_id, id, bands) of every document; id: the key of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, len(b), 500)):  # bounds the texts that are decoded at once
             texts = ["" if t is None else t for t in batch["text"].to_pylist()]
             for part in blocks([len(t) for t in texts], 1 << 22):
                 keys = band_keys(signatures(texts[part], m, width), rows)

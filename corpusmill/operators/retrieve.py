@@ -17,7 +17,7 @@ from corpusmill.sources.sinks import sized, written
 K1, B = 1.5, 0.35
 RRF_K = 30
 #: Blocks of queries that are broadcast to search vectors; more are joined by shuffle.
-MOST_BLOCKS = 40
+MOST_BLOCKS, SALTS = 40, 32
 #: Weights (keyword, vector) of each query class.
 CLASS_WEIGHTS = {"fuzzy": (0.3, 0.7), "precise": (0.5, 0.5), "normal": (0.4, 0.6)}
 # Marks of loosely worded queries and of queries that name a place or number.
@@ -92,12 +92,14 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: f
 def meet_blocks(rows: DataFrame, asked: DataFrame, block: int = 256) -> DataFrame:
     """Each of rows with each block of the written table asked (query_id, q, qn), as an array qs of at most about block queries.
 
-    Up to MOST_BLOCKS blocks are broadcast; with more, each row goes to every block by a shuffle."""
+    Up to MOST_BLOCKS blocks are broadcast; with more, each row goes to every block by a shuffle, dealt to SALTS copies of it."""
     n_blocks = max(1, -(-asked.count() // block))
     part = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block")
     blocks = asked.groupBy(part).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
     if n_blocks > MOST_BLOCKS:
-        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).join(blocks, "block")
+        blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).join(blocks, ["block", "salt"]).drop("salt")
     return rows.join(F.broadcast(blocks.drop("block")))
 
 

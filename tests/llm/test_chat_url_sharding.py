@@ -60,10 +60,10 @@ def test_url_parts_rules_and_model(spark):
     assert set(urlfilter.fit(urlfilter.labelled_urls(spark).limit(0), steps=1)[0]) == {0.0}
 
 
-def brute_buckets(spark, host, path, sizes=(3, 4), buckets=4096):
-    marked = [f"h^{host}$", f"p^{path}$"]
-    grams = [m[i : i + n] for m in marked for n in sizes for i in range(len(m) - n + 1)]
-    return [r[0] for r in spark.createDataFrame(list(enumerate(grams)), "k int, g string").orderBy("k").select(F.pmod(F.xxhash64("g"), F.lit(buckets))).collect()]
+def brute_grams(url, sizes=(3, 4)):
+    host, slash, path = url.split("://", 1)[1].partition("/")
+    marked = [f"h^{host.lower()}$", f"p^{(slash + path).split('?')[0].split('#')[0]}$"]
+    return [m[i : i + n] for m in marked for n in sizes for i in range(len(m) - n + 1)]
 
 
 def test_url_model_equals_brute_force_and_tells_held_out_urls(spark):
@@ -73,11 +73,11 @@ def test_url_model_equals_brute_force_and_tells_held_out_urls(spark):
 
     weights, bias = urlfilter.fit(urlfilter.labelled_urls(spark))
     few = [(u, 1.0) for u in urlfilter.BLOCKED_URLS] + [(u, 0.0) for u in urlfilter.ALLOWED_URLS]
+    grams = sorted({g for u, _ in few for g in brute_grams(u)})
+    bucket = {r["g"]: r["b"] for r in spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.pmod(F.xxhash64("g"), F.lit(4096)).alias("b")).collect()}
     x = np.zeros((len(few), 4096))
     for k, (u, _) in enumerate(few):
-        rest = u.split("://", 1)[1]
-        host, slash, path = rest.partition("/")
-        b = brute_buckets(spark, host.lower(), (slash + path).split("?")[0].split("#")[0])
+        b = [bucket[g] for g in brute_grams(u)]
         np.add.at(x[k], b, 1 / math.sqrt(len(b)))
     y = np.array([y for _, y in few])
     w, b0 = np.zeros(4096), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
