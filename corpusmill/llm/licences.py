@@ -98,6 +98,13 @@ OFFICIAL = {
         f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
         for what in ("program", "library", "software", "file")
     ),
+    "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",),
+    "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",),
+    "bsd-endorse": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     "mpl-notice": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 # Ordered rules of the official sentences, which come before the short ones.
@@ -105,6 +112,8 @@ OFFICIAL_RULES = [
     ("Apache-2.0", ["apache-grant", "apache-copy", "apache-asis", "apache-see"]),
     ("Apache-2.0", ["apache-grant"]),
     *[(licence, [i, *more]) for more in (["gpl-warranty"], []) for licence, i in (("GPL-2.0", "gpl2-free"), ("GPL-3.0", "gpl3-free"), ("LGPL-2.1", "lgpl2-free"), ("LGPL-3.0", "lgpl3-free"), ("AGPL-3.0", "agpl3-free"))],
+    ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
     ("MPL-2.0", ["mpl-notice"]),
 ]

@@ -196,10 +196,33 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
 
 
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
 def test_licences_verbatim_headers(spark):
     """Official headers: wrapped, as comments, with carriage returns, and each paragraph in one line."""
     gpl2 = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
-    heads = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0": GPL, "GPL-2.0": gpl2}
+    lgpl = GPL.replace("This program", "This library").replace("the GNU General Public License as", "the GNU Lesser General Public License as")
+    heads = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0": GPL, "GPL-2.0": gpl2, "LGPL-3.0": lgpl, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "ISC": ISC, "MPL-2.0": MPL}
     shapes = [lambda t: t, lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */", lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: t.replace("\n", "\r\n"), lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))]
     rows = [(f"{name}/{k}", "Prose before.\n\n" + shape(text) + "\n\nProse after.") for name, text in heads.items() for k, shape in enumerate(shapes)]
     no = [("apart", "Licensed under\n\nCC BY-NC 4.0."), ("cut", "Licensed under. CC BY-NC 4.0."), ("longer", "Not released under the\nMIT License at all.")]
