@@ -30,10 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: the lineage is cut, and a lost executor costs nothing but a reread."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: the lineage is cut, and a lost executor costs nothing but a reread. codec: Parquet's, if not the session's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -120,7 +120,7 @@ def compare_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, parti
         if held is not None:
             yield edge("last", *held)
 
-    done = materialize(rows.mapInArrow(walk, RESULT + ", edge string, part int, text string"), "fingerprints")
+    done = materialize(rows.mapInArrow(walk, RESULT + ", edge string, part int, text string"), "fingerprints", "zstd")  # hex is halved
     firsts = done.where("edge = 'first'").select("part", F.col("text").alias("following"))
     # One row for each partition: the next partition that has rows, and after the last the first again.
     whole = Window.orderBy("part")
