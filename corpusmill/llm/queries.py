@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, fingerprints, langid, licences, mixing, neardup, pieces, quality, sharding, urlfilter
+from corpusmill.llm import align, chat, exact, fingerprints, langid, licences, mixing, neardup, pieces, quality, repair, sharding, urlfilter
 from corpusmill.llm.common import table
 
 #: Weight of a document in the order of sampling, by its label.
@@ -136,10 +136,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS own FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY own) AS group_size, row_number() OVER w = 1 AS kept, sha256(own) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY own ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_formatting, op2_sentencepiece, op3_url_filters, op4_language_id, op5_sharding, op6_mixing, op7_licence_scans, op8_fingerprints, op9_quality_rules, op10_near_duplicates)
+    own = (op1_chat_formatting, op2_sentencepiece, op3_url_filters, op4_language_id, op5_sharding, op6_mixing, op7_licence_scans, op8_fingerprints, op9_quality_rules, op10_near_duplicates, op11_exact_duplicates, op12_alignment, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op5_sharding": _op5_sql(), "op6_mixing": OP6_SQL, "op7_licence_scans": _op7_sql()}
+    return {"op1_chat_formatting": OP1_SQL, "op5_sharding": _op5_sql(), "op6_mixing": OP6_SQL, "op7_licence_scans": _op7_sql(), "op11_exact_duplicates": OP11_SQL}
