@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -30,7 +31,9 @@ from corpusmill.llm.common import materialize
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters and documents of a block, parts that a task remembers, links that are expanded at once.
-BLOCK, ROWS, PARTS, LINKS = 1 << 23, 10_000, 100_000, 1 << 20
+BLOCK, ROWS, PARTS, LINKS = 1 << 23, 10_000, 400_000, 1 << 20
+#: Characters of a part that is remembered.
+LONGEST = 1000
 #: Bits of an id of B in a pair.
 SHIFT = 32
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -54,23 +57,25 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         letters = byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in json.loads(byte_bpe)["model"]["vocab"].items()}
+        table = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in json.loads(byte_bpe)["model"]["vocab"].items()}
+        self.bytes_a = [table.get(i, b"") for i in range(max(table) + 1)]
         special = {i for i in range(self.b.get_piece_size()) if self.b.is_control(i) or self.b.is_unknown(i)}
         spelled = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_b = [b"" if i in special else spelled(i) for i in range(self.b.get_piece_size())]
+        self.size_a, self.size_b = (list(map(len, table)) for table in (self.bytes_a, self.bytes_b))
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """Ids of each text by A and B, which spell a blank and the text; None if they do not."""
+        spelled_a, spelled_b = self.bytes_a, self.bytes_b
         coded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         for text, a, b in zip(texts, coded, self.b.encode(texts, num_threads=1), strict=True):
             want, a = b" " + text.encode("utf-8", "surrogatepass"), a.ids
-            right = b"".join([self.bytes_a.get(i, b"") for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
-            yield (a, b) if right else None
+            yield (a, b) if b"".join([spelled_a[i] for i in a]) == want == b"".join([spelled_b[i] for i in b]) else None
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
         """The id lists cut where tokens of both end."""
-        ends_a = dict(zip(accumulate([len(self.bytes_a[i]) for i in a]), range(1, len(a) + 1), strict=True))
-        ends_b = dict(zip(accumulate([len(self.bytes_b[i]) for i in b]), range(1, len(b) + 1), strict=True))
+        ends_a = dict(zip(accumulate([self.size_a[i] for i in a]), range(1, len(a) + 1)))  # noqa: B905
+        ends_b = dict(zip(accumulate([self.size_b[i] for i in b]), range(1, len(b) + 1)))  # noqa: B905
         out, at, bt = [], 0, 0
         for end in sorted(ends_a.keys() & ends_b.keys()):
             k, m = ends_a[end], ends_b[end]
@@ -112,7 +117,7 @@ def summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 class _Parts:
-    """What is known of parts, by number: ids and groups counted, the groups written, and the pairs of their links."""
+    """What is known of parts, by number: ids and groups counted, the groups written (None: no tokens), and the pairs of their links, one after the other."""
 
     def __init__(self, aligner: Aligner) -> None:
         self.aligner = aligner
@@ -121,41 +126,48 @@ class _Parts:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.text: list[str | None] = []
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counts, self.pairs = array("q"), array("q")  # four numbers a part; pairs
 
     def learn(self, parts: list[str]) -> None:
         for part, ids in zip(parts, self.aligner.tokens(parts), strict=True):
             self.number[part] = len(self.text)
-            groups = self.aligner.groups(*ids) if ids else []
-            own = summed(list(links(groups)))
-            self.text.append(written(groups) if ids else None)
-            self.counts.append((*map(len, ids or ([], [])), len(groups), int(own[1].sum())))
-            self.pairs.append(own)
+            if ids is None:
+                self.text.append(None)
+                self.counts.extend((0, 0, 0, 0))
+                continue
+            a, b = ids
+            groups = [ids] if len(a) == 1 or len(b) == 1 else self.aligner.groups(a, b)
+            pairs = [i << SHIFT | j for x, y in groups for i in x for j in y]
+            self.text.append(written(groups))
+            self.counts.extend((len(a), len(b), len(groups), len(pairs)))
+            self.pairs.extend(pairs)
 
 
 def _conforms(text: str) -> list[str] | None:
     """The parts of a text between single blanks if each stands for itself, else None."""
     parts = text.split(" ")
-    return None if any(not p or p[0].isspace() or p[-1].isspace() for p in parts) else parts
+    return None if any(not p or len(p) > LONGEST or p[0].isspace() or p[-1].isspace() for p in parts) else parts
 
 
-def align(texts: list[str], known: _Parts) -> Iterator[tuple[tuple[int, int, int, int], str | None, np.ndarray, np.ndarray]]:
+def align(texts: list[str | None], known: _Parts) -> Iterator[tuple[tuple[int, ...], str | None, np.ndarray, np.ndarray]]:
     """Counts, groups_sha256 (None without tokens), pairs and their numbers of each text."""
     cut = [_conforms(t) if t else None for t in texts]
     if len(known.text) > PARTS:
         known.clear()
     known.learn(list(dict.fromkeys(p for parts in cut if parts for p in parts if p not in known.number)))
+    # Views, which are gone when more is learned.
+    counts, flat = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (known.counts, known.pairs))
+    counts = counts.reshape(-1, 4)
+    ends = np.cumsum(counts[:, 3])
     for text, parts in zip(texts, cut, strict=True):
         numbers = [known.number[p] for p in parts or ()]
-        if parts and all(known.text[k] is not None for k in numbers):
-            digest = hashlib.sha256(";".join([known.text[k] for k in numbers]).encode()).hexdigest()
-            which, times = np.unique(np.array(numbers), return_counts=True)
-            counts = np.array([known.counts[k] for k in which.tolist()]) * times[:, None]
-            pairs = [known.pairs[k] for k in which.tolist()]
-            keys, each = (np.concatenate([p[x] for p in pairs]) for x in (0, 1))
-            sizes = np.fromiter((len(p[0]) for p in pairs), np.int64, len(pairs))
-            yield tuple(counts.sum(axis=0).tolist()), digest, *summed([(keys, each * np.repeat(times, sizes)), (keys[:0], each[:0])])
+        told = [known.text[k] for k in numbers]
+        if parts and None not in told:
+            own = counts[numbers]
+            first = ends[numbers] - own[:, 3]
+            starts = np.cumsum(own[:, 3]) - own[:, 3]
+            pairs = flat[np.repeat(first - starts, own[:, 3]) + np.arange(own[:, 3].sum())]
+            yield tuple(own.sum(axis=0).tolist()), hashlib.sha256(";".join(told).encode()).hexdigest(), *np.unique(pairs, return_counts=True)
             continue
         ids = next(known.aligner.tokens([text])) if text else None
         groups = known.aligner.groups(*ids) if ids else []
