@@ -21,13 +21,23 @@ _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 #: A pattern of the characters that NFKC leaves alone whatever stands beside them, or that normalize() maps itself: texts of these alone need no NFKC.
 _STABLE = [chr(c) for c in (*range(0x180), *range(0x2010, 0x2028), *range(0x3001, 0x3030)) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
-_PLAIN = "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in _STABLE) + "一-鿿㐀-䶿　！-～"
+
+
+def _ranges(chars: list[str]) -> str:
+    """Characters in order of their code points as ranges of a pattern's class."""
+    codes = [ord(c) for c in chars]
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+_PLAIN = _ranges(_STABLE) + "一-鿿㐀-䶿　！-～"
 
 
 def normalize(text: Column) -> Column:
     """NFKC and lower case. Full-width forms become ASCII by translation; only texts with other compatibility or combining characters go through Python."""
     plain = F.lower(F.translate(text, _WIDE, _NARROW))
-    odd = text.rlike(f"[^{_PLAIN}]")
+    odd = text.rlike(r"[^\x00-\x9f\xbf-\x{131}]") & text.rlike(f"[^{_PLAIN}]")  # the first test is fast and lets most texts through
     return F.when(odd, normalize_nfkc(F.when(odd, text))).otherwise(plain)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
@@ -13,6 +13,10 @@ from corpusmill.operators.retrieve import meet_blocks
 from corpusmill.sources.sinks import written
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "key string, hash string, embedding array<double>, ts double")
+
+
 def lookup(queries: DataFrame, cache: DataFrame, now: float, ttl: float = 1800.0, least: float = 0.92, fresh_first: bool = False) -> DataFrame:
     """(query_id, key, how): the entry of the same text within its time, else the single most similar entry if similar enough and fresh.
 
@@ -29,6 +33,22 @@ def lookup(queries: DataFrame, cache: DataFrame, now: float, ttl: float = 1800.0
     return exact.unionByName(near)
 
 
+def answer(queries: DataFrame, cache: DataFrame, results: DataFrame, search: Callable[[DataFrame], DataFrame], now: float, **lookup_options: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, entries, stored): the results of all queries (query_id, query, embedding), with cached telling whether an entry of the cache gave them; the new
+    entries (key, hash, embedding, ts) for write(); and the new queries' results by key.
+
+    results (key, and the columns of a search but query_id) holds what was found for the cache's entries. Only queries without an entry are searched."""
+    hits = written(lookup(queries, cache, now, **lookup_options), "cache-hits")
+    new = written(queries.join(hits, "query_id", "left_anti"), "cache-new")
+    found = written(search(new), "cache-found")
+    old = hits.select("query_id", "key").join(results, "key").drop("key")
+    every = old.withColumn("cached", F.lit(True)).unionByName(found.withColumn("cached", F.lit(False)))
+    entries = new.select(X.query_hash(F.col("query")).alias("key"), X.query_hash(F.col("query")).alias("hash"), "embedding", F.lit(float(now)).alias("ts")).dropDuplicates(["key"])
+    # Of queries of the same text one gives the entry's results.
+    first = new.groupBy(X.query_hash(F.col("query")).alias("key")).agg(F.min("query_id").alias("query_id"))
+    return every, entries, first.join(found, "query_id").drop("query_id")
+
+
 def touch(cache: DataFrame, found: DataFrame, now: float) -> DataFrame:
     """The cache after the hits in found (key): counts and last access."""
     n = found.groupBy("key").agg(F.count("*").alias("new_hits"))

@@ -6,6 +6,7 @@ from functools import reduce
 from itertools import combinations
 from math import comb
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,40 +81,55 @@ def drop_edges(docs: DataFrame, rules: DataFrame, group: str, most: int = 50, lo
     return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
 
 
+#: The most blocks of a fingerprint, which is the most keys that are stored of one.
+MOST_BLOCKS = 10
+
+
+def hamming_blocks(most: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of each block. If every block differed in more bits than its radius, over most bits would differ in all."""
+    edge = [round(V.BITS * k / blocks) for k in range(blocks + 1)]
+    radius = [(most + 1) // blocks - 1 + (k < (most + 1) % blocks) for k in range(blocks)]
+    return [(a, b - a, r) for a, b, r in zip(edge[:-1], edge[1:], radius, strict=True)]
+
+
+def _flips(bits: int, radius: int) -> int:
+    return sum(comb(bits, k) for k in range(radius + 1))
+
+
 def _plan(n: int, most: int) -> int:
-    """The number of blocks for which keys and candidate pairs are fewest: more blocks give more keys a row, but longer ones, so fewer chance pairs."""
+    """The number of blocks for which probes and chance pairs are fewest."""
 
     def cost(blocks: int) -> float:
-        keys, bits = comb(blocks, most), V.BITS * (blocks - most) / blocks
-        return n * keys + n * n * keys / 2 ** (bits + 1)
+        flips = [(_flips(bits, r), bits) for _, bits, r in hamming_blocks(most, blocks)]
+        return n * sum(f for f, _ in flips) + n * n / 2 * sum(f / 2**bits for f, bits in flips)
 
-    return min(range(most + 2, most + 7), key=cost)
+    return min(range(2 if most > 3 else 1, min(MOST_BLOCKS, most + 1) + 1), key=cost)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.85, blocks: int | None = None) -> DataFrame:
     """(doc_id, duplicate_of, distance): for each row the best earlier row by SimHash, ties to the earliest.
 
-    Equal fingerprints collapse first. At most k = floor((1 - similarity) * 64) bits may differ, so of `blocks` blocks of the 64 bits at least
-    blocks - k are equal: fingerprints are joined on each combination of so many blocks (pigeonhole), then verified; no pair is missed. By default the
-    number of blocks follows from the number of fingerprints, so that keys lengthen as the table grows."""
+    Equal fingerprints collapse first. At most k = floor((1 - similarity) * 64) bits may differ, so with radii that add up to k + 1 - blocks, two near
+    fingerprints differ within its radius in some block. Each fingerprint is stored under its own blocks (at most MOST_BLOCKS keys), and asks for
+    those within the radius of its blocks; pairs are verified and none is missed. By default the number of blocks follows from the number of fingerprints."""
     most = int((1 - similarity) * V.BITS + 1e-9)
     rows = written(docs.select("doc_id", V.simhash(F.col("text")).alias("h")), "simhash")
     groups = written(rows.groupBy("h").agg(F.min("doc_id").alias("first")), "simhash-groups")
-    blocks = _plan(groups.count(), most) if blocks is None else blocks
-    same = blocks - most
-    if same < 1:
-        raise ValueError("more blocks are needed for this similarity")
-    bits = F.concat(F.lpad(F.bin("h.hi"), 32, "0"), F.lpad(F.bin("h.lo"), 32, "0"))
-    edge = [round(V.BITS * k / blocks) for k in range(blocks + 1)]
-    part = lambda k: F.substring(bits, edge[k] + 1, edge[k + 1] - edge[k])
-    keys = F.array(*[F.xxhash64(F.lit(i), *[part(k) for k in c]) for i, c in enumerate(combinations(range(blocks), same))])
-    heads = groups.select("h", "first", F.explode(keys).alias("key"))
-    a, b = heads.select(F.col("h").alias("ha"), F.col("first").alias("fa"), "key"), heads.select(F.col("h").alias("hb"), F.col("first").alias("fb"), "key")
+    cuts = hamming_blocks(most, _plan(groups.count(), most) if blocks is None else blocks)
+    if min(r for _, _, r in cuts) < 0:
+        raise ValueError("fewer blocks are needed for this similarity")
+    whole = F.shiftleft("h.hi", 32).bitwiseOR(F.col("h.lo"))
+    parts = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(whole, first).bitwiseAND(F.lit((1 << bits) - 1 if bits < V.BITS else -1).cast("long")).alias("part")) for k, (first, bits, _) in enumerate(cuts)])
+    stored = groups.select("h", "first", F.explode(parts).alias("x")).select("h", "first", "x.block", "x.part")
+    # The flips of a block are a short table whose size the radii fix.
+    flips = [(k, sum(1 << b for b in bits)) for k, (_, n, r) in enumerate(cuts) for size in range(r + 1) for bits in combinations(range(n), size)]
+    masks = docs.sparkSession.createDataFrame(pd.DataFrame(flips, columns=["block", "mask"]), "block int, mask long")
+    # Of a group's rows the first alone may have its best match elsewhere; a later copy has the first at distance 0.
+    asked = stored.join(F.broadcast(masks), "block").select(F.col("h").alias("ha"), F.col("first").alias("fa"), "block", F.col("part").bitwiseXOR(F.col("mask")).alias("part"))
+    found = stored.select(F.col("h").alias("hb"), F.col("first").alias("fb"), "block", "part")
     d = V.hamming(F.col("ha"), F.col("hb"))
-    near = a.join(b, "key").where((F.col("fa") != F.col("fb")) & (d <= most)).select("ha", "fb", d.alias("d")).distinct()
-    # A row's candidates: the first of its own group (distance 0), and the firsts of near groups that come earlier.
+    far = asked.join(found, ["block", "part"]).where((F.col("fb") < F.col("fa")) & (d <= most)).select(F.col("fa").alias("doc_id"), F.col("fb").alias("other"), d.alias("d"))
     own = rows.join(groups.select("h", "first"), "h").where("doc_id <> first").select("doc_id", F.col("first").alias("other"), F.lit(0).alias("d"))
-    far = rows.join(near, rows["h"] == near["ha"]).where("fb < doc_id").select("doc_id", F.col("fb").alias("other"), "d")
     best = own.unionByName(far).groupBy("doc_id").agg(F.min(F.struct("d", "other")).alias("m"))
     return best.select("doc_id", F.col("m.other").alias("duplicate_of"), F.col("m.d").cast("int").alias("distance"))
 

@@ -28,7 +28,7 @@ PRECISE = "街道 社区 镇 村 区 市 省 号 字 〔 【 第 照料中心 
 def postings(chunks: DataFrame, tf: str = "binary") -> DataFrame:
     """(token, chunk_id, doc_id, tf, length). binary: a token counts once per chunk, and length is the number of distinct tokens."""
     if tf == "binary":
-        return spread_tokens(token_rows(chunks))
+        return spread_tokens(written(token_rows(chunks), "chunk-tokens"))  # exploded from a table: else the tokens would be worked out again
     rows = chunks.select("chunk_id", "doc_id", X.word_run(F.col("content")).alias("t"))
     every = rows.select("chunk_id", "doc_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("token"))
     return every.groupBy("token", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf"))
@@ -44,14 +44,6 @@ def spread_tokens(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("tokens").alias("token"), "chunk_id", "doc_id", F.lit(1).cast("long").alias("tf"), F.size("tokens").cast("long").alias("length"))
 
 
-def write_index(chunks: DataFrame, path: str, files: int = 64) -> None:
-    """Postings as a table for many queries: dealt by token and a part of the chunk, so that a common token is many tasks, and sorted by token, so that a
-    query's filter skips row groups."""
-    rows = postings(chunks)
-    dealt = rows.repartition(files, "token", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-    dealt.sortWithinPartitions("token", "chunk_id").write.parquet(path)
-
-
 def token_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 
@@ -74,6 +66,11 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("token"))
 
 
+def token_weight(n: Column) -> Column:
+    """Weight of a token (token, df) among n chunks: single characters and very common pairs count less."""
+    return F.when(F.length("token") == 1, 0.6).when((F.length("token") == 2) & ~F.contains("token", F.lit("_")) & (F.col("df") > n * F.lit(0.5)) & (n > 10), 0.8).otherwise(1.0)
+
+
 def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
     """BM25 of each query's tokens over the index, the k best chunks of each query. lengths: (chunk_id, length) of the index's chunks, where they are at hand."""
     lengths = index.select("chunk_id", "length").distinct() if lengths is None else lengths
@@ -82,8 +79,7 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: f
     used = index.join(sized(written(asked.select("token").distinct(), "query-words"), 200_000), "token", "left_semi")
     df = used.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + 1))
-    weight = F.when(F.length("token") == 1, 0.6).when((F.length("token") == 2) & ~F.contains("token", F.lit("_")) & (F.col("df") > F.col("n") * F.lit(0.5)) & (F.col("n") > 10), 0.8).otherwise(1.0)
-    terms = asked.join(df.select("token", (idf * weight).alias("idf"), "avgdl"), "token")
+    terms = asked.join(df.select("token", (idf * token_weight(F.col("n"))).alias("idf"), "avgdl"), "token")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
     hits = terms.join(used, "token").groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(part).alias("score"))
     return top_k(hits, k)
@@ -142,8 +138,8 @@ def fuse(keyword: DataFrame, vector: DataFrame, queries: DataFrame, k: int = 10,
 
 
 def enrich(results: DataFrame, chunks: DataFrame, docs: DataFrame, format_of: Column | None = None) -> DataFrame:
-    """results with content, place and title; hits whose chunk is gone disappear, a missing document leaves the title null."""
-    rows = results.join(chunks.select("chunk_id", "content", "idx"), "chunk_id")
+    """results with content, place, title and, where chunks have one, heading; hits whose chunk is gone disappear, a missing document leaves the title null."""
+    rows = results.join(chunks.select("chunk_id", "content", "idx", *[c for c in chunks.columns if c == "heading"]), "chunk_id")
     rows = rows.join(docs.select("doc_id", F.col("title").alias("doc_title"), "file_type"), "doc_id", "left")
     return rows.withColumn("paragraph_num", F.col("idx") + 1).drop("idx")
 
@@ -209,25 +205,18 @@ def coarse_k(k: int) -> int:
     return max(5 * k, 50)
 
 
-def hybrid_search(index: DataFrame, chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, allowed: DataFrame | None = None, answered: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """Both retrievers at coarse k, fused, enriched and reranked by exact matches; the keyword side alone where there are no vectors.
-    allowed (doc_id): only these documents, before scoring. answered (query_id): queries that a cache has answered (cache.lookup), which are not searched."""
-    if answered is not None:
-        queries = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-        query_vectors = query_vectors.join(answered.select("query_id").distinct(), "query_id", "left_anti") if query_vectors is not None else None
-    if allowed is not None:
-        index = index.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-        vectors = vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi") if vectors is not None else None
-        lengths = None
-    found = bm25(index, queries, coarse_k(k), lengths=lengths)
-    if vectors is None or query_vectors is None:
-        found = found.withColumn("source", F.lit("bm25"))
-    else:
-        found = fuse(found, vector_search(vectors, query_vectors, coarse_k(k)), queries, coarse_k(k))
+def hybrid_search(keyword: DataFrame, chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, vector: DataFrame | None = None, **marks: list[str]) -> DataFrame:
+    """Two ranked lists at coarse_k(k), fused, enriched and reranked by exact matches; the keyword side alone where there is no vector side."""
+    found = keyword.withColumn("source", F.lit("bm25")) if vector is None else fuse(keyword, vector, queries, coarse_k(k), **marks)
     return top_k(exact_match_rerank(enrich(found, chunks, docs), queries), k)
 
 
-def hashed_embedding(text: Column, size: int = 16) -> Column:
-    """A stand-in for an embedding model: counts of a text's words by hash bucket."""
-    words = X.word_run(text)
-    return F.aggregate(words, F.array_repeat(F.lit(0.0), size), lambda v, w: F.transform(v, lambda x, i: x + F.when(i == F.pmod(F.hash(w), F.lit(size)), 1.0).otherwise(0.0)))
+def restricted(rows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Postings or vectors of the allowed documents (doc_id), so that they alone are scored."""
+    return rows.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def letter_embedding(text: Column) -> Column:
+    """A stand-in for an embedding model: how often each ASCII letter stands in a text, in any case."""
+    own = F.lower(text)
+    return F.array(*[(F.length(own) - F.length(F.replace(own, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])

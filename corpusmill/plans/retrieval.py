@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.functions import vectors as V
 from corpusmill.operators import cache as H
 from corpusmill.operators import chunk as C
 from corpusmill.operators import context as T
 from corpusmill.operators import evaluate as E
+from corpusmill.operators import index as I
+from corpusmill.operators import nearest as N
 from corpusmill.operators import retrieve as R
 from corpusmill.plans.base import CHUNKS, DOCS, chunks, docs, query, questions, table
 from corpusmill.plans.scalars import ANSWERS, FUZZY, GREETING, KNOWLEDGE, PRECISE, answers, seen, words_sql
-from corpusmill.sources.sinks import written
+from corpusmill.sources.sinks import shared_dir, written
 
 _PAIRS = "list_transform(range(1, CAST(greatest(len(w), 1) AS BIGINT)), lambda i: w[i] || '_' || w[i + 1])"
 
@@ -31,25 +36,41 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY roun
 keyword AS (SELECT r.query_id, r.chunk_id, c.doc_id, r.score, r.rank FROM ranked r JOIN chunks c USING (chunk_id) WHERE rank <= 10)"""
 
 
-def indexed(spark, sf):
-    """Postings and lengths of all chunks, from tokens that are worked out and written once."""
-    rows = written(R.token_rows(chunks(spark, sf)), "chunk-tokens")
-    return R.spread_tokens(rows), rows.where(F.size("tokens") > 0).select("chunk_id", F.size("tokens").cast("long").alias("length"))
+_STORED: dict[tuple, tuple] = {}
+
+
+def stored(spark, sf):
+    """The text index of all chunks and the vectors of the stand-in model (chunk_id, doc_id, embedding), written once a session for a state of the documents' files."""
+    files = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, shared_dir(spark), *state)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+        c = chunks(spark, sf)
+        _STORED[key] = I.build(c, path), written(c.select("chunk_id", "doc_id", R.letter_embedding(F.col("content")).alias("embedding")), "chunk-vectors")
+    return _STORED[key]
 
 
 def keyword(spark, sf, k=10):
-    index, lengths = indexed(spark, sf)
-    return R.bm25(index, questions(spark, sf), k, lengths=lengths)
+    return I.search(stored(spark, sf)[0], questions(spark, sf), k)
+
+
+def question_vectors(spark, sf):
+    return questions(spark, sf).select("query_id", R.letter_embedding(F.col("query")).alias("embedding"))
+
+
+def vector(spark, sf, k=10):
+    return R.vector_search(stored(spark, sf)[1], question_vectors(spark, sf), k)
 
 
 @query("r1_postings", f"WITH {CHUNKS}, {_tokens('post', 'chunk_id', 'content', 'chunks')} SELECT token, count(*) AS df FROM post GROUP BY token")
 def r1(spark, sf):
-    return R.token_stats(R.postings(chunks(spark, sf)))
+    return stored(spark, sf)[0].terms.select("token", "df")
 
 
 @query("a16_index_info", f"WITH {INDEX} SELECT (SELECT count(*) FROM lens) AS chunks, (SELECT count(DISTINCT token) FROM post) AS vocabulary, (SELECT CAST(sum(length) AS BIGINT) FROM lens) AS total_tokens, (SELECT round(avg(length), 6) FROM lens) AS avg_length")
 def a16(spark, sf):
-    return R.index_info(indexed(spark, sf)[0]).withColumn("avg_length", F.round("avg_length", 6))
+    return R.index_info(stored(spark, sf)[0].postings()).withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query("r2_bm25", f"WITH {BM25} SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, rank FROM keyword")
@@ -82,14 +103,19 @@ def f13(spark, sf):
     return R.gate(keyword(spark, sf), 40.0, 90.0).select("query_id", "chunk_id", "rejected", "low_confidence")
 
 
-_TITLED = f"{DOCS}, found AS (SELECT k.*, title, content, list_concat(hw, list_transform(range(1, CAST(greatest(len(hw), 1) AS BIGINT)), lambda i: hw[i] || '_' || hw[i + 1])) AS own FROM (SELECT k.*, title, content, {words_sql('(title || chr(32) || content)')} AS hw FROM keyword k JOIN chunks USING (chunk_id) LEFT JOIN docs ON k.doc_id = docs.doc_id) k)"
+def _reranked(hits: str, extra: str = "") -> str:
+    """CTEs: reranked, the table hits with its scores after the exact-match rerank. extra: what is read with a hit beside title and content."""
+    joined = f"(coalesce(title, '') || chr(32) || {extra}content)"
+    return f"""found AS (SELECT k.*, list_concat(hw, list_transform(range(1, CAST(greatest(len(hw), 1) AS BIGINT)), lambda i: hw[i] || '_' || hw[i + 1])) AS own FROM (SELECT k.*, {words_sql(joined)} AS hw FROM {hits} k JOIN chunks USING (chunk_id) LEFT JOIN docs ON k.doc_id = docs.doc_id) k),
+m AS (SELECT DISTINCT f.query_id, f.chunk_id, a.token FROM found f JOIN ask a ON a.item_id = f.query_id WHERE list_contains(own, a.token)), n AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id),
+marks AS (SELECT query_id, token FROM m JOIN n USING (query_id) GROUP BY query_id, token, n HAVING count(*) < n * 0.7::DOUBLE AND length(token) > 1), k AS (SELECT query_id, count(*) AS k FROM marks GROUP BY query_id), got AS (SELECT query_id, chunk_id, count(*) AS g FROM m JOIN marks USING (query_id, token) GROUP BY ALL),
+reranked AS (SELECT f.* EXCLUDE (score, own), CASE WHEN k IS NOT NULL AND n > 1 THEN score * (0.5 + coalesce(g, 0)::DOUBLE / k) ELSE score END AS score FROM found f JOIN n USING (query_id) LEFT JOIN k USING (query_id) LEFT JOIN got USING (query_id, chunk_id))"""
 
 
-@query("r6_exact_match", f"""WITH {BM25}, {_TITLED}, m AS (SELECT DISTINCT f.query_id, f.chunk_id, a.token FROM found f JOIN ask a ON a.item_id = f.query_id WHERE list_contains(own, a.token)), n AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id),
-marks AS (SELECT query_id, token FROM m JOIN n USING (query_id) GROUP BY query_id, token, n HAVING count(*) < n * 0.7::DOUBLE AND length(token) > 1), k AS (SELECT query_id, count(*) AS k FROM marks GROUP BY query_id), got AS (SELECT query_id, chunk_id, count(*) AS g FROM m JOIN marks USING (query_id, token) GROUP BY ALL)
-SELECT f.query_id, f.chunk_id, round(CASE WHEN k IS NOT NULL AND n > 1 THEN score * (0.5 + coalesce(g, 0)::DOUBLE / k) ELSE score END, 6) AS score FROM found f JOIN n USING (query_id) LEFT JOIN k USING (query_id) LEFT JOIN got USING (query_id, chunk_id)""")
+@query("r6_exact_match", f"""WITH {BM25}, {DOCS}, {_reranked("keyword", "substring(text, 1, 80) || chr(32) || ")} SELECT query_id, chunk_id, round(score, 6) AS score FROM reranked""")
 def r6(spark, sf):
-    rows = R.enrich(keyword(spark, sf), chunks(spark, sf), docs(spark, sf))
+    headed = chunks(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("heading")), "doc_id")
+    rows = R.enrich(keyword(spark, sf), headed, docs(spark, sf))
     return R.exact_match_rerank(rows, questions(spark, sf)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -117,22 +143,38 @@ def j9(spark, sf):
     return R.vector_search(vectors(spark, sf), vector_queries(spark, sf), 5, F.col("label") == 1).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _two_lists(spark, sf):
-    """The keyword list, and a second list made of it: other ranks, some hits gone and some new, as a vector side would give."""
-    first = keyword(spark, sf)
-    other = first.where("rank % 3 <> 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"))))
-    return first.where("rank <= 7"), other
+def vector_index(spark, sf):
+    return N.build(vectors(spark, sf), f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}")
 
 
-FUSED = f"""{BM25}, l AS (SELECT * FROM keyword WHERE rank <= 7), o AS (SELECT query_id, chunk_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM keyword WHERE rank % 3 <> 0),
+@query("r4_vector_index")
+def r4i(spark, sf):
+    """The same search by the written index: its hits, and the rank of each in the exact search, if it is among its best."""
+    exact = R.vector_search(vectors(spark, sf), vector_queries(spark, sf)).select("query_id", "chunk_id", F.col("rank").alias("exact_rank"))
+    found = N.search(vector_index(spark, sf), vector_queries(spark, sf))
+    return found.join(exact, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "exact_rank")
+
+
+_LETTERS = "list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda c: (length({0}) - length(replace({0}, c, '')))::DOUBLE)"
+_NORM = "sqrt(list_sum(list_transform(e, lambda x: x * x)))"
+
+
+def _fused(k: int) -> str:
+    """CTEs: keyword and vector, the k best of either side, and fused, the k best of both."""
+    return f"""{BM25.replace("WHERE rank <= 10", f"WHERE rank <= {k}")}, qv AS (SELECT item_id AS query_id, {_LETTERS.format('lower(text)')} AS e FROM benchmark), cv AS (SELECT chunk_id, doc_id, {_LETTERS.format('lower(content)')} AS e FROM chunks),
+qn AS (SELECT *, {_NORM} AS n FROM qv), cn AS (SELECT *, {_NORM} AS n FROM cv),
+near AS (SELECT query_id, chunk_id, doc_id, greatest(0, 1 - (1 - CASE WHEN q.n > 0 AND c.n > 0 THEN list_dot_product(q.e, c.e) / (q.n * c.n) ELSE 0 END) / 2) AS score FROM qn q, cn c),
+vector AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM near) WHERE rank <= {k}),
 kind AS (SELECT item_id AS query_id, CASE WHEN regexp_matches(lower(text), 'what|how|why|que |was ') THEN 0.3::DOUBLE WHEN regexp_matches(lower(text), 'street|number|straße') THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END AS w FROM benchmark),
-f AS (SELECT query_id, chunk_id, coalesce(w / (30 + l.rank), 0) + coalesce((1 - w) / (30 + o.rank), 0) AS score, CASE WHEN o.rank IS NULL THEN 'bm25' WHEN l.rank IS NULL THEN 'vector' ELSE 'both' END AS source FROM l FULL JOIN o USING (query_id, chunk_id) JOIN kind USING (query_id)),
-fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM f)"""
+f AS (SELECT query_id, chunk_id, coalesce(l.doc_id, o.doc_id) AS doc_id, coalesce(w / (30 + l.rank), 0) + coalesce((1 - w) / (30 + o.rank), 0) AS score, CASE WHEN o.rank IS NULL THEN 'bm25' WHEN l.rank IS NULL THEN 'vector' ELSE 'both' END AS source FROM keyword l FULL JOIN vector o USING (query_id, chunk_id) JOIN kind USING (query_id)),
+fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM f) WHERE rank <= {k})"""
+
+
+FUSED = _fused(10)
 
 
 def fused(spark, sf):
-    a, b = _two_lists(spark, sf)
-    return R.fuse(a, b, questions(spark, sf), 10, fuzzy=FUZZY, precise=PRECISE)
+    return R.fuse(keyword(spark, sf), vector(spark, sf), questions(spark, sf), 10, fuzzy=FUZZY, precise=PRECISE)
 
 
 @query("r3_fusion", f"WITH {FUSED} SELECT query_id, chunk_id, round(score, 6) AS score, source, rank FROM fused WHERE rank <= 10")
@@ -163,8 +205,7 @@ def r9(spark, sf):
     half = F.ceil(F.length("query") / 2).cast("int")
     parts = F.array(F.struct((F.col("query_id") * 2).alias("id"), F.substr("query", F.lit(1), half).alias("q")), F.struct((F.col("query_id") * 2 + 1).alias("id"), F.substr("query", half + 1).alias("q")))
     halves = q.select(F.explode(parts).alias("x")).select(F.col("x.id").alias("query_id"), F.col("x.q").alias("query"))
-    index, lengths = indexed(spark, sf)
-    found = R.bm25(index, halves, 10, lengths=lengths).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    found = I.search(stored(spark, sf)[0], halves, 10).withColumn("query_id", F.floor(F.col("query_id") / 2))
     return R.merge_sub_queries(found, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -277,18 +318,6 @@ def x29(spark, sf):
     return T.context_block(rows, questions(spark, sf)).select("query_id", F.md5("prompt").alias("prompt_md5"), "n_sources")
 
 
-@query("r12_context_pack")
-def r12(spark, sf):
-    """Retrieve, rerank, gate, widen by neighbours, order, fit and assemble."""
-    q, c = questions(spark, sf), chunks(spark, sf)
-    rows = R.top_k(R.exact_match_rerank(R.enrich(fused(spark, sf), c, docs(spark, sf)), q), 5)
-    rows = R.gate(rows, 0.0, 0.01).where("not rejected")
-    wide = C.neighbours(c).select("chunk_id", "context")
-    rows = R.small_to_big(rows.join(wide, "chunk_id").withColumns({"format_tag": F.lit("text"), "parent_content": F.lit("")}))
-    rows = T.lost_in_middle(T.fit_budget(rows, 4096))
-    return T.context_block(rows, q)
-
-
 @query("r8_small_to_big", f"WITH {CHUNKS}, n AS (SELECT chunk_id, doc_id, content, lead(content) OVER (PARTITION BY doc_id ORDER BY idx) AS after, lag(content) OVER (PARTITION BY doc_id ORDER BY idx) AS before, string_agg(content, chr(10) || chr(10)) OVER (PARTITION BY doc_id, idx // 4 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS parent FROM chunks) SELECT chunk_id, md5(CASE WHEN doc_id % 2 = 0 AND length(parent) > length(content) THEN trim(parent) WHEN after IS NULL AND before IS NULL THEN content ELSE content || chr(10) || chr(10) || '---' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), CASE WHEN trim(before) <> '' THEN before END, CASE WHEN trim(after) <> '' THEN after END) END) AS content_md5 FROM n")
 def r8(spark, sf):
     rows = C.neighbours(C.capacity_parents(chunks(spark, sf))).withColumn("format_tag", F.when(F.col("doc_id") % 2 == 0, "text").otherwise("excel"))
@@ -396,14 +425,45 @@ def c8(spark, sf):
     return C.contextualize(c, c.where("idx = 0").select("chunk_id", F.lit("lead").alias("summary"))).select("chunk_id", F.md5("content").alias("content_md5"))
 
 
-@query("r5_hybrid_search")
+def hybrid(spark, sf, asked, k=5):
+    """Hybrid search of asked (query_id, query, embedding) over the stored index and vectors."""
+    index, vecs = stored(spark, sf)
+    sides = I.search(index, asked, R.coarse_k(k)), R.vector_search(vecs, asked.select("query_id", "embedding"), R.coarse_k(k))
+    rows = R.hybrid_search(sides[0], chunks(spark, sf), docs(spark, sf), asked, k, sides[1], fuzzy=FUZZY, precise=PRECISE)
+    return rows.select("query_id", "chunk_id", "doc_id", "source", "score", "rank")
+
+
+HYBRID = f"""{_fused(50)}, {DOCS}, {_reranked("(SELECT query_id, chunk_id, doc_id, score, source FROM fused)")},
+hybrid AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM reranked) WHERE rank <= 5)"""
+
+
+@query("r5_hybrid_search", f"WITH {HYBRID} SELECT query_id, chunk_id, doc_id, source, round(score, 6) AS score, rank, query_id % 4 = 0 AS cached FROM hybrid")
 def r5(spark, sf):
-    c, q = chunks(spark, sf), questions(spark, sf)
-    v = c.select("chunk_id", "doc_id", R.hashed_embedding(F.col("content")).alias("embedding"))
-    asked = q.select("query_id", R.hashed_embedding(F.col("query")).alias("embedding"))
-    index, lengths = indexed(spark, sf)
-    # Every 25th question has been answered before: a cache hit is not searched.
-    past = asked.where("query_id % 25 = 0").select(F.col("query_id").cast("string").alias("key"), F.lit("").alias("hash"), "embedding", F.lit(0.0).alias("ts"))
-    hits = H.lookup(q.join(asked, "query_id"), past, now=60.0, least=0.999999)
-    rows = R.hybrid_search(index, c, docs(spark, sf), q, 5, v, asked, answered=hits, lengths=lengths)
-    return rows.select("query_id", "chunk_id", "doc_id", "source", F.round("score", 6).alias("score"), "rank")
+    """All questions, of which every fourth has been asked before and is answered by the cache, with the results it was given then."""
+    asked = questions(spark, sf).join(question_vectors(spark, sf), "query_id")
+    search = partial(hybrid, spark, sf)
+    nothing = H.empty(spark), search(asked.limit(0)).withColumn("key", F.lit("")).drop("query_id")
+    _, entries, found = H.answer(asked.where("query_id % 4 = 0"), *nothing, search, now=0.0)
+    every, _, _ = H.answer(asked, written(entries, "cache"), written(found, "cache-results"), search, now=60.0, least=2.0)
+    return every.select("query_id", "chunk_id", "doc_id", "source", F.round("score", 6).alias("score"), "rank", "cached")
+
+
+@query("r12_context_pack", f"""WITH {HYBRID}, r7 AS (SELECT h.query_id, h.chunk_id, h.doc_id, coalesce(v.score, 0) AS relevance, CAST(row_number() OVER (PARTITION BY h.query_id ORDER BY coalesce(v.score, 0) DESC, h.rank) AS INTEGER) AS rank FROM hybrid h LEFT JOIN near v USING (query_id, chunk_id)),
+gated AS (SELECT * FROM (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS best, count(*) OVER (PARTITION BY query_id) AS n FROM r7 WHERE rank <= 3) WHERE best >= 0.15),
+wide AS (SELECT chunk_id, content, concat_ws(chr(10) || chr(10), CASE WHEN trim(lag(content) OVER w) <> '' THEN lag(content) OVER w END, CASE WHEN trim(lead(content) OVER w) <> '' THEN lead(content) OVER w END) AS context FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+place AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 2 OR (rank - 1) % 2 = 0 THEN rank - 1 ELSE 2 * n - rank + 1 END) AS pos FROM gated),
+line AS (SELECT query_id, pos, '[' || pos || '] source: ' || title || chr(10) || substring(CASE WHEN context <> '' THEN content || chr(10) || chr(10) || '---' || chr(10) || chr(10) || context ELSE content END, 1, 500) AS line FROM place JOIN wide USING (chunk_id) JOIN docs ON docs.doc_id = place.doc_id)
+SELECT query_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || 'question: ' || any_value(text)) AS prompt_md5, CAST(count(*) AS INTEGER) AS n_sources FROM line JOIN benchmark ON item_id = query_id GROUP BY query_id""")
+def r12(spark, sf):
+    """Hybrid search, reranked by a scorer, gated, widened by neighbours, cut to a budget, ordered and put together."""
+    q, c = questions(spark, sf), chunks(spark, sf)
+    asked = q.join(question_vectors(spark, sf), "query_id")
+    rows = written(hybrid(spark, sf, asked), "pack-hits")
+    # The scorer's slot is filled by the cosine of the stand-in model.
+    pairs = rows.select("query_id", "chunk_id").join(stored(spark, sf)[1].select("chunk_id", F.col("embedding").alias("e")), "chunk_id").join(asked, "query_id")
+    scores = pairs.select("query_id", "chunk_id", V.distance_score(1 - V.cosine(F.col("e"), F.col("embedding"))).alias("relevance"))
+    rows = R.gate(R.rerank_by_scores(rows, scores, 3).withColumn("score", F.col("relevance"))).where("not rejected")
+    wide = C.neighbours(c).select("chunk_id", "context")
+    rows = R.small_to_big(R.enrich(rows, c, docs(spark, sf)).join(wide, "chunk_id").withColumns({"format_tag": F.lit("text"), "parent_content": F.lit("")}))
+    packs = T.context_block(T.lost_in_middle(T.fit_budget(rows, 40_000)), q)
+    return packs.select("query_id", F.md5("prompt").alias("prompt_md5"), "n_sources")
