@@ -9,6 +9,9 @@ longer rules come before the shorter ones that they contain.
 The rules and sentences are a fixed table, small enough to broadcast; only documents with a word that every known sentence has one of are cut up, and only
 known sentences are grouped.
 
+An SPDX line gives an identifier for each licence that its expression names. "All rights reserved." is a licence only where no other is found. Two identifiers
+of one normalised sentence are refused.
+
 Defined cases: null and empty texts have no sentence; repeated sentences are kept; each row is a document of its own, so repeated rows are judged alike
 and rows that share a doc_id, or have none, apart; of rules that fit, the first in their order takes the sentences; whole texts are read, however
 long; an empty table gives no rows; other columns are not read.
@@ -41,9 +44,27 @@ SENTENCES = {
     "ccbysa-notice": "Licensed under CC BY-SA 4.0.",
     "bsd-redistribute": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "all-rights": "All rights reserved.",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
+    "ccbysa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cc0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "gpl3-title": "GNU General Public License Version 3, 29 June 2007",
+    "gpl2-title": "GNU General Public License Version 2, June 1991",
+    "lgpl3-title": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "agpl3-title": "GNU Affero General Public License Version 3, 19 November 2007",
 }
+# Public licence identifiers that an SPDX line may name.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 "
+    "CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-or-later GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later "
+    "GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 "
+    "MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Ruby Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+SPDX_TAG = "SPDX-License-Identifier"
+SENTENCES |= {f"spdx-{i.lower()}": f"{SPDX_TAG} {i}" for i in SPDX}
 # Ordered rules, a licence and its sentences.
 LICENCE_RULES = [
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy", "apache-asis", "apache-see"]),
@@ -51,17 +72,29 @@ LICENCE_RULES = [
     ("GPL-3.0", ["gpl-free", "gpl-warranty"]),
     ("MIT", ["mit-grant", "mit-condition"]),
     ("Apache-2.0", ["apache-notice"]),
-    ("Apache-2.0", ["spdx-apache"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-licensed"]),
-    ("MIT", ["spdx-mit"]),
     ("GPL-3.0", ["gpl3-notice"]),
     ("CC-BY-NC-4.0", ["ccbync-notice"]),
     ("CC-BY-4.0", ["ccby-notice"]),
     ("CC-BY-SA-4.0", ["ccbysa-notice"]),
     ("BSD", ["bsd-redistribute"]),
+    ("CC-BY-SA-4.0", ["ccbysa-work"]),
+    ("Unlicense", ["unlicense-free"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("Zlib", ["zlib-grant"]),
+    ("EPL-2.0", ["epl2-notice"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("Apache-2.0", ["apache-title"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("AGPL-3.0", ["agpl3-title"]),
+    *[(i, [f"spdx-{i.lower()}"]) for i in SPDX],
     ("proprietary", ["all-rights"]),
 ]
+#: A licence that counts only if no other is found: its sentence also stands in the headers of others.
+LAST_RESORT = "proprietary"
 _FSF = "as published by the Free Software Foundation"
 _LATER = "or (at your option) any later version."
 # Whole official sentences, with their common variants. Those of an identifier above are further forms of it.
@@ -72,6 +105,16 @@ OFFICIAL = {
         'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     ),
+    "mit-licensed": (
+        *(f"{what} is licensed under the MIT {word}." for what in ("This project", "This software", "This code", "This work", "This library", "This package") for word in ("License", "Licence")),
+        *(f"{what} is released under the MIT {word}." for what in ("This project", "This software", "This code", "This work", "This library", "This package") for word in ("License", "Licence")),
+    ),
+    "apache-notice": tuple(f"{what} is licensed under the Apache License{version}." for what in ("This project", "This software", "This code", "This work", "This library", "This package") for version in (", Version 2.0", " 2.0")),
+    "boost-notice": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "epl2-notice": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+    "ccbysa-work": ("Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    "cc0-waiver": ("CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",),
+    "apache-title": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"),
     "apache-copy": ("You may obtain a copy of the License at", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
     "apache-asis": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',),
     "mit-title": ("MIT License", "The MIT License"),
@@ -119,7 +162,7 @@ OFFICIAL_RULES = [
 ]
 KNOWN: dict[str, str | tuple[str, ...]] = {i: tuple(([SENTENCES[i]] if i in SENTENCES else []) + list(OFFICIAL.get(i, ()))) for i in [*SENTENCES, *(i for i in OFFICIAL if i not in SENTENCES)]}
 #: Every known sentence has one of these, in any case.
-ANCHORS = ("licen", "permission", "copyright", "redistribut", "warranty", "rights reserved")
+ANCHORS = ("licen", "permission", "copyright", "redistribut", "warranty", "rights reserved", "public domain", "creative commons")
 
 
 def normal(sentence: Column) -> Column:
@@ -127,8 +170,12 @@ def normal(sentence: Column) -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    """Sentences of a text, not normalised."""
-    return F.split(F.regexp_replace(text, r"([.!?:])[ \t]+", "$1\n"), "\n")
+    """Sentences of a text, not normalised. An SPDX line is a sentence for each licence of its expression; exceptions (WITH) are left out."""
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, f"(?i){SPDX_TAG}:[ \\t]*", f"{SPDX_TAG} "), r"([.!?:])[ \t]+", "$1\n"), "\n")
+    tagged = rf"(?i)^\W*{SPDX_TAG} "
+    names = lambda s: F.regexp_extract_all(F.regexp_replace(F.regexp_replace(s, rf"(?i)^.*?{SPDX_TAG} ", ""), r"(?i)\bWITH\s+\S+", ""), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}.+-]*"), F.lit(0))
+    parts = lambda s: F.transform(F.filter(names(s), lambda n: ~F.upper(n).isin("OR", "AND")), lambda n: F.concat(F.lit(f"{SPDX_TAG} "), F.regexp_replace(n, r"\+$", "-or-later")))
+    return F.when(text.rlike(rf"(?i){SPDX_TAG}"), F.flatten(F.transform(lines, lambda s: F.when(s.rlike(tagged), parts(s)).otherwise(F.array(s))))).otherwise(lines)
 
 
 def unwrapped(text: Column, parts: list[tuple[str, str]]) -> Column:
@@ -142,6 +189,8 @@ def unwrapped(text: Column, parts: list[tuple[str, str]]) -> Column:
     end = r"(?=[^\p{L}\p{N}\n]*?(?:[.!?:](?:[ \t\r\n]|\z)|\z|\n[^\p{L}\p{N}\n]*(?:\n|\z)))"
     forms: dict[str, set[tuple[str, ...]]] = {}
     for i, p in parts:
+        if p.startswith(SPDX_TAG):  # a tag and its expression are one line
+            continue
         forms.setdefault(i, set()).add(tuple(re.findall(r"[^\W_]+", p.lower())))
     for own in sorted((sorted(f, key=lambda w: (-len(w), w)) for f in forms.values()), key=lambda f: (-len(f[0]), f)):
         text = F.regexp_replace(text, "(?iu)" + start + _either(own, gap) + end, "$1" + " ".join(own[0]))
@@ -174,7 +223,9 @@ def scan(docs: DataFrame, sentences: dict[str, str | tuple[str, ...]] = KNOWN, r
     if lost := set(sentences) - {i for i, _ in parts}:
         raise ValueError(f"no anchor in {sorted(lost)}")
     spark = docs.sparkSession
-    known = spark.createDataFrame(parts, "sentence_id string, sentence string").select("sentence_id", normal(F.col("sentence")).alias("normal")).dropDuplicates(["normal"])
+    known = spark.createDataFrame(parts, "sentence_id string, sentence string").select("sentence_id", normal(F.col("sentence")).alias("normal")).distinct()
+    if twice := known.groupBy("normal").agg(F.sort_array(F.collect_list("sentence_id")).alias("ids")).where("size(ids) > 1").collect():  # of a fixed table
+        raise ValueError(f"one sentence with several identifiers: {sorted(r['ids'] for r in twice)}")
     likely = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).where(F.col("text").rlike("(?i)" + "|".join(anchors)))
     cut = likely.select("doc_id", "row", F.posexplode(F.filter(sentences_of(unwrapped(F.col("text"), parts)), lambda s: s.rlike("(?i)" + "|".join(anchors)))).alias("pos", "sentence"))
     found = cut.withColumn("normal", normal(F.col("sentence"))).join(F.broadcast(known), "normal")
@@ -184,7 +235,9 @@ def scan(docs: DataFrame, sentences: dict[str, str | tuple[str, ...]] = KNOWN, r
     left = F.concat(F.lit(";"), F.array_join("ids", ";;"), F.lit(";"))
     for licence, sequence in rules:
         left = F.replace(left, F.lit(";" + ";;".join(sequence) + ";"), F.lit(f"={licence}="))
-    licences = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(left, F.lit("=([^=;]+)="), F.lit(1)))), ",")
+    found = F.array_distinct(F.regexp_extract_all(left, F.lit("=([^=;]+)="), F.lit(1)))
+    found = F.when(F.size(found) > 1, F.array_remove(found, LAST_RESORT)).otherwise(found)
+    licences = F.array_join(F.array_sort(found), ",")
     return runs.select("doc_id", "n_sentences", F.array_join("ids", ",").alias("sentence_ids"), licences.alias("licences"))
 
 

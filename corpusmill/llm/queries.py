@@ -107,6 +107,8 @@ def op7_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op7_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = [(i, p) for i, s in licences.SENTENCES.items() for p in licences._pieces(s) if any(a in p.lower() for a in licences.ANCHORS)]
+    first = {p: i for i, p in known}
+    known = [(i, p) for p, i in first.items()]
     left = "';' || string_agg(sentence_id, ';;' ORDER BY pos) || ';'"
     for licence, sequence in licences.LICENCE_RULES:
         left = f"replace({left}, {quoted(';' + ';;'.join(sequence) + ';')}, '={licence}=')"
@@ -114,13 +116,16 @@ def _op7_sql() -> str:
 WITH known AS (
   SELECT min(i) AS sentence_id, trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS n FROM (VALUES {", ".join(f"({quoted(i)}, {quoted(p)})" for i, p in known)}) AS v(i, s) GROUP BY n
 ), cut AS (
-  SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?:])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents)
+  SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(?i)SPDX-License-Identifier:[ \t]*', 'SPDX-License-Identifier ', 'g'), '([.!?:])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents)
 ), found AS (
   SELECT doc_id, pos, sentence_id FROM (SELECT doc_id, pos, trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS n FROM cut) JOIN known USING (n)
 )
+, told AS (
 SELECT doc_id, count(*) AS n_sentences, string_agg(sentence_id, ',' ORDER BY pos) AS sentence_ids,
-  array_to_string(list_sort(list_distinct(regexp_extract_all({left}, '=([^=;]+)=', 1))), ',') AS licences
+  list_distinct(regexp_extract_all({left}, '=([^=;]+)=', 1)) AS l
 FROM found GROUP BY doc_id
+)
+SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_sort(CASE WHEN len(l) > 1 THEN list_filter(l, lambda x: x <> 'proprietary') ELSE l END), ',') AS licences FROM told
 """
 
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import chat, licences, sharding, urlfilter
@@ -230,3 +231,22 @@ def test_licences_verbatim_headers(spark):
     assert {i: got[i]["licences"] for i, _ in rows if i in got} == {i: i.split("/")[0] for i, _ in rows}
     assert not {i for i, _ in no} & set(got)
     assert all(got[f"{name}/{k}"]["sentence_ids"] == got[f"{name}/0"]["sentence_ids"] for name in heads for k in range(len(shapes)))
+
+
+def test_spdx_lines_and_rights_reserved(spark):
+    tag = "SPDX-License-Identifier"
+    cases = {
+        f"// {tag}: MIT": "MIT", f"# {tag}: GPL-2.0-or-later": "GPL-2.0-or-later", f"{tag}: BSD-3-Clause": "BSD-3-Clause", f"/* {tag}: (MIT OR Apache-2.0) */": "Apache-2.0,MIT",
+        f"{tag}: GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL-2.0-or-later", f"{tag}: LGPL-2.1+ AND mit": "LGPL-2.1-or-later,MIT", f"{tag}: Nobody-1.0": None, f"text\n{tag}:Apache-2.0\nmore": "Apache-2.0",
+        "Copyright 2020 X. All rights reserved.": "proprietary",
+        "Copyright 2020 X. All rights reserved.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n" + " ".join(licences.OFFICIAL[i][0] for i in ("bsd-source", "bsd-binary")): "BSD-2-Clause",
+        "This project is licensed under the MIT license.": "MIT", "This is free and unencumbered software\nreleased into the public domain.": "Unlicense",
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS": "Apache-2.0",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright": "GPL-3.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "CC-BY-SA-4.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    }
+    rows = list(enumerate(cases))
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got.get(k) for k, t in rows} == cases
+    with pytest.raises(ValueError, match="several identifiers"):
+        licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), sentences={"a": "The License", "b": "the LICENSE!"}, rules=[])
