@@ -126,7 +126,7 @@ TEXTS = [None, "", " ", "word", "two words", "two  words", " lead", "tail ", "a\
 
 def test_alignment_against_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(align, "LINKS", 50)
-    real = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(25).collect()]
+    real = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(8).collect()]
     texts = TEXTS + real
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("block", F.lit("clash")).withColumn("pair", F.lit("clash")).repartition(3)
     got = {r["doc_id"]: tuple(r)[2:] for r in align.alignments(frame, keep=("block",)).collect()}

@@ -240,19 +240,35 @@ def test_quality_cutoffs_hold_their_risk(spark):
     assert quality.choose_cutoffs(spark.createDataFrame(rows[:20], "lang string, text string"), 0.02, 0.05)["en"] == {}
 
 
-def test_quality_small_strata_have_rules(spark):
-    """Few labelled documents: a joint sequence of their own or the pool's cutoffs; a frequent stratum does not use up another's sample."""
+def test_quality_small_strata_have_no_rules(spark):
+    """A stratum is judged by its own labelled documents alone; too few of them give no cutoffs, however many others have."""
     text = " ".join(f"word{k}" for k in range(60))
     symbols = text + " #" * 30
-    rows = [("en", text)] * 400 + [("de", text)] * 20 + [(None, text)] * 20 + [("xx", symbols)] * 2
+    n = quality.needed(0.02, 0.05, 4)
+    assert 0.98**n <= 0.0125 < 0.98 ** (n - 1)
+    rows = [("en", text)] * 1000 + [("de", text)] * n + [(None, text)] * (n - 1) + [("xx", symbols)] * 2
     cut = quality.choose_cutoffs(spark.createDataFrame(rows, "lang string, text string"), 0.02, 0.05)
-    assert set(cut["en"]) == set(quality.RULES) and cut["xx"] == {}
-    assert cut["de"] == cut[None] and set(cut["de"]) == set(quality.RULES)
-    n = 2000
-    docs = spark.createDataFrame([(k, text, "en" if k < n else "de") for k in range(n + 300)] + [(n + 300, symbols, "de")], "doc_id long, text string, lang string")
-    labels = docs.where(f"doc_id < {n + 300}").select("doc_id", F.lit(1).alias("quality"))
-    kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs, labels, max_labelled=300).where(f"doc_id >= {n}").collect()}
-    assert not kept[n + 300] and sum(kept.values()) == 300
+    assert set(cut["en"]) == set(cut["de"]) == set(quality.RULES) and cut["xx"] == cut[None] == {}
+    # 3,000 clean labelled documents in one stratum, 5 in another, half of whose good documents look otherwise: none of its fresh ones is lost.
+    docs = spark.createDataFrame([(k, text, "aa") for k in range(3000)] + [(3000 + k, symbols if k % 2 else text, "xx") for k in range(105)] + [(4000, symbols, "aa")], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs, docs.where("doc_id < 3005").select("doc_id", F.lit(1).alias("quality"))).collect()}
+    assert not kept[4000] and all(kept[k] for k in range(3105))
+
+
+def test_quality_rejects_few_fresh_documents_of_each_stratum(spark):
+    """Over repeated draws, the share of fresh good documents that are rejected stays within alpha in each stratum, but for a share of delta of the draws."""
+    rnd = np.random.default_rng(8)
+    words = " ".join(f"word{k}" for k in range(60))
+    draw = lambda n, rate: [words + " #" * (int(rnd.integers(6, 40)) if x < rate else 0) for x in rnd.random(n)]
+    bad = 0
+    for _ in range(6):
+        rates = {"a": 0.01, "b": 0.03, "c": 0.2}
+        rows = [(lang, t) for lang, rate in rates.items() for t in draw(700, rate)]
+        cut = quality.choose_cutoffs(spark.createDataFrame(rows, "lang string, text string"), 0.02, 0.05)
+        for lang, rate in rates.items():
+            fresh = [quality.measures(quality.counts(t)) for t in draw(3000, rate)]
+            bad += sum(any(m[r] > c for r, c in cut[lang].items()) for m in fresh) > 0.02 * 3000
+    assert bad <= 1
 
 
 def test_quality_kept_equals_brute_force(spark):
@@ -263,7 +279,7 @@ def test_quality_kept_equals_brute_force(spark):
     rows = {r["doc_id"]: (r["lang"], quality.counts(r["text"])) for r in big.select("doc_id", "lang", "text").collect()}
     rules = [(name, cuts) for name, cuts in quality.RULES.items()]
     strata = sorted({lang for lang, _ in rows.values()})
-    level, cutoffs = 0.05 / (len(strata) + 1), {}
+    level, cutoffs = 0.05 / len(strata), {}
     for lang in strata:
         own = [quality.measures(c) for i, (x, c) in rows.items() if x == lang and i in good and not quality.base_failed(c)]
         single = 0.995 ** len(own) <= level / 4
