@@ -3,7 +3,8 @@
 A text's blanks become the mark U+2581, one more is put before it, and it is cut into words where no piece can reach across.
 Words are encoded by relations: the substrings of a word up to the longest piece's length are exploded and joined to the piece table, the
 matches are grouped by word, and a fold over them in order of their ends keeps the best path to each place (Viterbi). Of equal
-costs the path with the longer last piece wins. A character without a piece becomes its UTF-8 bytes' pieces (byte fallback).
+costs the path with the longer last piece wins. A word of over LONG characters has its lattice in windows by the places where edges end; a window takes over
+the costs of the last places before it, so time grows with the word's length and not with its square. A character without a piece becomes its UTF-8 bytes' pieces (byte fallback).
 
 Texts are read once. A task packs blocks of texts, of BLOCK characters or PARTS distinct parts: the numbers of each text's parts, the words of each
 part, and the distinct words. These blocks are written, bucketed by block; the words that the commonest words of a sample (about SAMPLE documents, at most
@@ -15,8 +16,7 @@ under which nine tenths of words get the pieces that the merges give. Scores are
 
 Defined cases: null and empty texts have no piece and decode to the empty text; U+2581 in a text decodes to a blank, as the
 tokenizer's own decoder has it; any other text decodes to itself; repeated rows are encoded alike; a null doc_id is a document like
-others; texts are encoded whole, and only a word of over a million characters is cut at each million; an empty table gives no rows; kept columns may have any names but
-ids and round_trip.
+others; texts and words are encoded whole, however long; an empty table gives no rows; kept columns may have any names but ids and round_trip.
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD, SAMPLE, MARK = 200_000, 10_000, "▁"
 #: Characters and distinct parts of the texts that are packed together; both bound the memory of a task.
 BLOCK, PARTS = 1 << 25, 600_000
-#: Words that a task encodes, parts that are unpacked at once, and the longest word. Rows of a batch whose texts a task decodes at once.
-WORDS, UNPACKED, MAX_WORD = 50_000, 100_000, 1_000_000
+#: Words that a task encodes, and parts that are unpacked at once. Rows of a batch whose texts a task decodes at once.
+WORDS, UNPACKED = 50_000, 100_000
+#: Characters of a word whose lattice is one window, and of the windows of longer words.
+LONG, WINDOW = 512, 256
 ROWS = 500
 
 
@@ -91,7 +93,7 @@ class Pieces:
         return round(-score * self.scale)
 
     def cut(self, text: str | None) -> list[str]:
-        return [w[k : k + MAX_WORD] for w in self.words.findall(MARK + text.replace(" ", MARK)) for k in range(0, len(w), MAX_WORD)] if text else []
+        return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def parts(self, text: str | None) -> list[str] | list[bytes]:
         """The parts of a text between single blanks, each of which cut() cuts for itself; if there are other blanks or marks, its words as bytes."""
@@ -101,7 +103,7 @@ class Pieces:
     def words_of(self, part: str | bytes) -> list[str]:
         if isinstance(part, bytes):
             return [part.decode()]
-        return [MARK + part] if part.isalpha() and len(part) < MAX_WORD else self.cut(part)
+        return [MARK + part] if part.isalpha() else self.cut(part)
 
     def spelled(self, word: str, ids: list[int]) -> list[int]:
         """ids of a word, the unknown (-1) as byte pieces."""
@@ -168,13 +170,6 @@ def best_path(edges: Column) -> Column:
 
     The fold's state has a number for each place: the cost of the best path to it, and 63 - length and id + 1 of its last edge."""
 
-    def step(best: Column, x: Column) -> Column:
-        e = F.shiftright(x, 43).cast("int")
-        k = F.shiftright(x, 37).bitwiseAND(_long(63))
-        before = F.get(best, e - 63 + k.cast("int")).bitwiseAND(_long(~0xFFFFFF))
-        new = before + F.shiftleft(F.shiftright(x, 18).bitwiseAND(_long(0x7FFFF)), 24) + F.shiftleft(k, 18) + x.bitwiseAND(_long(0x3FFFF))
-        return F.when(e == F.size(best), F.array_append(best, new)).when(F.get(best, e) <= new, best).otherwise(F.array_append(F.slice(best, F.lit(1), e), new))
-
     def back(best: Column) -> Column:
         def one(path: Column, _: Column) -> Column:
             last = F.get(best, path.at)
@@ -185,18 +180,77 @@ def best_path(edges: Column) -> Column:
         start = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
         return F.reverse(F.aggregate(best, start, one, lambda path: path.ids))
 
-    return F.aggregate(edges, F.array(_long(0)), step, back)
+    return F.aggregate(edges, F.array(_long(0)), _step, back)
+
+
+def _step(best: Column, x: Column) -> Column:
+    """The best paths to all places, of which the last may be new, after one more edge."""
+    e = F.shiftright(x, 43).cast("int")
+    k = F.shiftright(x, 37).bitwiseAND(_long(63))
+    before = F.get(best, e - 63 + k.cast("int")).bitwiseAND(_long(~0xFFFFFF))
+    new = before + F.shiftleft(F.shiftright(x, 18).bitwiseAND(_long(0x7FFFF)), 24) + F.shiftleft(k, 18) + x.bitwiseAND(_long(0x3FFFF))
+    return F.when(e == F.size(best), F.array_append(best, new)).when(F.get(best, e) <= new, best).otherwise(F.array_append(F.slice(best, F.lit(1), e), new))
+
+
+def best_path_of_windows(windows: Column, longest: int) -> Column:
+    """Ids of the cheapest path over windows, an array of sorted edges for each WINDOW places in order. In a window the first places are the last `longest` (or all) before it.
+
+    State and results stay as short as a window, so no step copies the whole word."""
+
+    def across(state: Column, edges: Column) -> Column:
+        best = F.aggregate(edges, state.carry, _step)
+        tail = F.slice(best, F.greatest(F.size(best) - longest, F.lit(1)), F.lit(longest + 1))
+        low = F.shiftright(F.array_min(tail), 24)
+        carry = F.transform(tail, lambda x: x - F.shiftleft(low, 24))
+        # The places of the window itself, by the end and id of their last edges alone.
+        own = F.transform(F.slice(best, F.size(state.carry) + 1, F.size(best)), lambda x: x.bitwiseAND(_long(0xFFFFFF)))
+        return F.struct(carry.alias("carry"), F.array_append(state.places, own).alias("places"))
+
+    def inside(path: Column, places: Column) -> Column:
+        def one(path: Column, _: Column) -> Column:
+            last = F.get(places, path.at - 1)
+            ids = F.array_append(path.ids, last.bitwiseAND(_long(0x3FFFF)).cast("int") - 1)
+            return F.when(path.at > 0, F.struct((path.at - 63 + F.shiftright(last, 18).cast("int")).alias("at"), ids.alias("ids"))).otherwise(path)
+
+        # The path comes from at places beyond the window's last one; before the first window it has ended.
+        start = F.struct((path.at + F.size(places)).alias("at"), F.array().cast("array<int>").alias("ids"))
+        walked = F.aggregate(places, start, one)
+        return F.aggregate(F.array(walked), path, lambda path, w: F.struct(w.at.alias("at"), F.array_append(path.ids, F.reverse(w.ids)).alias("ids")))
+
+    start = F.struct(F.array(_long(0)).alias("carry"), F.array().cast("array<array<bigint>>").alias("places"))
+    places = F.aggregate(windows, start, across, lambda state: F.reverse(state.places))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("ids"))
+    return F.aggregate(places, begin, inside, lambda path: F.flatten(F.reverse(path.ids)))
+
+
+def encode_long_words(words: DataFrame, table: DataFrame, model: Pieces, *key: str) -> DataFrame:
+    """As encode_words(), for words of any length: a lattice by windows."""
+    most = F.length("word")
+    cut = words.select(*key, "word", F.explode(F.sequence(F.lit(0), F.floor((most - 1) / WINDOW).cast("int"))).alias("w"))
+    carry = F.least(F.col("w") * WINDOW, F.lit(model.longest))
+    cut = cut.select(*key, "w", carry.alias("carry"), F.substr("word", F.col("w") * WINDOW - carry + 1, carry + WINDOW).alias("part"))
+    ends = cut.repartition(*key, "w").select(*key, "w", "part", F.explode(F.sequence(F.col("carry") + 1, F.length("part"))).alias("e"))
+    spread = ends.select(*key, "w", "part", "e", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("e")))).alias("k"))
+    spread = spread.select(*key, "w", "e", "k", F.substr("part", F.col("e") - F.col("k") + 1, F.col("k")).alias("piece"))
+    found = _edges(spread, table, model, *key, "w").groupBy(*key, "w").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    whole = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("w", "edges"))).alias("windows"))
+    return whole.select(*key, best_path_of_windows(F.transform("windows", lambda x: x.edges), model.longest).alias("ids"))
+
+
+def _edges(spread: DataFrame, table: DataFrame, model: Pieces, *key: str) -> DataFrame:
+    """(key columns, edge) of the substrings (key columns, e, k, piece) that are pieces or single characters."""
+    met = spread.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
+    edge = _edge(F.col("e"), F.col("k"), F.coalesce("cost", _long(model.cost(model.unknown_score))), F.coalesce("id", F.lit(-1)))
+    return met.select(*key, edge.alias("edge"))
 
 
 def encode_words(words: DataFrame, table: DataFrame, model: Pieces, *key: str) -> DataFrame:
-    """words (word, and key columns that tell words apart) as (key columns, ids); a character without a piece has the id -1. Rows that are dealt by key stay where they are."""
+    """words (word, and key columns that tell words apart) as (key columns, ids); a character without a piece has the id -1. Rows that are dealt by key stay where they are. For words of at most LONG characters."""
     starts = words.select(*key, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     # Two explodes, first of starts and then of lengths, stay in generated code.
     spread = starts.select(*key, "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("s")))).alias("k"))
     spread = spread.select(*key, (F.col("s") + F.col("k")).alias("e"), "k", F.substr("word", F.col("s") + 1, F.col("k")).alias("piece"))
-    met = spread.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
-    edge = _edge(F.col("e"), F.col("k"), F.coalesce("cost", _long(model.cost(model.unknown_score))), F.coalesce("id", F.lit(-1)))
-    return met.groupBy(*key).agg(F.collect_list(edge).alias("edges")).select(*key, best_path(F.sort_array("edges")).alias("ids"))
+    return _edges(spread, table, model, *key).groupBy(*key).agg(F.collect_list("edge").alias("edges")).select(*key, best_path(F.sort_array("edges")).alias("ids"))
 
 
 def _common_words(docs: DataFrame, table: DataFrame, model: Pieces, head: int, sample: int) -> DataFrame:
@@ -221,7 +275,7 @@ def _common_words(docs: DataFrame, table: DataFrame, model: Pieces, head: int, s
         if total > head:
             break
         cut = k
-    return encode_words(counted.where(level >= cut).select("word").repartition(max(8, head // 20_000), "word"), table, model, "word")
+    return encode_words(counted.where((level >= cut) & (F.length("word") <= LONG)).select("word").repartition(max(8, head // 20_000), "word"), table, model, "word")
 
 
 class _Numbers(dict):
@@ -307,7 +361,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
     # Columns travel under names of their own, so that no name clashes.
     kept = {f"c{k}": name for k, name in enumerate(["doc_id", *keep])}
     kinds = {c: docs.schema[name].dataType for c, name in kept.items()}
-    block_type = T.StructType([T.StructField(c, t) for c, t in kinds.items()] + [T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n_parts", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("packed", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
+    block_type = T.StructType([T.StructField(c, t) for c, t in kinds.items()] + [T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n_parts", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("packed", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("n_long", T.IntegerType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _unpacked(at_hand.value)
@@ -319,7 +373,7 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
             packed, rare = _pack(parts, codes, known, common["ids"], common["sizes"], model)
             n = len(codes)
             table = pa.Table.from_batches(rows).combine_chunks()
-            more = [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(map(len, codes), pa.int32()), pa.array(digests, pa.binary()), pa.array([packed] + [None] * (n - 1), pa.binary()), pa.array([rare] + [None] * (n - 1), pa.list_(pa.string()))]
+            more = [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(map(len, codes), pa.int32()), pa.array(digests, pa.binary()), pa.array([packed] + [None] * (n - 1), pa.binary()), pa.array([rare] + [None] * (n - 1), pa.list_(pa.string())), pa.array([sum(len(w) > LONG for w in rare)] + [0] * (n - 1), pa.int32())]
             return pa.RecordBatch.from_arrays([*(table[c].chunk(0) for c in kept), *more], names=block_type.names)
 
         for batch in batches:
@@ -345,9 +399,11 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
     name = _bucketed(packed, "pieces_blocks", "block")
     at_hand.destroy()
     rare = spark.table(name).where("rare is not null").select(F.col("block").alias("of"), F.posexplode("rare").alias("no", "word"))
-    n_rare = spark.table(name).agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]
-    dealt = rare.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_rare // WORDS), "of", "no")
+    n_rare, n_long = spark.table(name).agg(F.coalesce(F.sum(F.size("rare")), F.lit(0)), F.coalesce(F.sum("n_long"), F.lit(0))).first()
+    dealt = (rare.where(F.length("word") <= LONG) if n_long else rare).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_rare // WORDS), "of", "no")
     coded = encode_words(dealt, table, model, "of", "no")
+    if n_long:
+        coded = coded.unionByName(encode_long_words(rare.where(F.length("word") > LONG), table, model, "of", "no"))
     if max(model.normal) < 1 << 15:  # half as much to shuffle
         coded = coded.withColumn("ids", F.col("ids").cast("array<smallint>"))
     names = [*kept, "ids", *["round_trip"] * check]

@@ -412,6 +412,16 @@ def test_pieces_equal_brute_force_and_round_trip(spark, docs, odd, model):
     assert not marked["round_trip"] and marked["ids"] == best_ids(model, "a▁b")
 
 
+def test_pieces_of_long_words(spark, model):
+    """Words around and beyond the length of one window; a word of 100,000 letters is encoded whole, in time that grows with its length."""
+    rnd = random.Random(9)
+    letters = lambda n: "".join(rnd.choices(["the", "ing", "a", "b", "qu", "x", "é", "ß", "日", "zz", "station"], k=n))
+    texts = [letters(n) for n in (100, 300, 700, 2000)] + ["a" * n for n in (511, 512, 513, 767, 768, 769, 1025)] + ["𝄞" * 700, "x" * 600 + "𝄞" + "y" * 600, "and " + "ab" * 900 + " the " + letters(900), letters(50_000)]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, check=True).collect()
+    for r in rows:
+        assert r["round_trip"] and list(r["ids"]) == best_ids(model, texts[r["doc_id"]])
+
+
 def test_pieces_in_many_blocks(spark, docs, model, monkeypatch):
     whole = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, model).collect()}
     monkeypatch.setattr(pieces, "PARTS", 300)
