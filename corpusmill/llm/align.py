@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate
@@ -31,7 +32,7 @@ from corpusmill.llm.common import materialize
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters and documents of a block, parts that a task remembers, links that are expanded at once.
-BLOCK, ROWS, PARTS, LINKS = 1 << 23, 10_000, 400_000, 1 << 20
+BLOCK, ROWS, PARTS, LINKS = 1 << 22, 10_000, 400_000, 1 << 20
 #: Characters of a part that is remembered.
 LONGEST = 1000
 #: Bits of an id of B in a pair.
@@ -66,16 +67,16 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """Ids of each text by A and B, which spell a blank and the text; None if they do not."""
-        spelled_a, spelled_b = self.bytes_a, self.bytes_b
+        spelled_a, spelled_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         coded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         for text, a, b in zip(texts, coded, self.b.encode(texts, num_threads=1), strict=True):
             want, a = b" " + text.encode("utf-8", "surrogatepass"), a.ids
-            yield (a, b) if b"".join([spelled_a[i] for i in a]) == want == b"".join([spelled_b[i] for i in b]) else None
+            yield (a, b) if b"".join(map(spelled_a, a)) == want == b"".join(map(spelled_b, b)) else None
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
         """The id lists cut where tokens of both end."""
-        ends_a = dict(zip(accumulate([self.size_a[i] for i in a]), range(1, len(a) + 1)))  # noqa: B905
-        ends_b = dict(zip(accumulate([self.size_b[i] for i in b]), range(1, len(b) + 1)))  # noqa: B905
+        ends_a = dict(zip(accumulate(map(self.size_a.__getitem__, a)), range(1, len(a) + 1)))  # noqa: B905
+        ends_b = dict(zip(accumulate(map(self.size_b.__getitem__, b)), range(1, len(b) + 1)))  # noqa: B905
         out, at, bt = [], 0, 0
         for end in sorted(ends_a.keys() & ends_b.keys()):
             k, m = ends_a[end], ends_b[end]
@@ -84,8 +85,19 @@ class Aligner:
         return out
 
 
+class _Names(dict):
+    """Ids as text."""
+
+    def __missing__(self, key: int) -> str:
+        self[key] = out = str(key)
+        return out
+
+
+_NAMES = _Names()
+
+
 def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
+    return ";".join([f"{_NAMES[a[0]] if len(a) == 1 else ','.join(map(str, a))}|{_NAMES[b[0]] if len(b) == 1 else ','.join(map(str, b))}" for a, b in groups])
 
 
 def links(groups: list[tuple[list[int], list[int]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -143,10 +155,16 @@ class _Parts:
             self.pairs.extend(pairs)
 
 
+#: White space at an end of a part.
+_LOOSE = re.compile(r"\A\s| \s|\s |\s\Z")
+
+
 def _conforms(text: str) -> list[str] | None:
     """The parts of a text between single blanks if each stands for itself, else None."""
+    if _LOOSE.search(text):
+        return None
     parts = text.split(" ")
-    return None if any(not p or len(p) > LONGEST or p[0].isspace() or p[-1].isspace() for p in parts) else parts
+    return parts if max(map(len, parts)) <= LONGEST else None
 
 
 def align(texts: list[str | None], known: _Parts) -> Iterator[tuple[tuple[int, ...], str | None, np.ndarray, np.ndarray]]:
@@ -154,14 +172,14 @@ def align(texts: list[str | None], known: _Parts) -> Iterator[tuple[tuple[int, .
     cut = [_conforms(t) if t else None for t in texts]
     if len(known.text) > PARTS:
         known.clear()
-    known.learn(list(dict.fromkeys(p for parts in cut if parts for p in parts if p not in known.number)))
+    known.learn(list(set().union(*filter(None, cut)) - known.number.keys()))
     # Views, which are gone when more is learned.
     counts, flat = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (known.counts, known.pairs))
     counts = counts.reshape(-1, 4)
     ends = np.cumsum(counts[:, 3])
     for text, parts in zip(texts, cut, strict=True):
-        numbers = [known.number[p] for p in parts or ()]
-        told = [known.text[k] for k in numbers]
+        numbers = list(map(known.number.__getitem__, parts or ()))
+        told = list(map(known.text.__getitem__, numbers))
         if parts and None not in told:
             own = counts[numbers]
             first = ends[numbers] - own[:, 3]

@@ -26,7 +26,7 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -48,7 +48,7 @@ BLOCK, PARTS = 1 << 25, 600_000
 #: Words that a task encodes, and parts that are unpacked at once. Rows of a batch whose texts a task decodes at once.
 WORDS, UNPACKED = 50_000, 100_000
 #: Characters of a word whose lattice is one window, and of the windows of longer words.
-LONG, WINDOW = 512, 256
+LONG, WINDOW = 512, 1024
 ROWS = 500
 
 
@@ -192,19 +192,25 @@ def _step(best: Column, x: Column) -> Column:
     return F.when(e == F.size(best), F.array_append(best, new)).when(F.get(best, e) <= new, best).otherwise(F.array_append(F.slice(best, F.lit(1), e), new))
 
 
+def _named(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def best_path_of_windows(windows: Column, longest: int) -> Column:
     """Ids of the cheapest path over windows, an array of sorted edges for each WINDOW places in order. In a window the first places are the last `longest` (or all) before it.
 
     State and results stay as short as a window, so no step copies the whole word."""
 
     def across(state: Column, edges: Column) -> Column:
-        best = F.aggregate(edges, state.carry, _step)
-        tail = F.slice(best, F.greatest(F.size(best) - longest, F.lit(1)), F.lit(longest + 1))
-        low = F.shiftright(F.array_min(tail), 24)
-        carry = F.transform(tail, lambda x: x - F.shiftleft(low, 24))
-        # The places of the window itself, by the end and id of their last edges alone.
-        own = F.transform(F.slice(best, F.size(state.carry) + 1, F.size(best)), lambda x: x.bitwiseAND(_long(0xFFFFFF)))
-        return F.struct(carry.alias("carry"), F.array_append(state.places, own).alias("places"))
+        def carried(best: Column, tail: Column, low: Column) -> Column:
+            # Of the window's own places the ends and ids of their last edges are kept.
+            own = F.transform(F.slice(best, F.size(state.carry) + 1, F.size(best)), lambda x: x.bitwiseAND(_long(0xFFFFFF)))
+            return F.struct(F.transform(tail, lambda x: x - low).alias("carry"), F.array_append(state.places, own).alias("places"))
+
+        last = lambda best: F.slice(best, F.greatest(F.size(best) - longest, F.lit(1)), F.lit(longest + 1))
+        low = lambda tail: F.shiftleft(F.shiftright(F.array_min(tail), 24), 24)
+        return _named(F.aggregate(edges, state.carry, _step), lambda best: _named(last(best), lambda tail: _named(low(tail), lambda least: carried(best, tail, least))))
 
     def inside(path: Column, places: Column) -> Column:
         def one(path: Column, _: Column) -> Column:
@@ -229,7 +235,9 @@ def encode_long_words(words: DataFrame, table: DataFrame, model: Pieces, *key: s
     cut = words.select(*key, "word", F.explode(F.sequence(F.lit(0), F.floor((most - 1) / WINDOW).cast("int"))).alias("w"))
     carry = F.least(F.col("w") * WINDOW, F.lit(model.longest))
     cut = cut.select(*key, "w", carry.alias("carry"), F.substr("word", F.col("w") * WINDOW - carry + 1, carry + WINDOW).alias("part"))
-    ends = cut.repartition(*key, "w").select(*key, "w", "part", F.explode(F.sequence(F.col("carry") + 1, F.length("part"))).alias("e"))
+    # By number, as the windows are few bytes but many substrings.
+    dealt = cut.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "w")
+    ends = dealt.select(*key, "w", "part", F.explode(F.sequence(F.col("carry") + 1, F.length("part"))).alias("e"))
     spread = ends.select(*key, "w", "part", "e", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("e")))).alias("k"))
     spread = spread.select(*key, "w", "e", "k", F.substr("part", F.col("e") - F.col("k") + 1, F.col("k")).alias("piece"))
     found = _edges(spread, table, model, *key, "w").groupBy(*key, "w").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
