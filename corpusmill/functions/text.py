@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,7 +52,10 @@ def normalize_nfkc(text: Column) -> Column:
     return nfkc(text)
 
 
-def _words(normal: Column, stop: list[str]) -> Column:
+def _words(normal: Column, stop: list[str], segment: Callable[[Column], Column] | None = None) -> Column:
+    if segment is not None:
+        runs = segment(F.regexp_extract_all(normal, F.lit(r"[一-鿿㐀-䶿]+|[\p{L}&&[^一-鿿㐀-䶿]]+|\p{N}+"), F.lit(0)))
+        return F.filter(runs, lambda w: ~w.isin(stop))
     words = F.regexp_extract_all(normal, F.lit(r"[一-鿿㐀-䶿]|[\p{L}&&[^一-鿿㐀-䶿]]+|\p{N}+"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(stop))
 
@@ -61,8 +65,10 @@ def word_run(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     return _words(normalize(text), stop)
 
 
-def tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Distinct words in order, CJK pairs, then neighbouring words joined by an underscore."""
+def tokens(text: Column, stop: list[str] = STOP_WORDS, segment: Callable[[Column], Column] | None = None) -> Column:
+    """Distinct words in order, CJK pairs, then neighbouring words joined by an underscore.
+
+    segment: how runs of letters or CJK characters are cut into words (functions.segment); without it each run of letters and each CJK character is a word."""
 
     def of(normal: Column, words: Column) -> Column:
         pairs = F.filter(F.regexp_extract_all(normal, F.lit(r"(?=([一-鿿㐀-䶿]{2}))"), F.lit(1)), lambda w: ~w.isin(stop))
@@ -72,7 +78,11 @@ def tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
         return F.array_distinct(F.concat(words, pairs, joined))
 
     # Arrays of one element name the normal text and its words, so that each is worked out once.
-    one = F.transform(F.array(normalize(text)), lambda t: F.struct(t.alias("normal"), _words(t, stop).alias("words")))
+    if segment is None:
+        one = F.transform(F.array(normalize(text)), lambda t: F.struct(t.alias("normal"), _words(t, stop).alias("words")))
+    else:  # a batch function cannot stand in a lambda
+        normal = normalize(text)
+        one = F.array(F.struct(normal.alias("normal"), _words(normal, stop, segment).alias("words")))
     return F.when(text.isNotNull(), F.get(F.transform(one, lambda x: of(x.normal, x.words)), F.lit(0)))
 
 

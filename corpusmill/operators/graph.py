@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,21 +77,37 @@ def not_in_graph(docs: DataFrame, edges: DataFrame, key: str = "doc_id") -> Data
     return docs.join(edges.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int = 5, enough: float = 1e-4) -> DataFrame:
+def connected_parts(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, part): the parts of each community of labels (a, c) that links (a, b), in both directions, hold together; part is the least node in it."""
+    to = labels.select(F.col("a").alias("b"), F.col("c").alias("d"))
+    inside = written(links.where("a <> b").join(labels.select("a", "c"), "a").join(to, "b").where("c = d").select("a", "b"), "graph-inside")
+    parts = written(labels.select("a", F.col("a").alias("part")), "graph-parts")
+    while True:
+        near = inside.join(parts.select(F.col("a").alias("b"), "part"), "b").groupBy("a").agg(F.min("part").alias("seen"))
+        told = parts.join(near, "a", "left").select("a", F.least("part", F.coalesce("seen", "part")).alias("part"), F.col("part").alias("old"))
+        jump = told.select(F.col("a").alias("part"), F.col("part").alias("further"))
+        told = written(told.join(jump, "part").select("a", F.least("part", "further").alias("part"), "old"), "graph-parts")
+        parts = told.select("a", "part")
+        if told.where("part < old").isEmpty():
+            return parts
+
+
+def communities(nodes: DataFrame, edges: DataFrame, enough: float = 1e-4) -> DataFrame:
     """(id, cluster): communities of high modularity by local moves, cluster being the least id in it.
 
     In each round the half of the groups that a hash picks move to the neighbouring community where modularity gains most, if it gains at all
-    (of two single groups, one to the other alone), all at once. When a round gains less than enough, each community becomes one group with
-    the sums of its edges, and the moves go on among these, up to `levels` times. Nodes without edges stay alone. The best state seen is kept.
+    (of two single groups, one to the other alone), all at once. When a round gains less than enough, communities that are not connected are split
+    (which never lowers modularity), each becomes one group with the sums of its edges, and the moves go on among these until none gains. Nodes without
+    edges stay alone. The best state seen is kept.
     Each round's labels are a written table; a hub's edges are summed by community before they meet."""
     both = edges.where("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"))
     links = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")), "graph-links")
     total = links.agg(F.sum("w")).first()[0]
     belongs = nodes.select("id", F.col("id").alias("group"))
-    for _ in range(levels if total else 0):
+    while total:
         weight = written(links.groupBy("a").agg(F.sum("w").alias("k")), "graph-weights")
         labels, best, found = weight.select("a", F.col("a").alias("c"), "k"), _quality(links, weight.select("a", F.col("a").alias("c"), "k"), total), None
-        for turn in range(rounds):
+        for turn in count():
             sums = labels.groupBy("c").agg(F.sum("k").alias("sum"), F.count("*").alias("n"))
             toward = links.where("a <> b").join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
             toward = toward.unionByName(labels.select("a", "c", F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
@@ -108,7 +126,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: in
                 break
         if found is None:
             break
-        to = found.select(F.col("a").alias("group"), "c")
+        to = connected_parts(links, found).select(F.col("a").alias("group"), F.col("part").alias("c"))
         belongs = written(belongs.join(to, "group", "left").select("id", F.coalesce("c", "group").alias("group")), "graph-groups")
         ends = links.join(to.select(F.col("group").alias("a"), F.col("c").alias("x")), "a").join(to.select(F.col("group").alias("b"), F.col("c").alias("y")), "b")
         links = written(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "graph-links")

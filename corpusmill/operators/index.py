@@ -1,6 +1,6 @@
 """A written inverted index, and BM25 over it that skips what cannot reach the k best.
 
-Tables of the index: blocks (bucket, token, class, part, least, n, postings), dealt to folders by bucket, a hash of the token; terms (token, df, least, parts);
+Tables of the index: blocks (bucket, token, class, part, least, n, postings), dealt to folders by bucket, a hash of the token; terms (token, bucket, df, least, parts);
 chunks (chunk_id, doc_id, length, tokens). A block holds a token's postings of one class of chunk lengths; a token of more than
 HOT postings is salted into parts by chunk. A chunk's score is part(length) times the summed idf of the query's tokens in it, as a token counts once
 a chunk, so with a query's tokens ordered from rare to common and `rest` the idf of a token and all after it, a chunk whose first token is t has at most
@@ -50,10 +50,10 @@ def build(chunks: DataFrame, path: str, tokenizer: Tokenizer = X.tokens, buckets
     # The tokens are read from a table, so that exploding them does not work them out again.
     spread = every.select(F.explode("tokens").alias("token"), "chunk_id", "doc_id", "length")
     counted = spread.groupBy("token").agg(F.count("*").alias("df"), F.min("length").alias("least"))
-    counted.withColumn("parts", F.ceil(F.col("df") / hot)).write.parquet(f"{path}/terms")
+    counted.withColumns({"parts": F.ceil(F.col("df") / hot), "bucket": _bucket(buckets)}).write.parquet(f"{path}/terms")
     terms = chunks.sparkSession.read.parquet(f"{path}/terms")
     salted = sized(written(terms.where("parts > 1").select("token", "parts"), "index-hot"), 200_000)
-    keyed = spread.join(salted, "token", "left").withColumns(block_keys(F.coalesce("parts", F.lit(1)), buckets))
+    keyed = spread.join(salted, "token", "left").withColumns({"bucket": _bucket(buckets)} | block_keys(F.coalesce("parts", F.lit(1))))
     # Dealt once by what the blocks' keys determine, so grouping shuffles no more.
     dealt = keyed.withColumn("salt", F.pmod(F.hash("class", "part"), F.lit(SALTS))).repartition("bucket", "salt")
     blocks = dealt.groupBy("bucket", "salt", "token", "class", "part").agg(F.min("length").alias("least"), F.count("*").alias("n"), F.collect_list(F.struct("chunk_id", "doc_id", "length")).alias("postings"))
@@ -69,9 +69,13 @@ def open_index(spark: SparkSession, path: str, tokenizer: Tokenizer = X.tokens)
     return TextIndex(spark.read.schema(blocks).parquet(f"{path}/blocks"), terms, chunks, tokenizer)
 
 
-def block_keys(parts: Column, buckets: int) -> dict[str, Column]:
-    """Columns that tell the block of a posting (token, chunk_id, length)."""
-    return {"bucket": F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"), "class": F.floor(F.col("length") / CLASS), "part": F.pmod(F.xxhash64("chunk_id"), parts)}
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+
+
+def block_keys(parts: Column) -> dict[str, Column]:
+    """Columns that tell, beside the token, the block of a posting (chunk_id, length)."""
+    return {"class": F.floor(F.col("length") / CLASS), "part": F.pmod(F.xxhash64("chunk_id"), parts)}
 
 
 def search(index: TextIndex, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
@@ -84,7 +88,6 @@ class Search:
 
     def __init__(self, index: TextIndex, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> None:
         self.index, self.k = index, k
-        self.buckets = 1 + (index.blocks.agg(F.max("bucket")).first()[0] or 0)
         self.n, mean = index.lengths().agg(F.count("*"), F.avg("length")).first()
         self.part = lambda length: F.lit(k1 + 1.0) / (1 + k1 * (1 - b + b * length / F.lit(mean or 1.0)))
         asked = queries.select("query_id", F.explode_outer(index.tokenizer(F.col("query"))).alias("token")).where("token is not null")
@@ -92,10 +95,10 @@ class Search:
         words = sized(written(asked.select("token").distinct(), "asked-words"), 200_000)
         known = index.terms.join(words, "token", "left_semi")
         idf = F.greatest(F.lit(0.0), F.log((F.lit(float(self.n)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + 1)) * token_weight(F.lit(float(self.n)))
-        known = written(known.select("token", "df", "least", "parts", idf.alias("idf")), "asked-terms")
+        known = written(known.select("token", "bucket", "df", "least", "parts", idf.alias("idf")), "asked-terms")
         order = Window.partitionBy("query_id").orderBy(F.desc("idf"), "token")
         rest, before = F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing)), F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        terms = asked.join(known, "token").withColumns({"rest": rest, "before": F.coalesce(before, F.lit(0)), "bucket": F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int")})
+        terms = asked.join(known, "token").withColumns({"rest": rest, "before": F.coalesce(before, F.lit(0))})
         self.terms = written(terms, "asked-ranked")
 
     def _met(self, terms: DataFrame, may: Column) -> DataFrame:
@@ -106,9 +109,9 @@ class Search:
 
     def _scored(self, found: DataFrame) -> DataFrame:
         """Whole scores of found (query_id, chunk_id, doc_id, length), read from those blocks alone that may hold one of them."""
-        keys = block_keys(F.col("parts"), self.buckets)
-        wanted = found.join(self.terms.select("query_id", "token", "idf", "parts"), "query_id").withColumns(keys)
-        wanted = written(wanted.select("query_id", "chunk_id", "doc_id", "length", "token", "idf", *keys), "asked-pairs")
+        keys = block_keys(F.col("parts"))
+        wanted = found.join(self.terms.select("query_id", "token", "bucket", "idf", "parts"), "query_id").withColumns(keys)
+        wanted = written(wanted.select("query_id", "chunk_id", "doc_id", "length", "token", "bucket", "idf", *keys), "asked-pairs")
         places = written(wanted.select("bucket", "token", "class", "part").distinct(), "asked-blocks")
         held = self.index.blocks.join(sized(places, 500_000), ["bucket", "token", "class", "part"], "left_semi").select("token", F.explode("postings.chunk_id").alias("chunk_id"))
         hits = held.join(wanted, ["token", "chunk_id"])

@@ -94,3 +94,31 @@ def strips(described: DataFrame, width: int = 30) -> DataFrame:
     span = F.col("max") - F.col("min")
     cell = lambda c: F.when(span > 0, F.floor((F.col(c) - F.col("min")) / span * width)).otherwise(0).cast("int")
     return described.select("column", *[cell(c).alias(f"cell_{c}") for c in ("q25", "q50", "q75")])
+
+
+# Sketches ----------------------------------------------------------------------------------------------------------------
+
+#: Values that a sketch keeps at its widest. Ranks of quantiles are then right to within RANK_ERROR of the rows (with 99 % confidence).
+SKETCH_SIZE, RANK_ERROR = 512, 0.006
+
+
+def quantile_sketches(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """(by columns, column, sketch, count, missing, least, most): a quantile sketch of each numeric column and group, of fixed size, to be stored and merged later."""
+    value = F.col("cell.value")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    rows = df.select(*by, cells.alias("cell")).select(*by, F.col("cell.column").alias("column"), value.alias("value"))
+    facts = [F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("least"), F.max("value").alias("most")]
+    return rows.groupBy(*by, "column").agg(F.kll_sketch_agg_double("value", SKETCH_SIZE).alias("sketch"), *facts)
+
+
+def merge_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones, as if their rows had been sketched at once."""
+    facts = [F.sum("count").alias("count"), F.sum("missing").alias("missing"), F.min("least").alias("least"), F.max("most").alias("most")]
+    return sketches.groupBy(*by, "column").agg(F.kll_merge_agg_double("sketch", SKETCH_SIZE).alias("sketch"), *facts)
+
+
+def sketched_quantiles(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """sketches with quantiles, an array of (share, value)."""
+    told = F.kll_sketch_get_quantile_double(F.col("sketch"), F.array(*map(F.lit, shares)))
+    pairs = F.zip_with(F.array(*map(F.lit, shares)), told, lambda s, v: F.struct(s.alias("share"), v.alias("value")))
+    return sketches.withColumn("quantiles", F.when(F.col("count") > 0, pairs))

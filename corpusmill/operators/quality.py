@@ -60,7 +60,7 @@ def repeated_edges(docs: DataFrame, group: str, least: int = 3) -> DataFrame:
     edge = rows.select("grp", F.explode(F.array_distinct(F.array(bare(F.element_at("l", 1)), bare(F.element_at("l", -1))))).alias("line"))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
     counted = edge.groupBy("grp", "line").agg(F.count("*").alias("c")).join(sizes, "grp").where("n >= 3")
-    number = F.col("line").rlike(r"^\d{1,3}$")
+    number = F.col("line").rlike(r"^.{0,10}\d{1,3}$")  # bare, or after a few characters
     return counted.where((F.col("c") >= F.greatest(F.lit(least), F.floor(F.col("n") / 2))) | number).select("grp", "line", "c")
 
 

@@ -127,6 +127,14 @@ def save_new(docs: DataFrame, chunks: DataFrame, stored: DataFrame) -> DataFrame
     return docs.join(stored.select("doc_id"), "doc_id", "left_anti").join(per, "doc_id", "left").withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "total_tokens": F.coalesce("total_tokens", F.lit(0))})
 
 
+def sessions(turns: DataFrame, saved: DataFrame, most: int) -> DataFrame:
+    """(name, saved_at, n_messages, position): the most sessions last saved, newest first. turns (conv_id), saved (conv_id, saved_at); those never saved come last."""
+    rows = turns.groupBy("conv_id").agg(F.count("*").alias("n_messages")).join(saved, "conv_id", "left")
+    rows = rows.orderBy(F.desc_nulls_last("saved_at"), "conv_id").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("saved_at"), "conv_id"))  # over the most rows alone
+    return rows.select(F.concat(F.lit("session "), F.col("conv_id").cast("string")).alias("name"), "saved_at", "n_messages", place.alias("position"))
+
+
 def append(docs: DataFrame, path: str, partition: str = "language") -> None:
     docs.write.mode("append").partitionBy(partition).parquet(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.patterns import found_patterns
 from corpusmill.operators import behaviour as B
 from corpusmill.plans.base import query, table
 
@@ -109,8 +110,7 @@ def j13(spark, sf):
 
 @query("x19_regions", "SELECT conv_id, turn, array_to_string(list_filter(['the', 'der', 'les', 'que'], lambda r: contains(text, r)), ',') AS regions FROM conversations")
 def x19(spark, sf):
-    regions = F.array(*[F.lit(r) for r in ("the", "der", "les", "que")])
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.filter(regions, lambda r: F.contains("text", r)), ",").alias("regions"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(found_patterns(F.col("text"), ["the", "der", "les", "que"]), ",").alias("regions"))
 
 
 @query("st8_windows_batch", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

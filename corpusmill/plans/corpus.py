@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import quality as Q
 from corpusmill.operators import store as S
+from corpusmill.operators import substring as N
 from corpusmill.plans.base import CHUNKS, DOCS, chunks, docs, query, table
 from corpusmill.plans.scalars import SIMHASH
+from corpusmill.sources.sinks import shared_dir
 
 IDS = f"{DOCS}, ids AS (SELECT *, substring(sha256(text), 1, 32) AS content_id FROM docs)"
 
@@ -26,6 +32,13 @@ def f2(spark, sf):
     return S.keyword_scan(chunks(spark, sf), docs(spark, sf), "The").select("chunk_id", "title")
 
 
+@query("f2_substring_index", f"WITH {CHUNKS}, {DOCS}, k AS (SELECT unnest(['tion the', 'ßt', 'ouch', 'no such words', 'e']) AS keyword) SELECT keyword, count(*) AS n, min(chunk_id) AS first, max(doc_id) AS newest FROM k JOIN chunks ON contains(lower(content), keyword) GROUP BY keyword")
+def f2i(spark, sf):
+    index = N.build(chunks(spark, sf), f"{shared_dir(spark)}/substring-index-{uuid.uuid4().hex}")
+    hits = [N.search(index, k).select(F.lit(k).alias("keyword"), "chunk_id", "doc_id") for k in ("tion the", "ßt", "ouch", "no such words", "e")]
+    return reduce(DataFrame.unionByName, hits).groupBy("keyword").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"), F.max("doc_id").alias("newest"))
+
+
 @query("f3_with_tag", f"WITH {DOCS} SELECT doc_id, title FROM docs WHERE list_contains(tags, 'hq')")
 def f3(spark, sf):
     return S.with_tag(docs(spark, sf), "hq").select("doc_id", "title")
@@ -112,9 +125,11 @@ def a2(spark, sf):
     return S.tag_counts(docs(spark, sf))
 
 
-@query("a21_sessions", "SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+@query("a21_sessions", """WITH e AS (SELECT user_id, max(ts) AS saved_at FROM events GROUP BY user_id)
+SELECT 'session ' || conv_id AS name, any_value(saved_at) AS saved_at, count(*) AS n_messages, CAST(row_number() OVER (ORDER BY any_value(saved_at) DESC NULLS LAST, conv_id) AS INTEGER) AS position FROM conversations LEFT JOIN e ON user_id = conv_id GROUP BY conv_id QUALIFY position <= 1000""")
 def a21(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"))
+    saved = table(spark, sf, "events").groupBy(F.col("user_id").alias("conv_id")).agg(F.max("ts").alias("saved_at"))
+    return S.sessions(table(spark, sf, "conversations"), saved, 1000)
 
 
 @query("a23_token_usage", "SELECT role, CAST(sum(length(text) // 2) AS BIGINT) AS tokens FROM conversations GROUP BY role UNION ALL SELECT 'total', CAST(sum(length(text) // 2) AS BIGINT) FROM conversations")
@@ -170,7 +185,7 @@ def a12(spark, sf):
 _EDGES = """edges AS (
   SELECT DISTINCT source AS grp, doc_id, unnest([substring(regexp_replace(l[1], '\\s+', '', 'g'), 1, 50), substring(regexp_replace(l[-1], '\\s+', '', 'g'), 1, 50)]) AS line FROM (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents) WHERE len(l) > 0
 ), sizes AS (SELECT source AS grp, count(*) AS n FROM documents WHERE trim(replace(text, chr(10), ' ')) <> '' GROUP BY source),
-rules AS (SELECT grp, line, count(*) AS c FROM edges JOIN sizes USING (grp) WHERE n >= 3 GROUP BY grp, line, n HAVING count(*) >= greatest(3, n // 2) OR regexp_matches(line, '^\\d{1,3}$'))"""
+rules AS (SELECT grp, line, count(*) AS c FROM edges JOIN sizes USING (grp) WHERE n >= 3 GROUP BY grp, line, n HAVING count(*) >= greatest(3, n // 2) OR regexp_matches(line, '^.{0,10}\\d{1,3}$'))"""
 
 
 @query("a22_repeated_edges", "WITH " + _EDGES + " SELECT grp, line, c FROM rules")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import profile as P
 from corpusmill.plans.base import query, table
+from corpusmill.sources.sinks import written
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _DESC = lambda c: f"SELECT '{c}' AS \"column\", count({c})::DOUBLE AS count, round(avg({c}::DOUBLE), 6) AS mean, round(stddev_samp({c}::DOUBLE), 6) AS std, min({c})::DOUBLE AS min, quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50, quantile_cont({c}::DOUBLE, 0.75) AS q75, max({c})::DOUBLE AS max FROM lineitem"
@@ -70,3 +71,19 @@ def a11(spark, sf):
 @query("a11_strips", f"SELECT \"column\", CAST(floor((q25 - min) / (max - min) * 30) AS INTEGER) AS cell_q25, CAST(floor((q50 - min) / (max - min) * 30) AS INTEGER) AS cell_q50, CAST(floor((q75 - min) / (max - min) * 30) AS INTEGER) AS cell_q75 FROM ({DESCRIBE})")
 def a11b(spark, sf):
     return P.strips(described(spark, sf))
+
+
+_SHARES = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query("a4_sketched_quantiles", "SELECT c AS \"column\", count(*) AS count, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS share, TRUE AS within FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c}::DOUBLE AS v FROM lineitem" for c in _NUM) + ") GROUP BY c")
+def a4s(spark, sf):
+    """Quantiles by sketches of each ship mode, stored and merged, and whether their true ranks are within the sketch's error."""
+    rows = table(spark, sf, "lineitem")
+    stored = written(P.quantile_sketches(rows, _NUM, "l_shipmode"), "sketches")
+    told = P.sketched_quantiles(P.merge_sketches(stored), _SHARES).select("column", "count", "least", "most", F.explode("quantiles").alias("q"))
+    told = written(told.select("column", "count", "least", "most", "q.share", "q.value"), "quantiles")
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in _NUM])).alias("x")).select("x.column", "x.v")
+    ranks = values.join(F.broadcast(told.select("column", "share", "value")), "column").groupBy("column", "share").agg(F.avg((F.col("v") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("double")).alias("upto"))
+    within = (F.col("below") <= F.col("share") + 2 * P.RANK_ERROR) & (F.col("upto") >= F.col("share") - 2 * P.RANK_ERROR)
+    return told.join(ranks, ["column", "share"]).select("column", "count", "least", "most", "share", within.alias("within"))

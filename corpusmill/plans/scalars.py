@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import parsing as P
+from corpusmill.functions import segment as G
 from corpusmill.functions import text as X
 from corpusmill.functions import vectors as V
 from corpusmill.operators import retrieve as R
 from corpusmill.plans.base import CHUNKS, DOCS, chunks, docs, query, questions, table
+from corpusmill.sources.sinks import written
 
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 #: Tokens of a text column in DuckDB (test texts have no CJK).
@@ -39,6 +41,14 @@ def x2(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
+@query("x2_segmented")
+def x2s(spark, sf):
+    """Tokens by a dictionary of the corpus' own words, which also cuts compounds and words that it does not hold."""
+    words = table(spark, sf, "documents").select(X.word_run(F.col("text")).alias("w"))
+    known = G.frequencies(written(words, "corpus-words").select(F.explode("w").alias("word")), 20_000, 5)
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(X.tokens(F.col("text"), segment=G.dictionary_segmenter(known)), " ").alias("tokens"))
+
+
 @query("x3_token_estimates", "SELECT doc_id, length(text) // 2 AS tokens, CAST(floor(length(text) * 1.2) AS BIGINT) AS budget, md5(substring(text, 1, 833)) AS cut_md5 FROM documents")
 def x3(spark, sf):
     t = F.col("text")
