@@ -5,6 +5,7 @@ Each function takes a streaming DataFrame (or a folder) and returns one, or a st
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmill.operators import quality, retrieve
+from corpusmill.sources.sinks import written
 
 
 def watch_folder(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
@@ -39,27 +41,91 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", o
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="10 seconds").start()
 
 
-def index_upkeep(chunks: DataFrame, path: str, checkpoint: str):
-    """Appends each batch's postings as a delta. Chunks with content null are tombstones, kept beside; read_index() leaves them out and
-    compact() folds both into a new table."""
+#: Runs of a level that are merged into one run of the next level.
+FANOUT = 4
+
+
+def index_upkeep(chunks: DataFrame, path: str, checkpoint: str, fanout: int = FANOUT):
+    """Keeps an index of postings in size-tiered levels. A batch becomes a run of level 0: its postings, and as tombstones the chunks that it replaces or removes
+    (content null). When a level has `fanout` runs they are merged into one run of the next level, in which postings that a later run of the merge has
+    removed are left out; tombstones stay until they reach a level with nothing older below. So there are at most fanout - 1 runs a level between batches,
+    and the number of levels grows with the logarithm of the batches.
+
+    A run is named by the batches that it covers and counts once its folder is whole; a batch that is run again writes over its own folder, and a merge that was
+    interrupted is done again. The runs that are read are those that no wider run covers."""
 
     def add(batch: DataFrame, n: int) -> None:
-        batch = batch.withColumn("batch", F.lit(n).cast("long"))
-        gone = batch.where("content is null").select("chunk_id", "batch")
-        new = retrieve.postings(batch.where("content is not null")).withColumn("batch", F.lit(n).cast("long"))
-        # A batch that is run again after a failure writes over its own files.
-        new.write.mode("overwrite").parquet(f"{path}/postings/run={n}")
-        gone.write.mode("overwrite").parquet(f"{path}/gone/run={n}")
+        spark = batch.sparkSession
+        _drop_covered(spark, path)  # those that earlier batches merged; readers have had a batch's time to let go of them
+        batch = written(batch.groupBy("chunk_id").agg(F.max_by(F.struct("doc_id", "content"), F.struct(F.col("content").isNotNull(), "content")).alias("x")).select("chunk_id", "x.*"), "upkeep-batch")
+        new = retrieve.postings(batch.where("content is not null")).select("token", "chunk_id", "doc_id", "tf", "length")
+        _write_run(new, batch.select("chunk_id"), f"{path}/level=0/run={n}-{n}")
+        level = 0
+        while len(own := [r for r in _runs(spark, path) if r[0] == level]) >= fanout:
+            _merge(spark, path, own, [r for r in _runs(spark, path) if r[0] > level])
+            level += 1
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _write_run(postings: DataFrame, gone: DataFrame, folder: str) -> None:
+    dealt = postings.repartition("token", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("token")
+    dealt.write.mode("overwrite").parquet(f"{folder}/postings")
+    gone.write.mode("overwrite").parquet(f"{folder}/gone")  # last: with it the run is whole
+
+
+def _whole_runs(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    """(level, first batch, last batch) of all whole runs: one for each folder."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/level=*/run=*/gone/_SUCCESS")
+    runs = []
+    for status in top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top) or ():
+        level, run = status.getPath().toString().split("/")[-4:-2]
+        first, last = run.removeprefix("run=").split("-")
+        runs.append((int(level.removeprefix("level=")), int(first), int(last)))
+    return sorted(runs, key=lambda r: r[1])
+
+
+def _covered(run: tuple[int, int, int], runs: list[tuple[int, int, int]]) -> bool:
+    return any(o[0] > run[0] and o[1] <= run[1] and run[2] <= o[2] for o in runs)
+
+
+def _runs(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    """The whole runs that no wider run covers, oldest first."""
+    runs = _whole_runs(spark, path)
+    return [r for r in runs if not _covered(r, runs)]
+
+
+def _drop_covered(spark: SparkSession, path: str) -> None:
+    runs = _whole_runs(spark, path)
+    for run in (r for r in runs if _covered(r, runs)):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(path, run))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folder(path: str, run: tuple[int, int, int]) -> str:
+    return f"{path}/level={run[0]}/run={run[1]}-{run[2]}"
+
+
+def _read_runs(spark: SparkSession, path: str, runs: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Postings (with the batch up to which their run goes, `at`) that no later run of these has removed, and all tombstones (chunk_id, at)."""
+    tables = [[spark.read.parquet(f"{_folder(path, r)}/{kind}").withColumn("at", F.lit(r[2])) for r in runs] for kind in ("postings", "gone")]
+    postings, gone = (reduce(DataFrame.unionByName, t) for t in tables)
+    last = gone.groupBy("chunk_id").agg(F.max("at").alias("gone_at"))
+    rows = postings.join(last, "chunk_id", "left").where(F.col("gone_at").isNull() | (F.col("gone_at") <= F.col("at"))).drop("gone_at")
+    return rows, gone
+
+
+def _merge(spark: SparkSession, path: str, runs: list[tuple[int, int, int]], older: list[tuple[int, int, int]]) -> None:
+    postings, gone = _read_runs(spark, path, runs)
+    left = gone.select("chunk_id").distinct()
+    if not older:  # nothing that a tombstone could still remove
+        left = left.where(F.lit(False))
+    _write_run(postings.drop("at"), left, _folder(path, (runs[0][0] + 1, runs[0][1], runs[-1][2])))
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Postings without those whose chunk was removed in the same or a later batch."""
-    postings = spark.read.parquet(f"{path}/postings")
-    gone = spark.read.parquet(f"{path}/gone").groupBy("chunk_id").agg(F.max("batch").alias("gone_at"))
-    rows = postings.join(gone, "chunk_id", "left").where(F.col("gone_at").isNull() | (F.col("gone_at") < F.col("batch")))
-    return rows.select("token", "chunk_id", "doc_id", "tf", "length")
+    """The postings of all levels, without those of chunks that a later batch replaced or removed."""
+    return _read_runs(spark, path, _runs(spark, path))[0].select("token", "chunk_id", "doc_id", "tf", "length")
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
@@ -68,88 +134,117 @@ def compact(spark: SparkSession, path: str, to: str) -> None:
 
 
 class _Pairs(StatefulProcessor):
-    """Keeps a session's pending command and pairs it with the next one."""
+    """A session's commands: the pending one, which the next one makes a pair, the last `recent` ones in a list, and the counts of pairs in a map."""
+
+    def __init__(self, recent: int) -> None:
+        self.keep = recent
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pending = handle.getValueState("pending", "cmd string, place long")
+        self.recent = handle.getListState("recent", "cmd string")
+        self.counts = handle.getMapState("counts", "a string, b string", "n long, last timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         cmd, place = self.pending.get() if self.pending.exists() else (None, 0)
+        recent = [c for (c,) in self.recent.get()] if self.recent.exists() else []
         out = []
         every = pd.concat(list(rows)).sort_values(["ts", "seq"])
         for c, ts in zip(every["cmd"], every["ts"], strict=True):
+            recent = [*recent, c][-self.keep :]
             if place % 2:
-                out.append((key[0], place // 2, cmd, c, ts))
+                n = self.counts.getValue((cmd, c))[0] + 1 if self.counts.containsKey((cmd, c)) else 1
+                self.counts.updateValue((cmd, c), (n, ts.to_pydatetime()))
+                out.append((key[0], place // 2, cmd, c, ts, n, list(recent)))
             cmd, place = c, place + 1
         self.pending.update((cmd, place))
-        yield pd.DataFrame(out, columns=["session", "pair", "a", "b", "ts"])
+        self.recent.put([(c,) for c in recent])
+        yield pd.DataFrame(out, columns=["session", "pair", "a", "b", "ts", "n", "recent"])
 
     def close(self) -> None:
         pass
 
 
-def command_pairs(commands: DataFrame) -> DataFrame:
-    """Non-overlapping pairs of each session from a stream (session, seq, cmd, ts). Needs the RocksDB state store."""
-    return commands.groupBy("session").transformWithStateInPandas(_Pairs(), "session long, pair long, a string, b string, ts timestamp", "append", "none")
+def command_pairs(commands: DataFrame, recent: int = 10) -> DataFrame:
+    """Non-overlapping pairs of each session from a stream (session, seq, cmd, ts), with the pair's count in its session so far and the last commands. Needs the RocksDB state store."""
+    out = "session long, pair long, a string, b string, ts timestamp, n long, recent array<string>"
+    return commands.groupBy("session").transformWithStateInPandas(_Pairs(recent), out, "append", "none")
 
 
-class _Topics(StatefulProcessor):
-    """Counts a user's events and keeps the last topics that neither contain nor are contained in one kept."""
+class _Profile(StatefulProcessor):
+    """Counts a user's events, keeps the time of the last one, and the last topics and regions that neither contain nor are contained in one kept."""
 
     def __init__(self, most: int) -> None:
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "n long, topics string")
+        self.seen = handle.getValueState("seen", "n long, last timestamp")
+        self.topics = handle.getListState("topics", "item string")
+        self.regions = handle.getListState("regions", "item string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, joined = self.kept.get() if self.kept.exists() else (0, "")
-        topics = joined.split("\n") if joined else []
-        for t in pd.concat(list(rows)).sort_values("seq")["topic"]:
-            n += 1
-            if not any(t in k or k in t for k in topics):
-                topics = [*topics, t][-self.most :]
-        self.kept.update((n, "\n".join(topics)))
-        yield pd.DataFrame({"user": [key[0]], "n": [n], "topics": ["\n".join(topics)]})
+        n, last = self.seen.get() if self.seen.exists() else (0, None)
+        kept = {name: [x for (x,) in state.get()] if state.exists() else [] for name, state in (("topics", self.topics), ("regions", self.regions))}
+        every = pd.concat(list(rows)).sort_values("seq")
+        for topic, regions in zip(every["topic"], every["regions"], strict=True):
+            for name, items in (("topics", [topic]), ("regions", [] if regions is None else regions)):
+                for t in items:
+                    if t and not any(t in k or k in t for k in kept[name]):
+                        kept[name] = [*kept[name], t][-self.most :]
+        n, last = n + len(every), max(filter(None, [last, every["ts"].max().to_pydatetime()]))
+        self.seen.update((n, last))
+        for state, items in ((self.topics, kept["topics"]), (self.regions, kept["regions"])):
+            if items:  # an empty list cannot be stored
+                state.put([(t,) for t in items])
+        yield pd.DataFrame({"user": [key[0]], "n": [n], "last_active": [pd.Timestamp(last)], "topics": [kept["topics"]], "regions": [kept["regions"]]})
 
     def close(self) -> None:
         pass
 
 
 def running_profile(events: DataFrame, most: int = 10) -> DataFrame:
-    """A user's interactions and last topics after each batch, from a stream (user, seq, topic)."""
-    return events.groupBy("user").transformWithStateInPandas(_Topics(most), "user long, n long, topics string", "update", "none")
+    """A user's interactions, last activity, last topics and last regions after each batch, from a stream (user, seq, ts, topic, regions array<string>). Needs a session time zone of UTC."""
+    out = "user long, n long, last_active timestamp, topics array<string>, regions array<string>"
+    return events.groupBy("user").transformWithStateInPandas(_Profile(most), out, "update", "none")
 
 
 class _Cache(StatefulProcessor):
-    """The last answer to a question, for ttl milliseconds of processing time."""
+    """The answer to a question, for ttl milliseconds of event time after it was first given. A timer clears what the watermark has left behind."""
 
     def __init__(self, ttl: int) -> None:
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "answer string, hits long", ttlDurationMs=self.ttl)
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "answer string, hits long, since long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        every = pd.concat(list(rows)).sort_values("seq")
-        for seq, answer in zip(every["seq"], every["answer"], strict=True):
-            held, hits = self.entry.get() if self.entry.exists() else (None, 0)
-            if held is not None:
-                self.entry.update((held, hits + 1))
-                out.append((key[0], seq, held, True))
+        every = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        for seq, answer, ts in zip(every["seq"], every["answer"], every["ts"], strict=True):
+            now = ts.value // 1_000_000
+            held, hits, since = self.entry.get() if self.entry.exists() else (None, 0, None)
+            hit = since is not None and now - since < self.ttl
+            if hit:
+                self.entry.update((held, hits + 1, since))
             else:
-                self.entry.update((answer, 0))
-                out.append((key[0], seq, answer, False))
+                if since is not None:
+                    self.handle.deleteTimer(since + self.ttl)
+                self.entry.update((answer, 0, now))
+                self.handle.registerTimer(now + self.ttl)
+            out.append((key[0], seq, held if hit else answer, hit))
         yield pd.DataFrame(out, columns=["hash", "seq", "answer", "hit"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.entry.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def answer_cache(requests: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
-    """Each request (hash, seq, answer) with the cached answer to the same question, if it is fresh."""
-    return requests.groupBy("hash").transformWithStateInPandas(_Cache(ttl_ms), "hash string, seq long, answer string, hit boolean", "append", "processingTime")
+def answer_cache(requests: DataFrame, ttl_ms: int = 1_800_000, late: str = "0 seconds") -> DataFrame:
+    """Each request (hash, seq, ts, answer) with the cached answer to the same question, if that was first given less than ttl_ms of event time ago. Needs the RocksDB state store and a session time zone of UTC."""
+    return requests.withWatermark("ts", late).groupBy("hash").transformWithStateInPandas(_Cache(ttl_ms), "hash string, seq long, answer string, hit boolean", "append", "eventTime")
 
 
 class _Newest(StatefulProcessor):
