@@ -78,9 +78,9 @@ _SHARES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 @query("a4_sketched_quantiles", "SELECT c AS \"column\", count(*) AS count, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS share, TRUE AS within FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c}::DOUBLE AS v FROM lineitem" for c in _NUM) + ") GROUP BY c")
 def a4s(spark, sf):
-    """Quantiles by sketches of each ship mode, stored and merged, and whether their true ranks are within the sketch's error."""
+    """Quantiles by sketches of each return flag, stored and merged, and whether their true ranks are within the sketch's error."""
     rows = table(spark, sf, "lineitem")
-    stored = written(P.quantile_sketches(rows, _NUM, "l_shipmode"), "sketches")
+    stored = written(P.quantile_sketches(rows, _NUM, "l_returnflag"), "sketches")
     told = P.sketched_quantiles(P.merge_sketches(stored), _SHARES).select("column", "count", "least", "most", F.explode("quantiles").alias("q"))
     told = written(told.select("column", "count", "least", "most", "q.share", "q.value"), "quantiles")
     values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in _NUM])).alias("x")).select("x.column", "x.v")
