@@ -36,6 +36,8 @@ BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_b
 BLOCK, ROWS, PARTS, LINKS = 1 << 22, 10_000, 250_000, 1 << 20
 #: Characters of a part that is remembered.
 LONGEST = 1000
+#: Characters of a text up to which the faster encoder of A is used.
+FAST = 50_000
 #: Marks at the end of a part that are aligned apart from the word before them.
 TAILS = ".,;:!?)\""
 # Fixed value: the pattern by which byte-level tokenizers cut texts.
@@ -96,7 +98,8 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """Ids of each text by A and B, which spell a blank and the text; None if they do not."""
-        spelled_a, spelled_b, fast = self.bytes_a.__getitem__, self.bytes_b.__getitem__, self.fast
+        spelled_a, spelled_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        fast = self.fast if max(map(len, texts), default=0) <= FAST else None
         coded = (fast(" " + t) for t in texts) if fast else (x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))
         for text, a, b in zip(texts, coded, self.b.encode(texts, num_threads=1), strict=True):
             want = b" " + text.encode("utf-8", "surrogatepass")

@@ -160,10 +160,56 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
 
 
+#: CRC-32 by its table; then a relaxation row by row over the states n, s, u, a (none, or the role before), of which `w` has the role that is due, and the audit's replay.
+OP13_SQL = r"""
+WITH RECURSIVE poly AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, list_transform(range(8), lambda x: 0::BIGINT)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, poly
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM keyed WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM damaged
+), r AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS following FROM placed
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (initial || following NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id
+), w AS (
+  SELECT * FROM (VALUES ('n', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) AS v(st, due)
+), begin AS (
+  SELECT conv_id, 0::BIGINT AS i, st, {'c': c, 'a': a} AS best FROM (SELECT DISTINCT conv_id FROM r), (VALUES ('n', 0::BIGINT, ''), ('u', 2, 'I'), ('a', 4, 'II')) AS v(st, c, a)
+), dp AS (
+  SELECT * FROM begin
+  UNION ALL
+  SELECT conv_id, i, st, min(best) AS best FROM (
+    SELECT conv_id, i, x.s AS st, {'c': x.c, 'a': x.a} AS best FROM (SELECT conv_id, i, unnest([{'s': st, 'c': c, 'a': a}, {'s': d1, 'c': c + 2, 'a': a || 'I'}, {'s': d2, 'c': c + 4, 'a': a || 'II'}]) AS x FROM (
+      SELECT y.conv_id, y.i, y.st, y.c, y.a, w1.due AS d1, w2.due AS d2 FROM (
+        SELECT dp.conv_id, dp.i + 1 AS i, m.st, m.c, m.a FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN w ON w.st = dp.st, unnest(list_filter([
+          {'st': dp.st, 'c': best.c + 3, 'a': best.a || 'D'},
+          CASE WHEN NOT (blank OR dup) THEN {'st': due, 'c': best.c + 2 + CAST(cut AS BIGINT), 'a': best.a || 'R'} END,
+          CASE WHEN NOT (blank OR dup) AND (initial = due OR (dp.st = 'n' AND initial = 's')) THEN {'st': initial, 'c': best.c + CAST(cut AS BIGINT), 'a': best.a || 'K'} END
+        ], lambda z: z IS NOT NULL)) AS u(m)
+      ) y JOIN w w1 ON w1.st = y.st JOIN w w2 ON w2.st = w1.due
+    ))
+  ) GROUP BY conv_id, i, st
+), told AS (
+  SELECT f.conv_id, min(best) AS best FROM facts f JOIN dp ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND dp.i = f.n WHERE st IN ('n', 'a') GROUP BY f.conv_id
+), replay AS (
+  SELECT conv_id, best.a AS audit, 0::BIGINT AS k, 0::BIGINT AS i, 'n' AS st, [] ::VARCHAR[] AS lines FROM told
+  UNION ALL
+  SELECT p.conv_id, audit, k + 1, p.i + CAST(letter <> 'I' AS BIGINT), CASE letter WHEN 'D' THEN p.st WHEN 'K' THEN r.initial ELSE due END,
+    CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, CASE due WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'R' THEN text ELSE '' END) END
+  FROM (SELECT *, substring(audit, CAST(k + 1 AS BIGINT), 1) AS letter FROM replay WHERE k < length(audit)) p JOIN w ON w.st = p.st LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN (SELECT * FROM replay WHERE k = length(audit)) p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_chat_formatting, op2_sentencepiece, op3_url_filters, op4_language_id, op5_sharding, op6_mixing, op7_licence_scans, op8_fingerprints, op9_quality_rules, op10_near_duplicates, op11_exact_duplicates, op12_alignment, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op5_sharding": _op5_sql(), "op6_mixing": OP6_SQL, "op7_licence_scans": _op7_sql(), "op11_exact_duplicates": OP11_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op5_sharding": _op5_sql(), "op6_mixing": OP6_SQL, "op7_licence_scans": _op7_sql(), "op11_exact_duplicates": OP11_SQL, "op13_conversation_repair": OP13_SQL}
