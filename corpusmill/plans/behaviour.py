@@ -102,10 +102,10 @@ def k5(spark, sf):
     return items(spark, sf).where(F.col("date").between(F.date_sub(F.expr(DAY), 6), F.expr(DAY))).groupBy("date").agg(F.count("*").alias("n"))
 
 
-@query("j13_topics")
+@query("j13_topics", "SELECT user_id AS \"user\", string_agg(event_type, ',' ORDER BY first) AS topics FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id")
 def j13(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"))
-    return B.keep_topics(rows)
+    return B.keep_topics(rows).withColumn("topics", F.array_join("topics", ","))
 
 
 @query("x19_regions", "SELECT conv_id, turn, array_to_string(list_filter(['the', 'der', 'les', 'que'], lambda r: contains(text, r)), ',') AS regions FROM conversations")
