@@ -33,7 +33,7 @@ from corpusmill.llm.common import materialize
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters and documents of a block, parts that a task remembers, links that are expanded at once.
-BLOCK, ROWS, PARTS, LINKS = 1 << 22, 10_000, 250_000, 1 << 20
+BLOCK, ROWS, PARTS, LINKS = 1 << 22, 10_000, 900_000, 1 << 20
 #: Characters of a part that is remembered.
 LONGEST = 1000
 #: Characters of a text up to which the faster encoder of A is used.
