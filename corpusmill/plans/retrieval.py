@@ -412,10 +412,10 @@ def c7(spark, sf):
     return C.chunk_documents(table(spark, sf, "documents").select("doc_id", "text", kinds.alias("format")))
 
 
-@query("c4_slide_parts", "SELECT doc_id, CAST(0 AS INTEGER) AS idx, md5('## Slide 1' || chr(10) || regexp_replace(text, '^ +| +$', '', 'g')) AS content_md5 FROM (SELECT doc_id, source || lang AS text FROM documents) UNION ALL SELECT doc_id, 1, md5('## Slide 2' || chr(10) || source) FROM documents")
+@query("c4_slide_parts", r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, md5(regexp_replace('## Slide ' || i || chr(10) || line, '[ \t\n\f\r]+$', '')) AS content_md5 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
 def c4(spark, sf):
-    deck = F.concat(F.lit("## Slide 1\n"), "source", "lang", F.lit("\n## Slide 2\n"), "source")
-    parts = C.slide_parts(table(spark, sf, "documents").select("doc_id", deck.alias("text")))
+    slides = F.transform(F.split("text", "\n"), lambda line, k: F.concat(F.lit("## Slide "), (k + 1).cast("string"), F.lit("\n"), line))
+    parts = C.slide_parts(table(spark, sf, "documents").select("doc_id", F.array_join(slides, "\n").alias("text")))
     return parts.select("doc_id", "idx", F.md5(F.regexp_replace("content", r"\s+$", "")).alias("content_md5"))
 
 

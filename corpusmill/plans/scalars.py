@@ -117,12 +117,12 @@ def _math_sql(t: str) -> str:
     return f"replace(replace({t}, '\\\\', chr(10)), '  ', ' ')"
 
 
-_RAW_MATH = "'$$' || doc_id || ' \\times 2 = \\mathbf{' || n_chars || '}$$ and $x \\leq y \\\\ z$  ' || substring(text, 1, 200)"
+_RAW_MATH = "'$$' || doc_id || ' \\times 2 = \\mathbf{' || n_chars || '}$$ and $x \\leq y \\\\ z$  ' || text"
 
 
 @query("x10_plain_math", f"SELECT doc_id, {_math_sql(_RAW_MATH)} AS plain FROM documents")
 def x10(spark, sf):
-    raw = F.concat(F.lit("$$"), F.col("doc_id").cast("string"), F.lit(" \\times 2 = \\mathbf{"), F.col("n_chars").cast("string"), F.lit("}$$ and $x \\leq y \\\\ z$  "), F.substring("text", 1, 200))
+    raw = F.concat(F.lit("$$"), F.col("doc_id").cast("string"), F.lit(" \\times 2 = \\mathbf{"), F.col("n_chars").cast("string"), F.lit("}$$ and $x \\leq y \\\\ z$  "), "text")
     return table(spark, sf, "documents").select("doc_id", X.plain_math(raw).alias("plain"))
 
 
@@ -209,10 +209,10 @@ def x22(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(P.tag_list(raw), ";").alias("tags"))
 
 
-@query("x23_sub_queries", "SELECT item_id, list_filter([trim(substring(text, 1, 40)), trim(substring(text, 41, 40))], lambda x: x <> '') AS parts FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)")
+@query("x23_sub_queries", "SELECT item_id, CASE WHEN len(l) > 1 THEN l[1:4] ELSE [] END AS parts FROM (SELECT item_id, list_filter(list_transform(string_split(replace(text, chr(10), ' '), '. '), lambda x: trim(x)), lambda x: x <> '') AS l FROM benchmark)")
 def x23(spark, sf):
-    flat = F.replace("text", F.lit("\n"), F.lit(" "))
-    raw = F.concat(F.lit("1. "), F.substring(flat, 1, 40), F.lit("\n2. "), F.substring(flat, 41, 40))
+    sentences = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")
+    raw = F.array_join(F.transform(sentences, lambda s, k: F.concat((k + 1).cast("string"), F.lit(". "), s)), "\n")
     return table(spark, sf, "benchmark").select("item_id", P.sub_queries(raw).alias("parts"))
 
 
