@@ -48,7 +48,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.judge_urls(pages, urlfilter.fit(urlfilter.labelled_urls(spark)))
+    model, cut = urlfilter.calibrated_model(spark)
+    return urlfilter.judge_urls(pages, model, cut=cut)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rules are a short list (at most MAX_RULES) and become one expression, so judging a table of URLs needs no shuffle. The model is
 fitted by full-batch gradient steps over a small labelled URL table, bounded by max_labelled; each step is one aggregate to at
-most `buckets` rows. Judging sums the weights of a URL's n-grams in one expression.
+most `buckets` rows. Judging sums the weights of a URL's n-grams in one expression. The labelled names are also put into ordinary frames, beside made names that are
+allowed, so that a host unlike any labelled one is no coin toss; the cut is calibrated on URLs that are held out.
 
 Defined cases: a null URL or one without "://" has empty host and path, no rule, and the model's verdict on an empty URL, as
 its bias and its marked ends say; repeated rows are judged alike; a null or repeated page_id is only carried; whole URLs are read, however long;
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialize
@@ -59,6 +60,16 @@ https://library.stateuniversity.edu/history/maps http://news.localtimes.org/2020
 https://weather.regionalservice.gov/forecast http://museum.cityheritage.org/exhibits https://www.kitchenrecipes.co.uk/tomatoes https://journal.historyreview.edu/articles/1901
 https://forum.birdclub.org/threads/observing http://courses.mathematics.edu/mechanics https://www.orchestraconcerts.org/programme https://data.surveyoffice.gov/tables/wheat
 """.split()
+#: Frames of framed(): where a name stands in ordinary URLs, with a number.
+FRAMES = [
+    "https://www.{name}.com/en/{n}",
+    "http://{name}.org/index.html",
+    "https://blog.{name}.net/fr/{n}/",
+    "http://m.{name}.info/{n}/page.html",
+    "https://{name}.co.uk/de/{n}.html?id={n}",
+    "http://www.{name}.net/",
+    "https://{name}.pages.org/es/{n}",
+]
 
 
 def labelled_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
@@ -67,6 +78,36 @@ def labelled_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
     return spark.createDataFrame([(u, True) for u in blocked] + [(u, False) for u in allowed], "url string, blocked boolean")
 
 
+def framed(labelled: DataFrame, ordinary: int = 400, series: int = 0) -> DataFrame:
+    """labelled (url, blocked) and, by rule, its hosts' names under ordinary frames, the same ones for both labels, so that neither a subdomain
+    nor a top-level domain nor a number in a path tells a label; and as many allowed names as `ordinary` says, made of syllables,
+    which stand for hosts unlike any labelled one. series: another number gives other such names. A null URL has an empty name; an empty table gives the made names alone."""
+    spark = labelled.sparkSession
+    host = F.split(url_parts(F.col("url"))[0], r"\.")
+    # The name is the longest label of a host.
+    names = labelled.select(F.element_at(F.array_sort(host, lambda a, b: F.length(b) - F.length(a)), 1).alias("name"), "blocked").distinct()
+    syllables = [c + v for c in "bcdfghklmnprstvw" for v in "aeiou"]
+    made = spark.range(ordinary).select(F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), (F.pmod(F.xxhash64("id", F.lit(k), F.lit(series)), F.lit(len(syllables))) + 1).cast("int")) for k in range(3)]).alias("name"), F.lit(False).alias("blocked"))
+    frames = F.explode(F.array(*map(F.lit, FRAMES)))
+    own = names.select("name", "blocked", frames.alias("frame"))
+    # A made name has one frame, by its hash.
+    few = made.select("name", "blocked", F.element_at(F.array(*map(F.lit, FRAMES)), (F.pmod(F.xxhash64("name"), F.lit(len(FRAMES))) + 1).cast("int")).alias("frame"))
+    number = F.pmod(F.xxhash64("name", "frame"), F.lit(1000)).cast("string")
+    every = own.unionByName(few).select(F.replace(F.replace("frame", F.lit("{name}"), F.col("name")), F.lit("{n}"), number).alias("url"), "blocked")
+    return labelled.select("url", "blocked").unionByName(every).distinct()
+
+
+def calibrated_cut(held_out: DataFrame, model: tuple[list[float], float], least_precision: float = 0.95) -> tuple[float, float, float]:
+    """The cut that blocks most of the blocked rows of held_out (url, blocked), none of which the model was fitted on, while at least least_precision of what it
+    blocks is so labelled; with its precision and recall. 1.0, 1.0 and 0.0 if there is none. The cut lies halfway to the next lower probability."""
+    rows = held_out.where("blocked is not null").select(F.struct("url", F.col("blocked").cast("int").alias("y")).alias("page_id"), "url")
+    told = judge_urls(rows, model, rules=[]).groupBy("p_block").agg(F.sum("page_id.y").alias("hit"), F.count("*").alias("n"))
+    down = Window.orderBy(F.desc("p_block"))  # a bounded table of labelled rows
+    sums = told.select("p_block", F.lead("p_block", 1, 0.0).over(down).alias("below"), F.sum("hit").over(down).alias("hit"), F.sum("n").over(down).alias("n"), F.sum("hit").over(Window.partitionBy()).alias("all"))
+    best = sums.where(F.col("hit") >= least_precision * F.col("n")).select(((F.col("p_block") + F.col("below")) / 2).alias("cut"), F.col("hit") / F.col("n"), F.col("hit") / F.col("all"), "hit").orderBy(F.desc("hit"), F.desc("cut")).first()
+    return (best[0], best[1], best[2]) if best and best[3] else (1.0, 1.0, 0.0)
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path; both empty without a "://"."""
     found = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", 1), F.lit(""))
@@ -116,6 +157,12 @@ def fit(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4), buckets: int = 409
     return weights, bias
 
 
+def calibrated_model(spark: SparkSession, steps: int = 60) -> tuple[tuple[list[float], float], float]:
+    """The model fitted on the framed labelled table (some 900 URLs), and its cut, calibrated on the framed part that is held out, with made names of its own."""
+    model = fit(framed(labelled_urls(spark)), steps=steps)
+    return model, calibrated_cut(framed(labelled_urls(spark, held_out=True), series=1), model)[0]
+
+
 def _score(b: Column, v: Column, weights: list[float], bias: float) -> Column:
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to a literal
     total = F.aggregate(b, F.lit(0.0), lambda s, k: s + F.get(table, k))

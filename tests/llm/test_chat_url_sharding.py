@@ -93,6 +93,39 @@ def test_url_model_equals_brute_force_and_tells_held_out_urls(spark):
     assert not {u for u in urlfilter.BLOCKED_URLS + urlfilter.ALLOWED_URLS} & {r["url"] for r in held.collect()}
 
 
+# Fresh URLs: none of them, nor any of their hosts, is in the labelled table.
+FRESH_BLOCKED = ["https://best-casino-slots.example.com/en/12", "http://cheap-viagra-pills.org/", "https://www.free-porn-videos.net/7", "http://m.adult-sex-cams.org/fr/3/", "https://crack-keygen-warez.info/index.html", "http://replica-rolex-watches.com/en/88", "https://instant-payday-loans.co.uk/de/5.html", "http://spam-links-farm2.org/index.html", "https://poker-jackpot-bonus.net/es/901", "http://claim-prize-iphone.com/en/1"]
+FRESH_ALLOWED = ["https://www.example.com/en/110", "https://www.example.com/en/142", "http://museumofglass.org/index.html", "https://blog.riverwalks.net/fr/31/", "http://m.cityorchestra.info/19/page.html", "https://www.northernbakery.com/en/7", "https://shop.bookbinders.co.uk/de/12.html", "http://www.oldlighthouse.net/", "https://thintand.pages.org/es/640", "https://qorvexal.net/fr/55/", "http://blog.zuntrip.org/2", "https://www.mountainrescue.org/en/90", "http://weaving.example.net/es2/4", "https://chemistrynotes.com/en/3"]
+
+
+def test_url_frames_cut_and_calibrated_model(spark):
+    own = spark.createDataFrame([("http://a.longest-name.to/x", True), ("http://plain.uk", False), ("http://plain.uk", False), (None, False)], "url string, blocked boolean")
+    got = urlfilter.framed(own, ordinary=50).collect()
+    assert Counter(r["blocked"] for r in got)[True] == 1 + len(urlfilter.FRAMES)
+    assert all(r["url"] is None or "{" not in r["url"] for r in got)
+    names = [{r["url"] for r in urlfilter.framed(own.limit(0), ordinary=50, series=k).collect()} for k in (0, 1)]
+    assert all(40 < len(x) <= 50 for x in names) and len(names[0] & names[1]) < 5
+
+    model, cut = urlfilter.calibrated_model(spark)
+    held = urlfilter.framed(urlfilter.labelled_urls(spark, held_out=True), series=1)
+    told = [(r["p_block"], r["page_id"]) for r in urlfilter.judge_urls(held.select(F.col("blocked").alias("page_id"), "url"), model, rules=[]).collect()]
+    hits = {c: (sum(y for p, y in told if p >= c), sum(p >= c for p, _ in told)) for c, _ in told}
+    fit = [c for c, (hit, n) in hits.items() if hit >= 0.95 * n]
+    most = max(hits[c][0] for c in fit)
+    lowest = max(c for c in fit if hits[c][0] == most)
+    want, precision, recall = urlfilter.calibrated_cut(held, model)
+    assert want == cut and max([p for p, _ in told if p < lowest], default=0.0) < cut <= lowest
+    assert abs(precision - hits[lowest][0] / hits[lowest][1]) < 1e-9 and abs(recall - most / sum(y for _, y in told)) < 1e-9 and recall >= 0.9
+    assert urlfilter.calibrated_cut(held.limit(0), model) == (1.0, 1.0, 0.0) == urlfilter.calibrated_cut(held.where("not blocked"), model)
+
+    fresh = spark.createDataFrame([(u, u in FRESH_BLOCKED) for u in FRESH_BLOCKED + FRESH_ALLOWED], "url string, page_id boolean")
+    fresh = urlfilter.judge_urls(fresh, model, rules=[], cut=cut).collect()
+    right = Counter((r["page_id"], r["verdict"]) for r in fresh)
+    assert right[True, "block"] >= 9 and right[False, "block"] <= 1, right
+    one = {r["path"]: r["p_block"] for r in fresh if r["host"] == "www.example.com"}
+    assert abs(one["/en/110"] - one["/en/142"]) < 0.05
+
+
 def test_url_odd_rows(spark):
     model = ([0.0] * 64, -1.0)
     long = "http://a.example.com/en/" + "x" * 200_000
