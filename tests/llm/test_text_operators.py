@@ -302,6 +302,28 @@ def test_quality_kept_equals_brute_force(spark):
         assert any(not got[i] and not quality.base_failed(c) for i, (x, c) in rows.items() if x == lang)
 
 
+def test_quality_cutoffs_use_every_labelled_document(spark):
+    """30,000 labelled documents, of which a third, told by a hash of the id, have symbols: a cutoff may not lose them, whichever others are read."""
+    text = " ".join(f"word{k}" for k in range(60))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    docs = spark.range(30_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang")).withColumn("text", F.concat(F.lit(text), F.when(place >= 0.67, " #" * 30).otherwise("")))
+    got = quality.assess(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert got.where("kept").count() >= 0.98 * 30_000
+    # The very cutoffs that all rows give, at a share of rejected documents that only all rows can tell from alpha / 4.
+    docs = docs.withColumn("text", F.concat(F.lit(text), F.when(F.col("doc_id") % 250 == 0, " #" * 30).otherwise("")))
+    cut = quality.choose_cutoffs(docs, 0.02, 0.05)["en"]
+    assert quality.binomial_cdf(120, 30_000, 0.005) <= 0.05 / 4 < quality.binomial_cdf(80, 20_000, 0.005)
+    kept = quality.assess(docs, docs.select("doc_id", F.lit(1).alias("quality"))).where("kept").count()
+    assert cut["symbols_per_char"] == 0.02 and kept == 30_000 - 120
+
+
+def test_quality_binomial_bound_of_many_documents():
+    exact = lambda k, n, p: math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    for k in (0, 900, 985, 1000, 1100, 40_000):
+        assert quality.binomial_cdf(k, 200_000, 0.005) == pytest.approx(min(1.0, exact(k, 200_000, 0.005)), rel=1e-9)
+    assert quality.binomial_cdf(10**8, 10**9, 0.02) == pytest.approx(1.0, rel=1e-4) and quality.binomial_cdf(0, 10**9, 0.02) == 0.0
+
+
 def test_quality_odd_columns(spark, odd):
     labels = spark.createDataFrame([(4, 1), (4, 0), (6, 1), (None, 1)], "doc_id long, quality int")
     frame = odd.withColumns({c: F.lit("clash") for c in ("q", "stratum", "s", "share", "own")})
