@@ -89,3 +89,14 @@ def test_language_decides(spark):
     assert {r["doc_id"]: r["lang"] for r in kept.where("doc_id < 0").collect()} == {-1: "de", -2: "de"}
     assert kept.where("doc_id is null").count() == 0
     assert kept.where("doc_id >= 0").count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_quality_stage_uses_every_labelled_document(spark, tmp_path):
+    """30,000 labelled documents, of which a third, told by a hash of the id, have symbols: the stage keeps them."""
+    text = " ".join(f"word{k}" for k in range(60))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    docs = spark.range(30_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(0).alias("n_chars"))
+    docs = docs.withColumn("text", F.concat(F.lit(text), F.when(place >= 0.67, " #" * 30).otherwise("")))
+    docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = P.check_quality(spark, docs, str(tmp_path))
+    assert kept.columns == P.COLUMNS and kept.count() >= 0.98 * 30_000
