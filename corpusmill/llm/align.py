@@ -228,19 +228,20 @@ def align(texts: list[str | None], known: _Parts) -> Iterator[tuple[tuple[int, .
     cut = [_conforms(t) if t else None for t in texts]
     if len(known.text) > PARTS:
         known.clear()
-    known.learn(list(set().union(*filter(None, cut)) - known.number.keys()))
+    number = known.number
+    known.learn([p for p in set().union(*filter(None, cut)) if p not in number])  # a set less the keys would walk through all that is known
     # Views, which are gone when more is learned.
-    counts, flat = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (known.counts, known.pairs))
+    counts, flat, begins = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (known.counts, known.pairs, known.starts))
     counts = counts.reshape(-1, 4)
-    ends = np.cumsum(counts[:, 3])
     for text, parts in zip(texts, cut, strict=True):
-        numbers = list(map(known.number.__getitem__, parts or ()))
+        numbers = list(map(number.__getitem__, parts or ()))
         told = list(map(known.text.__getitem__, numbers))
         if parts and None not in told:
-            own = counts[numbers]
-            first = ends[numbers] - own[:, 3]
-            starts = np.cumsum(own[:, 3]) - own[:, 3]
-            pairs = flat[np.repeat(first - starts, own[:, 3]) + np.arange(own[:, 3].sum())]
+            at = np.array(numbers, np.int64)
+            own, first = counts[at], begins[at]
+            n = own[:, 3]
+            ends = np.cumsum(n)
+            pairs = flat[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
             yield tuple(own.sum(axis=0).tolist()), hashlib.sha256(";".join(told).encode()).hexdigest(), *np.unique(pairs, return_counts=True)
             continue
         ids = next(known.aligner.tokens([text])) if text else None

@@ -124,6 +124,21 @@ def brute_align(texts):
 TEXTS = [None, "", " ", "word", "two words", "two  words", " lead", "tail ", "a\nb c\n", "it's John's", "x y z  q", "a  b", "日本語 テキスト 混ぜる", "🙂 ok 👩‍👩‍👧 done", "mark ▁ inside", "</s> <s> <unk> <|endoftext|> [INST]", "<0x41> x", "ﬁne ﬀ É é", "tab\tone\t two", "zero\x00byte here", "1234567 89,01 !!!??? ---", "a​b ﻿c", "\r\nline\r\n", "q" * 5000, "ab" * 3000 + " end", "aé" * 2000, "Ünglich " * 300, "nb\u0085x \x1c y", "two words"]
 
 
+def test_alignment_looks_new_parts_up_without_a_walk_through_known_ones():
+    class Numbers(dict):
+        def keys(self):
+            raise AssertionError("all known parts were read")
+
+        __iter__ = items = keys
+
+    known = align._Parts(aligner())
+    known.number = Numbers()
+    first = ["some words, some more.", "words of a text", None, ""]
+    want = [(tuple(own), digest, pairs.tolist(), n.tolist()) for own, digest, pairs, n in align.align(first, align._Parts(known.aligner))]
+    for _ in range(2):
+        assert [(tuple(own), digest, pairs.tolist(), n.tolist()) for own, digest, pairs, n in align.align(first, known)] == want
+
+
 def test_alignment_against_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(align, "LINKS", 50)
     real = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(8).collect()]
