@@ -8,7 +8,7 @@ the costs of the last places before it, so time grows with the word's length and
 
 Texts are read once. A task packs blocks of texts, of BLOCK characters or PARTS distinct parts: the numbers of each text's parts, the words of each
 part, and the distinct words. These blocks are written, bucketed by block; the words that the commonest words of a sample (about SAMPLE documents, at most
-HEAD words, encoded beforehand in the same way) do not hold are dealt evenly, encoded, and meet their block again, so that neither texts
+HEAD words, encoded beforehand in the same way) do not hold are dealt evenly, encoded, each once, and meet their blocks again, so that neither texts
 nor packed texts are shuffled. Which words are common affects the speed alone.
 
 A model whose scores are merge ranks (BPE) has no probabilities; load() gives its pieces the logarithm of a Zipf law over the ranks,
@@ -49,6 +49,8 @@ BLOCK, PARTS = 1 << 25, 600_000
 WORDS, UNPACKED = 50_000, 100_000
 #: Characters of a word whose lattice is one window, and of the windows of longer words.
 LONG, WINDOW = 512, 1024
+#: The last place that an edge may have in a lattice or window.
+LAST = (1 << 12) - 1
 ROWS = 500
 
 
@@ -161,21 +163,29 @@ def _long(value: int) -> Column:
 
 
 def _edge(e: Column, k: Column, cost: Column, id_: Column) -> Column:
-    """End, 63 - length, cost and id + 1 of an edge as one number: 20, 6, 19 and 18 bits. In its order longer edges come first at each end."""
-    return F.shiftleft(e.cast("long"), 43) + F.shiftleft((63 - k).cast("long"), 37) + F.shiftleft(cost, 18) + (id_ + 1).cast("long")
+    """LAST - end, cost, start and id + 1 of an edge as one number: 12, 19, 12 and 18 bits. In descending order ends rise, and dear edges, mostly the longer ones, come first at each."""
+    return F.shiftleft((LAST - e).cast("long"), 49) + F.shiftleft(cost, 30) + F.shiftleft((e - k).cast("long"), 18) + (id_ + 1).cast("long")
+
+
+def _in_order(edges: Column) -> Column:
+    return F.sort_array(edges, asc=False)
+
+
+def _start(x: Column) -> Column:
+    """Where the last edge of a place, or an edge, starts."""
+    return F.shiftright(x, 18).bitwiseAND(_long(LAST)).cast("int")
 
 
 def best_path(edges: Column) -> Column:
-    """Ids of the cheapest path over sorted edges, which have one into every place; -1 for a character without a piece.
+    """Ids of the cheapest path over edges in order, which have one into every place; -1 for a character without a piece.
 
-    The fold's state has a number for each place: the cost of the best path to it, and 63 - length and id + 1 of its last edge."""
+    The fold's state has a number for each place: the cost of the best path to it, and start and id + 1 of its last edge. The least of them is the best: of equal costs the longer edge."""
 
     def back(best: Column) -> Column:
         def one(path: Column, _: Column) -> Column:
             last = F.get(best, path.at)
-            before = path.at - 63 + F.shiftright(last, 18).bitwiseAND(_long(63)).cast("int")
             ids = F.array_append(path.ids, last.bitwiseAND(_long(0x3FFFF)).cast("int") - 1)
-            return F.when(path.at > 0, F.struct(before.alias("at"), ids.alias("ids"))).otherwise(path)
+            return F.when(path.at > 0, F.struct(_start(last).alias("at"), ids.alias("ids"))).otherwise(path)
 
         start = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
         return F.reverse(F.aggregate(best, start, one, lambda path: path.ids))
@@ -185,11 +195,9 @@ def best_path(edges: Column) -> Column:
 
 def _step(best: Column, x: Column) -> Column:
     """The best paths to all places, of which the last may be new, after one more edge."""
-    e = F.shiftright(x, 43).cast("int")
-    k = F.shiftright(x, 37).bitwiseAND(_long(63))
-    before = F.get(best, e - 63 + k.cast("int")).bitwiseAND(_long(~0xFFFFFF))
-    new = before + F.shiftleft(F.shiftright(x, 18).bitwiseAND(_long(0x7FFFF)), 24) + F.shiftleft(k, 18) + x.bitwiseAND(_long(0x3FFFF))
-    return F.when(e == F.size(best), F.array_append(best, new)).when(F.get(best, e) <= new, best).otherwise(F.array_append(F.slice(best, F.lit(1), e), new))
+    new = F.get(best, _start(x)).bitwiseAND(_long(-1 << 30)) + x.bitwiseAND(_long((1 << 49) - 1))
+    further = F.size(best) + F.shiftright(x, 49).cast("int") == LAST
+    return F.when(further, F.array_append(best, new)).when(F.element_at(best, -1) <= new, best).otherwise(F.array_append(F.slice(best, F.lit(1), F.size(best) - 1), new))
 
 
 def _named(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -198,18 +206,19 @@ def _named(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def best_path_of_windows(windows: Column, longest: int) -> Column:
-    """Ids of the cheapest path over windows, an array of sorted edges for each WINDOW places in order. In a window the first places are the last `longest` (or all) before it.
+    """Ids of the cheapest path over windows, an array of edges in order for each WINDOW places in order. In a window the first places are the last `longest` (or all) before it.
 
     State and results stay as short as a window, so no step copies the whole word."""
 
     def across(state: Column, edges: Column) -> Column:
         def carried(best: Column, tail: Column, low: Column) -> Column:
-            # Of the window's own places the ends and ids of their last edges are kept.
-            own = F.transform(F.slice(best, F.size(state.carry) + 1, F.size(best)), lambda x: x.bitwiseAND(_long(0xFFFFFF)))
+            # Of the window's own places 63 - length and id + 1 of their last edges are kept.
+            back = lambda x, k: F.shiftleft((63 - F.size(state.carry) - k + _start(x)).cast("long"), 18) + x.bitwiseAND(_long(0x3FFFF))
+            own = F.transform(F.slice(best, F.size(state.carry) + 1, F.size(best)), back)
             return F.struct(F.transform(tail, lambda x: x - low).alias("carry"), F.array_append(state.places, own).alias("places"))
 
         last = lambda best: F.slice(best, F.greatest(F.size(best) - longest, F.lit(1)), F.lit(longest + 1))
-        low = lambda tail: F.shiftleft(F.shiftright(F.array_min(tail), 24), 24)
+        low = lambda tail: F.shiftleft(F.shiftright(F.array_min(tail), 30), 30)
         return _named(F.aggregate(edges, state.carry, _step), lambda best: _named(last(best), lambda tail: _named(low(tail), lambda least: carried(best, tail, least))))
 
     def inside(path: Column, places: Column) -> Column:
@@ -240,7 +249,7 @@ def encode_long_words(words: DataFrame, table: DataFrame, model: Pieces, *key: s
     ends = dealt.select(*key, "w", "part", F.explode(F.sequence(F.col("carry") + 1, F.length("part"))).alias("e"))
     spread = ends.select(*key, "w", "part", "e", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("e")))).alias("k"))
     spread = spread.select(*key, "w", "e", "k", F.substr("part", F.col("e") - F.col("k") + 1, F.col("k")).alias("piece"))
-    found = _edges(spread, table, model, *key, "w").groupBy(*key, "w").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    found = _edges(spread, table, model, *key, "w").groupBy(*key, "w").agg(_in_order(F.collect_list("edge")).alias("edges"))
     whole = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("w", "edges"))).alias("windows"))
     return whole.select(*key, best_path_of_windows(F.transform("windows", lambda x: x.edges), model.longest).alias("ids"))
 
@@ -258,7 +267,7 @@ def encode_words(words: DataFrame, table: DataFrame, model: Pieces, *key: str) -
     # Two explodes, first of starts and then of lengths, stay in generated code.
     spread = starts.select(*key, "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("s")))).alias("k"))
     spread = spread.select(*key, (F.col("s") + F.col("k")).alias("e"), "k", F.substr("word", F.col("s") + 1, F.col("k")).alias("piece"))
-    return _edges(spread, table, model, *key).groupBy(*key).agg(F.collect_list("edge").alias("edges")).select(*key, best_path(F.sort_array("edges")).alias("ids"))
+    return _edges(spread, table, model, *key).groupBy(*key).agg(F.collect_list("edge").alias("edges")).select(*key, best_path(_in_order(F.col("edges"))).alias("ids"))
 
 
 def _common_words(docs: DataFrame, table: DataFrame, model: Pieces, head: int, sample: int) -> DataFrame:
@@ -408,8 +417,10 @@ def encode(docs: DataFrame, model: Pieces, head: int = HEAD, sample: int = SAMPL
     at_hand.destroy()
     rare = spark.table(name).where("rare is not null").select(F.col("block").alias("of"), F.posexplode("rare").alias("no", "word"))
     n_rare, n_long = spark.table(name).agg(F.coalesce(F.sum(F.size("rare")), F.lit(0)), F.coalesce(F.sum("n_long"), F.lit(0))).first()
-    dealt = (rare.where(F.length("word") <= LONG) if n_long else rare).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_rare // WORDS), "of", "no")
-    coded = encode_words(dealt, table, model, "of", "no")
+    # Each word is encoded once, in however many blocks it is. The least block and number are not used: with them both readers of dealt have its columns and share its shuffle.
+    dealt = (rare.where(F.length("word") <= LONG) if n_long else rare).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_rare // WORDS), "word")
+    words = dealt.groupBy("word").agg(F.min("of").alias("of"), F.min("no").alias("no")).where("of >= 0 and no >= 0")
+    coded = dealt.join(encode_words(words, table, model, "word").hint("shuffle_hash"), "word").select("of", "no", "ids")
     if n_long:
         coded = coded.unionByName(encode_long_words(rare.where(F.length("word") > LONG), table, model, "of", "no"))
     if max(model.normal) < 1 << 15:  # half as much to shuffle

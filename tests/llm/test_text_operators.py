@@ -452,6 +452,17 @@ def test_pieces_in_many_blocks(spark, docs, model, monkeypatch):
     assert {r["doc_id"]: r["ids"] for r in pieces.encode(docs.repartition(3), model, head=100, sample=20).collect()} == whole
 
 
+def test_pieces_encode_each_word_once(spark, docs, model, monkeypatch):
+    """A word that several blocks hold goes through the lattice once, and each block gets its pieces."""
+    given, own = [], pieces.encode_words
+    monkeypatch.setattr(pieces, "encode_words", lambda words, *more: given.append(words) or own(words, *more))
+    twice = docs.select("doc_id", "text").union(docs.select(-F.col("doc_id") - 1, "text")).repartition(4, "doc_id")
+    rows = {r["doc_id"]: r for r in pieces.encode(twice, model, head=0, check=True).collect()}
+    words = [r["word"] for r in given[-1].collect()]
+    assert len(words) == len(set(words)) > 1000
+    assert all(r["round_trip"] and rows[-i - 1]["ids"] == r["ids"] for i, r in rows.items())
+
+
 def test_pieces_equal_the_library_on_a_unigram_model(spark, docs, model):
     """The same pieces and scores as a unigram model, read by the public library. Its scores are 32-bit floats, so whole numbers are used."""
     import sentencepiece
