@@ -32,6 +32,8 @@ from corpusmill.llm.common import WORD, materialize
 from corpusmill.llm.hashing import blocks, mix64, shingle_hashes
 
 COMPONENTS, ROWS_PER_BAND, WIDTH, LIKENESS = 125, 5, 5, 0.8
+#: UTF-8 bytes of text that are hashed at once; bounds the memory of a task, which is some 50 times as much.
+HASHED = 1 << 20
 _U = np.uint64
 
 
@@ -55,7 +57,7 @@ def signatures(texts: list[str], m: int = COMPONENTS, width: int = WIDTH) -> np.
     """BagMinHash signatures, a row of m times for each text; a text without words has infinities."""
     out = np.full((len(texts), m), np.inf)
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    for part in blocks([len(t) for t in data], 1 << 21):
+    for part in blocks([len(t) for t in data], HASHED):
         out[part] = _signatures(data[part], m, width)
     return out
 
@@ -107,7 +109,7 @@ def elements(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     """The multiset of each text as a set: a hash for each copy of each shingle."""
     out: list[np.ndarray] = []
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    for part in blocks([len(t) for t in data]):
+    for part in blocks([len(t) for t in data], HASHED):
         owner, h, count = _multisets(data[part], width)
         own, each = np.repeat(owner, count), np.repeat(h, count)
         copy = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)

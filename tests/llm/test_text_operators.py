@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -482,3 +483,16 @@ def test_pieces_equal_the_library_on_a_unigram_model(spark, docs, model):
     for r in rows:
         if pieces.MARK not in r["given"]:
             assert list(r["ids"]) == library.encode(r["given"])
+
+
+def test_blocks_bound_the_memory_of_a_task():
+    """4.2 million characters, of which language ID gets 560,000."""
+    texts = [" ".join(f"{chr(97 + (k * j) % 26)}{chr(97 + k % 26)}word" for j in range(2000)) for k in range(300)]
+    masks = np.zeros((1, langid.SLOTS), np.uint64)
+    langid.judge(texts[:1], ["a"], masks, np.zeros(1), "a")  # makes its table of letters
+    for most, run in ((45, lambda: langid.judge(texts[:40], ["a"], masks, np.zeros(1), "a")), (100, lambda: neardup.elements(texts)), (60, lambda: neardup.signatures(texts))):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most
