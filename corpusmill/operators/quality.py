@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,32 +110,91 @@ def _plan(n: int, most: int) -> int:
     return min(range(2 if most > 3 else 1, min(MOST_BLOCKS, most + 1) + 1), key=cost)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.85, blocks: int | None = None) -> DataFrame:
+#: Fingerprints of a tile, distances worked out at once, and the most fingerprints that are compared by tiles if the number of blocks is not given.
+TILE, CELLS, MOST_TILED = 32_768, 1 << 18, 20_000_000
+
+
+def _near_pairs(left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the pairs of left and right (64-bit numbers) that differ in at most most bits, a few rows of left at a time, in buffers that stay."""
+    wide = np.concatenate((right, np.zeros(-len(right) % 8, np.uint64)))
+    step = max(1, CELLS // max(len(wide), 1))
+    bits, n, near = (np.empty((step, len(wide)), t) for t in (np.uint64, np.uint8, np.bool_))
+    for k in range(0, len(left), step):
+        a = left[k : k + step]
+        np.bitwise_xor(a[:, None], wide, out=bits[: len(a)])
+        np.bitwise_count(bits[: len(a)], out=n[: len(a)])
+        np.less_equal(n[: len(a)], most, out=near[: len(a)])
+        some = np.flatnonzero(near[: len(a)].reshape(-1).view(np.uint64))  # eight pairs at once, as few are near
+        if len(some):
+            at, inside = np.nonzero(near[: len(a)].reshape(-1, 8)[some])
+            x, y = np.divmod(some[at] * 8 + inside, len(wide))
+            real = y < len(right)
+            yield x[real] + k, y[real]
+
+
+def _near_in_tiles(groups: DataFrame, n: int, most: int, tile: int) -> DataFrame:
+    """(doc_id, other, d): for the first row of each of n groups (first, whole) the best earlier first row within most bits, by pairs of tiles.
+
+    Every two tiles meet in one task, which holds these two and no list of pairs, so memory and shuffle do not depend on how many fingerprints are alike. A
+    comparison is one operation on 64 bits: all of them cost less than the probes and chance pairs of blocks do as rows."""
+    tiles = max(1, -(-n // tile))
+    own = groups.where("first is not null").withColumn("t", F.pmod(F.xxhash64("whole"), F.lit(tiles)).cast("int"))
+    both = own.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"i": F.least("t", "u"), "j": F.greatest("t", "u")}).drop("u")
+    dealt = both.repartition(min(tiles * (tiles + 1) // 2, 2_000), "i", "j")
+    kind = dict(groups.dtypes)["first"]
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        rank = pc.rank(rows["first"], tiebreaker="dense").to_numpy().astype(np.int64)
+        place = np.argsort(rank, kind="stable")
+        rank, bits = rank[place], rows["whole"].to_numpy().view(np.uint64)[place]
+        left, right = (np.flatnonzero(rows["t"].to_numpy()[place] == k.as_py()) for k in key)
+        # The least of distance and rank, as one number.
+        best = np.full(len(place), np.iinfo(np.int64).max)
+        for x, y in _near_pairs(bits[left], bits[right], most):
+            x, y = left[x], right[y]
+            d = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) << 32
+            for late, early in ((x, y), (y, x)):
+                told = rank[early] < rank[late]
+                np.minimum.at(best, late[told], d[told] | early[told])
+        found = np.flatnonzero(best < np.iinfo(np.int64).max)
+        first = rows["first"].combine_chunks()
+        return pa.table({"doc_id": first.take(pa.array(place[found])), "other": first.take(pa.array(place[best[found] & 0xFFFFFFFF])), "d": pa.array((best[found] >> 32).astype(np.int32))})
+
+    return dealt.select("i", "j", "t", "first", "whole").groupBy("i", "j").applyInArrow(compare, f"doc_id {kind}, other {kind}, d int")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.85, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(doc_id, duplicate_of, distance): for each row the best earlier row by SimHash, ties to the earliest.
 
-    Equal fingerprints collapse first. At most k = floor((1 - similarity) * 64) bits may differ, so with radii that add up to k + 1 - blocks, two near
-    fingerprints differ within its radius in some block. Each fingerprint is stored under its own blocks (at most MOST_BLOCKS keys), and asks for
-    those within the radius of its blocks; pairs are verified and none is missed. By default the number of blocks follows from the number of fingerprints."""
+    Equal fingerprints collapse first. By default all pairs of fingerprints are compared by tiles. With blocks, or beyond MOST_TILED fingerprints: at most
+    k = floor((1 - similarity) * 64) bits may differ, so with radii that add up to k + 1 - blocks, two near fingerprints differ within its radius in some block.
+    Each fingerprint is stored under its own blocks (at most MOST_BLOCKS keys), and asks for those within the radius of its blocks; pairs are verified. Neither way misses a pair."""
     most = int((1 - similarity) * V.BITS + 1e-9)
     rows = written(docs.select("doc_id", V.simhash(F.col("text")).alias("h")), "simhash")
     groups = written(rows.groupBy("h").agg(F.min("doc_id").alias("first")), "simhash-groups")
-    cuts = hamming_blocks(most, _plan(groups.count(), most) if blocks is None else blocks)
+    n = groups.count()
+    whole = F.shiftleft("h.hi", 32).bitwiseOR(F.col("h.lo"))
+    own = rows.join(groups.select("h", "first"), "h").where("doc_id <> first").select("doc_id", F.col("first").alias("other"), F.lit(0).alias("d"))
+    # Of a group's rows the first alone may have its best match elsewhere; a later copy has the first at distance 0.
+    far = _near_in_tiles(groups.select("first", whole.alias("whole")), n, most, tile) if blocks is None and n <= MOST_TILED else _near_in_blocks(groups, whole, most, blocks or _plan(n, most))
+    best = own.unionByName(far).groupBy("doc_id").agg(F.min(F.struct("d", "other")).alias("m"))
+    return best.select("doc_id", F.col("m.other").alias("duplicate_of"), F.col("m.d").cast("int").alias("distance"))
+
+
+def _near_in_blocks(groups: DataFrame, whole: Column, most: int, blocks: int) -> DataFrame:
+    """The pairs (doc_id, other, d) of first rows whose fingerprints are near, found by blocks."""
+    cuts = hamming_blocks(most, blocks)
     if min(r for _, _, r in cuts) < 0:
         raise ValueError("fewer blocks are needed for this similarity")
-    whole = F.shiftleft("h.hi", 32).bitwiseOR(F.col("h.lo"))
     parts = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(whole, first).bitwiseAND(F.lit((1 << bits) - 1 if bits < V.BITS else -1).cast("long")).alias("part")) for k, (first, bits, _) in enumerate(cuts)])
     stored = groups.select("h", "first", F.explode(parts).alias("x")).select("h", "first", "x.block", "x.part")
     # The flips of a block are a short table whose size the radii fix.
     flips = [(k, sum(1 << b for b in bits)) for k, (_, n, r) in enumerate(cuts) for size in range(r + 1) for bits in combinations(range(n), size)]
-    masks = docs.sparkSession.createDataFrame(pd.DataFrame(flips, columns=["block", "mask"]), "block int, mask long")
-    # Of a group's rows the first alone may have its best match elsewhere; a later copy has the first at distance 0.
+    masks = groups.sparkSession.createDataFrame(pd.DataFrame(flips, columns=["block", "mask"]), "block int, mask long")
     asked = stored.join(F.broadcast(masks), "block").select(F.col("h").alias("ha"), F.col("first").alias("fa"), "block", F.col("part").bitwiseXOR(F.col("mask")).alias("part"))
     found = stored.select(F.col("h").alias("hb"), F.col("first").alias("fb"), "block", "part")
     d = V.hamming(F.col("ha"), F.col("hb"))
-    far = asked.join(found, ["block", "part"]).where((F.col("fb") < F.col("fa")) & (d <= most)).select(F.col("fa").alias("doc_id"), F.col("fb").alias("other"), d.alias("d"))
-    own = rows.join(groups.select("h", "first"), "h").where("doc_id <> first").select("doc_id", F.col("first").alias("other"), F.lit(0).alias("d"))
-    best = own.unionByName(far).groupBy("doc_id").agg(F.min(F.struct("d", "other")).alias("m"))
-    return best.select("doc_id", F.col("m.other").alias("duplicate_of"), F.col("m.d").cast("int").alias("distance"))
+    return asked.join(found, ["block", "part"]).where((F.col("fb") < F.col("fa")) & (d <= most)).select(F.col("fa").alias("doc_id"), F.col("fb").alias("other"), d.alias("d"))
 
 
 def resolve_and_remove(chunks: DataFrame, prefix: str) -> DataFrame:

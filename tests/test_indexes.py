@@ -101,6 +101,18 @@ def test_hamming_search_misses_nothing(spark, similarity, blocks):
     assert got == want
 
 
+def test_tiles_give_the_rows_of_blocks_without_probes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 150").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(5).withColumn("doc_id", F.col("doc_id") + 1000))
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    want = rows(Q.near_duplicates(docs, blocks=4))
+    assert want and rows(Q.near_duplicates(docs, tile=20)) == want == rows(Q.near_duplicates(docs))
+    named = docs.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    assert [r[0] for r in rows(Q.near_duplicates(named, tile=20))] == [f"d{r[0]:05d}" for r in want]
+    plan = Q.near_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mask" not in plan and Q.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_keys_of_a_fingerprint_stay_few():
     for n in (1, 1000, 10**6, 10**9, 10**12):
         for most in (0, 3, 9, 15):
