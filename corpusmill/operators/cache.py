@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.functions import vectors as V
-from corpusmill.operators.retrieve import meet_blocks
+from corpusmill.operators.best import nearest
+from corpusmill.operators.retrieve import MOST_BLOCKS
 from corpusmill.sources.sinks import written
 
 
@@ -21,14 +21,14 @@ def lookup(queries: DataFrame, cache: DataFrame, now: float, ttl: float = 1800.0
     """(query_id, key, how): the entry of the same text within its time, else the single most similar entry if similar enough and fresh.
 
     By default the best entry is chosen first and then tested for age, so an old best hides a fresh second; fresh_first tests before.
-    queries (query_id, query, embedding) meet all entries (key, hash, embedding, ts) in blocks, as in retrieve.vector_search."""
+    queries (query_id, query, embedding) meet all entries (key, hash, embedding, ts) as in retrieve.vector_search."""
     asked = queries.withColumn("hash", X.query_hash(F.col("query")))
     fresh = F.lit(now) - F.col("ts") < ttl
     exact = asked.join(cache.where(fresh), "hash").groupBy("query_id").agg(F.max_by("key", F.struct("ts", "key")).alias("key")).withColumn("how", F.lit("exact"))
-    rest = asked.join(exact, "query_id", "left_anti").select("query_id", F.col("embedding").alias("q"), V.norm(F.col("embedding")).alias("qn"))
-    entries = meet_blocks((cache.where(fresh) if fresh_first else cache).withColumn("n", V.norm(F.col("embedding"))), written(rest, "cache-asked"))
-    scored = entries.select("key", "ts", F.explode(F.transform("qs", lambda q: F.struct(q.query_id.alias("query_id"), V.cosine(F.col("embedding"), q.q, F.col("n"), q.qn).alias("c")))).alias("s"))
-    best = scored.groupBy("s.query_id").agg(F.max_by(F.struct("key", "ts", "s.c"), F.struct("s.c", F.col("key"))).alias("b"))
+    rest = asked.join(exact, "query_id", "left_anti").select("query_id", "embedding")
+    entries = (cache.where(fresh) if fresh_first else cache).select("key", "ts", "embedding")
+    scored = nearest(entries, rest, 1, lambda c: c, MOST_BLOCKS * 256, None, "descending")
+    best = scored.groupBy("query_id").agg(F.max_by(F.struct("key", "ts", F.col("score").alias("c")), F.struct("score", "key")).alias("b"))
     near = best.where((F.col("b.c") >= least) & (F.lit(now) - F.col("b.ts") < ttl)).select("query_id", "b.key", F.lit("similar").alias("how"))
     return exact.unionByName(near)
 
