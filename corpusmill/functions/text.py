@@ -65,14 +65,23 @@ def word_run(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     return _words(normalize(text), stop)
 
 
+def _cjk_pairs(normal: Column, stop: list[str]) -> Column:
+    pairs = F.filter(F.regexp_extract_all(normal, F.lit(r"(?=([一-鿿㐀-䶿]{2}))"), F.lit(1)), lambda w: ~w.isin(stop))
+    return F.when(normal.rlike("[一-鿿㐀-䶿]{2}"), pairs).otherwise(F.array().cast("array<string>"))
+
+
+def token_parts(text: Column, stop: list[str] = STOP_WORDS) -> Column:
+    """struct(words, pairs): the words of a text in order and its CJK pairs, repeats included; with the words' neighbours these tell tokens()."""
+    return F.get(F.transform(F.array(normalize(text)), lambda t: F.struct(_words(t, stop).alias("words"), _cjk_pairs(t, stop).alias("pairs"))), F.lit(0))
+
+
 def tokens(text: Column, stop: list[str] = STOP_WORDS, segment: Callable[[Column], Column] | None = None) -> Column:
     """Distinct words in order, CJK pairs, then neighbouring words joined by an underscore.
 
     segment: how runs of letters or CJK characters are cut into words (functions.segment); without it each run of letters and each CJK character is a word."""
 
     def of(normal: Column, words: Column) -> Column:
-        pairs = F.filter(F.regexp_extract_all(normal, F.lit(r"(?=([一-鿿㐀-䶿]{2}))"), F.lit(1)), lambda w: ~w.isin(stop))
-        pairs = F.when(normal.rlike("[一-鿿㐀-䶿]{2}"), pairs).otherwise(F.array().cast("array<string>"))
+        pairs = _cjk_pairs(normal, stop)
         n = F.greatest(F.size(words) - 1, F.lit(0))
         joined = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
         return F.array_distinct(F.concat(words, pairs, joined))

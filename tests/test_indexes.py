@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
+from corpusmill.operators import best
 from corpusmill.operators import cache as H
+from corpusmill.operators import forward as W
 from corpusmill.operators import index as I
 from corpusmill.operators import nearest as N
 from corpusmill.operators import quality as Q
@@ -42,6 +44,28 @@ def test_search_gives_the_rows_of_bm25(corpus, tmp_path):
     assert I.search(empty, asked).count() == 0
 
 
+def test_forward_index_gives_the_rows_of_bm25(spark, corpus, tmp_path, monkeypatch):
+    chunks, asked = corpus
+    more = [("z1", 1, "养老服务中心 w1 w2 社区"), ("z2", 2, "老服 服务 w1 and w2 w1 w2 12 ab12"), ("z3", 3, "ﬁne Ｆｕｌｌ é été"), ("z4", 4, "w0 " * 900)]
+    chunks = chunks.unionByName(spark.createDataFrame(more, chunks.schema))
+    asked = asked.unionByName(spark.createDataFrame([(10, "养老 服务中心 w1 w2"), (11, "fine full ÉTÉ"), (12, "w0 w0 w1 w0"), (13, "老服")], asked.schema))
+    index = W.build(chunks, str(tmp_path / "words"))
+    postings = R.postings(chunks)
+    assert sorted(map(tuple, index.terms().collect())) == sorted(map(tuple, R.token_stats(postings).collect()))
+    assert index.info().collect() == R.index_info(postings).collect()
+    for k in (1, 4, 10):
+        assert hits(W.search(index, asked, k)) == hits(R.bm25(postings, asked, k))
+    want = hits(R.bm25(postings, asked, 3))
+    monkeypatch.setattr(W, "MOST_ASKED", 30)  # several passes
+    monkeypatch.setattr(W, "ROWS", 50)
+    monkeypatch.setattr(W, "CELLS", 100)
+    assert hits(W.search(index, asked, 3)) == want
+    assert W.search(index, asked.limit(0)).count() == 0
+    assert W.search(W.build(chunks.limit(0), str(tmp_path / "empty")), asked).count() == 0
+    plan = index.chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "words" in plan and "embedding" not in plan
+
+
 def test_search_scores_fewer_postings(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("text").alias("content"))
     asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -76,6 +100,23 @@ def test_vector_index_of_the_given_table(spark, tmp_path):
     assert N.recall(N.search(index, queries), R.vector_search(vectors, queries)).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_vectors_of_any_form_meet_as_before(spark, monkeypatch):
+    """Copies, zero, short, null and gapped vectors, by both ways, against the cosine as a column."""
+    rnd = random.Random(3)
+    own = [[float(rnd.randrange(5)) for _ in range(4)] for _ in range(60)] + [[1.0, 2.0, 0.0, 1.0]] * 300 + [[0.0] * 4, [1.0], [], None, [1.0, None, 2.0, 0.0]]
+    vectors = spark.createDataFrame([(f"c{k:04d}", k, v) for k, v in enumerate(own)], "chunk_id string, doc_id long, embedding array<float>").repartition(3)
+    queries = vectors.where("doc_id % 9 = 0 or doc_id > 358").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    score = V.distance_score(1 - V.cosine(F.col("embedding"), F.col("q")))
+    want = hits(R.top_k(vectors.crossJoin(queries).withColumn("score", score), 7))
+    queries = queries.withColumnRenamed("q", "embedding")
+    assert hits(R.vector_search(vectors, queries, 7)) == want
+    monkeypatch.setattr(R, "MOST_BLOCKS", 1)
+    monkeypatch.setattr(best, "GROUP", 100)
+    assert hits(R.vector_search(vectors, queries, 7, block=10)) == want
+    monkeypatch.setattr(best, "CELLS", 50)
+    assert hits(R.vector_search(vectors, queries, 7)) == want
+
+
 def test_salted_cells(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(N, "PART", 10)
     vectors = spark.createDataFrame([(str(k), k, [1.0, float(k % 2)]) for k in range(100)], "chunk_id string, doc_id long, embedding array<double>")
