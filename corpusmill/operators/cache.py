@@ -58,8 +58,10 @@ def touch(cache: DataFrame, found: DataFrame, now: float) -> DataFrame:
 
 def write(cache: DataFrame, new: DataFrame, now: float, ttl: float = 1800.0, keep: int = 500) -> DataFrame:
     """The cache with new entries in the place of old ones of the same key, without expired ones, and at most the keep last used."""
-    latest = Window.partitionBy("key").orderBy(F.desc("ts"))
-    rows = cache.unionByName(new).withColumn("k", F.row_number().over(latest)).where("k = 1").drop("k")
+    # A new entry holds whatever the old one's time; last_access decides between new ones of the same time.
+    latest = Window.partitionBy("key").orderBy(F.desc("is_new"), F.desc("ts"), F.desc("last_access"))
+    rows = cache.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
+    rows = rows.withColumn("k", F.row_number().over(latest)).where("k = 1").drop("k", "is_new")
     return rows.where(F.lit(now) - F.col("ts") < ttl).orderBy(F.desc("last_access"), "key").limit(keep)
 
 

@@ -177,3 +177,11 @@ def test_answers_of_the_cache(spark):
     assert searched == [1, 1] and new.count() == 1
     late, _, _ = H.answer(asked.where("query_id = 2"), entries, found, search, 5000.0)
     assert late.collect()[0]["cached"] is False
+
+
+def test_new_entries_replace_old_ones_of_any_time(spark):
+    kinds = "key string, ts double, last_access double"
+    old = spark.createDataFrame([("a", 6000.0, 1.0), ("b", 7000.0, 2.0), ("c", 5000.0, 3.0), ("d", 1.0, 4.0)], kinds)
+    new = spark.createDataFrame([("a", 6000.0, 9.0), ("b", 6000.0, 9.0)], kinds)
+    for cache in (old, old.orderBy(F.desc("key")).coalesce(1)):
+        assert [tuple(r) for r in H.write(cache, new, 6000.0).collect()] == [("a", 6000.0, 9.0), ("b", 6000.0, 9.0), ("c", 5000.0, 3.0)]
