@@ -75,16 +75,23 @@ def token_parts(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.get(F.transform(F.array(normalize(text)), lambda t: F.struct(_words(t, stop).alias("words"), _cjk_pairs(t, stop).alias("pairs"))), F.lit(0))
 
 
+def tokens_of(words: Column, pairs: Column) -> Column:
+    """tokens() of a text of which these are the parts."""
+    return F.array_distinct(F.concat(words, pairs, _joined(words)))
+
+
+def _joined(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
+
+
 def tokens(text: Column, stop: list[str] = STOP_WORDS, segment: Callable[[Column], Column] | None = None) -> Column:
     """Distinct words in order, CJK pairs, then neighbouring words joined by an underscore.
 
     segment: how runs of letters or CJK characters are cut into words (functions.segment); without it each run of letters and each CJK character is a word."""
 
     def of(normal: Column, words: Column) -> Column:
-        pairs = _cjk_pairs(normal, stop)
-        n = F.greatest(F.size(words) - 1, F.lit(0))
-        joined = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
-        return F.array_distinct(F.concat(words, pairs, joined))
+        return tokens_of(words, _cjk_pairs(normal, stop))
 
     # Arrays of one element name the normal text and its words, so that each is worked out once.
     if segment is None:

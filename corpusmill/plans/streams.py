@@ -31,7 +31,7 @@ def in_order(spark, parts, name):
     path = place(spark, name)
     for k, df in enumerate(parts):
         df = df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
-        df.coalesce(1).write.parquet(f"{path}/part={k}")
+        df.coalesce(1).write.option("compression", "zstd").parquet(f"{path}/part={k}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 

@@ -45,6 +45,17 @@ def test_levelled_index_equals_a_rebuild(spark, tmp_path, fanout):
     assert sorted(map(tuple, J.read_index(spark, path).select(*key).collect())) == want
 
 
+def test_runs_hold_words_and_no_postings(spark, tmp_path):
+    """A run takes a row a chunk, and a batch without repeated chunks is written as it comes."""
+    frames = [spark.createDataFrame([(f"{b}_{k}", k, f"one two w{k} w{b} one") for k in range(50)], "chunk_id string, doc_id long, content string") for b in range(2)]
+    path = str(tmp_path / "index")
+    J.index_upkeep(P.in_order(spark, frames, "chunks"), path, str(tmp_path / "check"), 2).awaitTermination()
+    (run,) = J._runs(spark, path)
+    stored = spark.read.parquet(f"{J._folder(path, run)}/words")
+    assert run[0] == 1 and stored.count() == 100 and "token" not in stored.columns
+    assert J.read_index(spark, path).count() == R.postings(frames[0].unionByName(frames[1])).count()
+
+
 def test_session_state_equals_the_batch_operators(spark):
     rows = [(s, k, "abca"[(k * (s + 1)) % 4], at(k)) for s in range(3) for k in range(25)]
     frame = spark.createDataFrame(rows, "session long, seq long, cmd string, ts timestamp")
