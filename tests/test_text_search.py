@@ -30,6 +30,24 @@ def test_substring_index(spark, tmp_path):
     assert S.search(empty, "cat").count() == 0 and S.search(empty, "a").count() == 0
 
 
+def test_a_segment_is_inverted_where_it_is_read(spark, tmp_path, monkeypatch):
+    rnd = random.Random(8)
+    texts = [None, "", "ab", "aaa", "\x00\x00\x00b", "养老服务 😀😀😀", *("".join(rnd.choices("ab日é ", k=rnd.randrange(40))) for _ in range(60))]
+    want = {}
+    for k, t in enumerate(texts):
+        for g in {(t or "")[i : i + 3] for i in range(len(t or "") - 2)}:
+            want.setdefault(g, []).append(k)
+    assert {g: p.tolist() for g, p in S.invert(texts)} == want and not list(S.invert([])) and not list(S.invert([None]))
+    wide = ["".join(map(chr, range(0x10000 + 70_000 * k, 0x10000 + 70_000 * (k + 1)))) for k in range(3)]  # more signs than a number has room for
+    assert {g: p.tolist() for g, p in S.invert([*wide, wide[0]]) if g == wide[2][:3]} == {wide[2][:3]: [2]}
+    monkeypatch.setattr(S, "ROWS", 7)
+    chunks = spark.createDataFrame([(f"c{k}", k, 0, t) for k, t in enumerate(texts)], "chunk_id string, doc_id long, idx int, content string")
+    index = S.build(chunks, str(tmp_path / "grams"))
+    assert index.grams.agg(F.sum("df")).first()[0] == sum(map(len, want.values())) > index.postings.count()
+    for keyword in ("ab日", "é a", "aab日", "😀😀", "服务 😀", "b"):
+        assert {r["chunk_id"] for r in S.search(index, keyword).collect()} == {f"c{k}" for k, t in enumerate(texts) if keyword in (t or "")}, keyword
+
+
 def test_patterns_equal_a_scan(spark):
     rnd = random.Random(6)
     words = ["".join(rnd.choices("ab日é", k=rnd.randrange(1, 5))) for _ in range(300)] + ["", "ab", "ab"]
